@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import langid, line_templates, packing, pii, quality, url_filter
+from casebook.llm import langid, line_templates, minhash, packing, pii, quality, url_filter
 from casebook.llm.common import table
 
 RULES = (
@@ -18,6 +18,10 @@ RULES = (
 )
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("cls")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op4_pii, op6_url_filter, op8_best_fit_packing, op9_language_id, op10_line_templates)
+    f.__name__: f for f in (op1_minhash, op2_quality_rules, op4_pii, op6_url_filter, op8_best_fit_packing, op9_language_id, op10_line_templates)
 }
