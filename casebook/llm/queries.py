@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import langid, line_templates, minhash, packing, pii, quality, url_filter
+from casebook.llm import langid, line_templates, minhash, packing, permutation_index, pii, quality, url_filter
 from casebook.llm.common import table
 
 RULES = (
@@ -38,6 +38,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_quality_rules, op4_pii, op6_url_filter, op8_best_fit_packing, op9_language_id, op10_line_templates)
+    f.__name__: f for f in (op1_minhash, op2_quality_rules, op4_pii, op6_url_filter, op7_permutation_index, op8_best_fit_packing, op9_language_id, op10_line_templates)
 }
