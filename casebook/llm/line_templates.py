@@ -46,18 +46,14 @@ def masked(text: Column) -> Column:
 
 def templates(line: Column, min_tokens: int = MIN_TOKENS) -> Column:
     """array<long>: hashes of the templates of a masked line; empty for a short line."""
-    tokens = F.filter(F.split(line, r"\s+"), lambda t: t != "")
-
     def of(t: Column) -> Column:
-        lead = F.slice(t, 1, DEPTH)
-        rest = F.slice(t, DEPTH + 1, F.greatest(F.size(t), F.lit(1)))
-        path = [F.size(t), F.array_join(lead, " ")]
-        every = lambda k: F.array_join(F.filter(rest, lambda _, i: i % 2 == k), " ")
-        exact = F.xxhash64(*path, F.array_join(rest, " "))
-        wide = F.array(exact, F.xxhash64(*path, F.lit("even"), every(0)), F.xxhash64(*path, F.lit("odd"), every(1)))
-        return F.when(F.size(t) >= WIDE, wide).when(F.size(t) >= min_tokens, F.array(exact)).otherwise(F.array().cast("array<long>"))
-
-    return F.transform(F.array(tokens), of)[0]
+        path = [F.size(t), F.slice(t, 1, DEPTH)]
+        every = lambda k: F.filter(t, lambda _, i: i % 2 == k)
+        # the exact template is the masked line itself, which holds its path
+        wide = F.array(F.xxhash64(line), F.xxhash64(F.lit("even"), *path, every(0)), F.xxhash64(F.lit("odd"), *path, every(1)))
+        return F.when(F.size(t) >= WIDE, wide).when(F.size(t) >= min_tokens, F.array(F.xxhash64(line))).otherwise(F.array().cast("array<long>"))
+
+    return F.transform(F.array(F.split(F.trim(line), r"\s+")), of)[0]
 
 
 def parsed(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
