@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import documents
+from casebook.llm.common import documents, written
 
 DEPTH = 3
 MIN_DOCS = 5
@@ -57,16 +57,15 @@ def templates(line: Column, min_tokens: int = MIN_TOKENS) -> Column:
 
 
 def parsed(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, _text_hash, line (from 0), template: one row for each template of each line."""
-    lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_text_hash"), F.posexplode(F.split(masked(F.col("text")), "\n", -1)).alias("line", "masked"))
-    return lines.where(F.length("masked") > 0).select("doc_id", "_text_hash", "line", F.explode(templates(F.col("masked"), min_tokens)).alias("template"))
+    """doc_id, _text_hash, templates (array<array<long>>: those of each line) of every row with a text."""
+    lines = F.split(masked(F.col("text")), "\n", -1)
+    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_text_hash"), F.transform(lines, lambda x: templates(x, min_tokens)).alias("templates"))
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def recurring(parsed_docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """template, n_docs of the templates in at least ``min_docs`` documents."""
-    lines = F.split(masked(F.col("text")), "\n", -1)
-    own = F.array_distinct(F.flatten(F.transform(lines, lambda line: templates(line, min_tokens))))
-    return docs.where("text is not null").select(F.explode(own).alias("template")).groupBy("template").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    own = F.explode(F.array_distinct(F.flatten("templates"))).alias("template")
+    return parsed_docs.select(own).groupBy("template").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
 def drop_recurring(
@@ -74,8 +73,10 @@ def drop_recurring(
 ) -> DataFrame:
     """doc_id, text (what is left), n_lines, n_recurring and n_dropped lines (long), of every row."""
     docs = documents(df, id_col, text_col)
+    trees = written(parsed(docs, min_tokens))
+    lines = trees.select("doc_id", "_text_hash", F.posexplode("templates").alias("line", "of")).select("doc_id", "_text_hash", "line", F.explode("of").alias("template"))
     hits = (
-        parsed(docs, min_tokens).join(recurring(docs, min_docs, min_tokens).select("template"), "template", "left_semi")
+        lines.join(recurring(trees, min_docs).select("template"), "template", "left_semi")
         .groupBy("doc_id", "_text_hash").agg(F.collect_set("line").alias("_hit"))
         .withColumnsRenamed({"doc_id": "_id", "_text_hash": "_hash"})
     )
