@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import langid, line_templates, minhash, packing, permutation_index, pii, quality, url_filter
+from casebook.llm import byte_bpe, langid, line_templates, minhash, packing, permutation_index, pii, quality, url_filter
 from casebook.llm.common import table
 
 RULES = (
@@ -34,6 +34,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(spans).alias("spans"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(byte_bpe.decoded(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
@@ -56,5 +64,5 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_quality_rules, op4_pii, op6_url_filter, op7_permutation_index, op8_best_fit_packing, op9_language_id, op10_line_templates)
+    f.__name__: f for f in (op1_minhash, op2_quality_rules, op4_pii, op5_byte_bpe, op6_url_filter, op7_permutation_index, op8_best_fit_packing, op9_language_id, op10_line_templates)
 }
