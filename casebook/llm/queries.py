@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import byte_bpe, langid, line_templates, minhash, packing, permutation_index, pii, quality, url_filter
+from casebook.llm import byte_bpe, langid, line_templates, minhash, packing, permutation_index, pii, quality, suffix_dedup, url_filter
 from casebook.llm.common import table
 
 RULES = (
@@ -26,6 +26,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda s: s["kind"])
@@ -64,5 +69,5 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_quality_rules, op4_pii, op5_byte_bpe, op6_url_filter, op7_permutation_index, op8_best_fit_packing, op9_language_id, op10_line_templates)
+    f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_suffix_dedup, op4_pii, op5_byte_bpe, op6_url_filter, op7_permutation_index, op8_best_fit_packing, op9_language_id, op10_line_templates)
 }
