@@ -12,10 +12,11 @@ large, is one class and costs one row.
 * Stars: in a bucket one class, that with the most bucket mates overall, is the centre, and
   edges go from it to the others, so edges grow as the members, not as their square.
   Edges are confirmed on the whole sets.
-* What stars leave open: two members of a bucket that are not in one component yet. Such
-  pairs, each taken in the first bucket they share and only if their sketches agree
-  closely enough to be links, are confirmed as well. Members of one component need no
-  further edge, so large groups of near copies stay cheap.
+* What stars leave open: two members of a bucket that are not in one component yet. The star
+  has told in which shingles each differs from the centre, and the sets of two members differ
+  in exactly the symmetric difference of these (small) sets, so a join within the bucket
+  finds the links among them, and only those, without a text. Members of one component need
+  no further edge, so large groups of near copies stay cheap.
 
 Components come from all confirmed links (`graph.components`).
 
@@ -41,9 +42,6 @@ from casebook.llm.graph import components
 
 BANDS, ROWS = 40, 8
 BINS = BANDS * ROWS
-SKETCH = 128
-#: Sketches of linked sets agree in this share at least, five standard deviations below the threshold.
-SLACK = 0.15
 PROBES = 64
 MAX_WORDS_KEPT = 200_000  # hashes of words that a task keeps at hand; more only cost time
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -112,7 +110,7 @@ def bands(values: np.ndarray) -> np.ndarray:
     return key
 
 
-SKETCHED = "n_shingles long, cls long, bands array<long>, digest array<tinyint>"
+SKETCHED = "n_shingles long, cls long, bands array<long>"
 
 
 def _sketched(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
@@ -122,33 +120,36 @@ def _sketched(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]
         for text in batch["text"]:
             h = shingle(text)
             if len(h):
-                v = sketch(h)
                 cls = int.from_bytes(xxhash.xxh3_128_digest(h.tobytes())[:8], "little", signed=True)
-                rows.append((len(h), cls, bands(v).view(np.int64), (v[:SKETCH] * ODD[1] >> np.uint64(56)).astype(np.uint8).view(np.int8)))
+                rows.append((len(h), cls, bands(sketch(h)).view(np.int64)))
             else:
-                rows.append((0, None, None, None))
-        yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_shingles", "cls", "bands", "digest"])], axis=1)
+                rows.append((0, None, None))
+        yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_shingles", "cls", "bands"])], axis=1)
 
 
-def _confirmed(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
-    """The edges whose whole sets are similar enough; the last left side's set is kept for the next row."""
+COMPARED = "a long, b long, linked boolean, n long, edits array<long>"
+
+
+def _compared(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
+    """Compares whole sets; the last left side's set is kept for the next row."""
     shingle, last, left = Shingler(k), None, None
     for batch in batches:
-        ok = []
-        for a, ta, tb in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
+        out = []
+        for a, b, ta, tb in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
             if a != last:
                 last, left = a, shingle(ta)
             right = shingle(tb)
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            ok.append(100 * both >= percent * (len(left) + len(right) - both))
-        yield batch.loc[ok, ["a", "b"]]
+            edits = np.setxor1d(left, right, assume_unique=True)
+            n = len(left) + len(right)
+            out.append((a, b, 100 * (n - len(edits)) >= percent * (n + len(edits)), len(right), edits.view(np.int64)))
+        yield pd.DataFrame(out, columns=["a", "b", "linked", "n", "edits"])
 
 
-def confirmed(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) between classes, confirmed on the whole texts (cls, text)."""
+def compared(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Whether the sets of the classes of each edge (a, b) are similar enough; b's size; in which shingles they differ."""
     right = texts.withColumnsRenamed({"cls": "b", "text": "text_b"})
     left = texts.withColumnsRenamed({"cls": "a", "text": "text_a"})
-    return edges.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(partial(_confirmed, k=k, percent=percent), "a long, b long")
+    return edges.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(partial(_compared, k=k, percent=percent), COMPARED)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -159,11 +160,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = documents(df, id_col, text_col)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sketches = written(docs.mapInPandas(partial(_sketched, k=k), f"doc_id {id_type}, {SKETCHED}"))
-    classes = written(sketches.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("digest").alias("digest")))
+    classes = written(sketches.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
 
-    keyed = classes.select("cls", F.posexplode("bands").alias("band", "key"))
+    keyed = classes.select("cls", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(keyed.join(shared, "key").select("key", "band", "cls", "n"))
+    members = written(keyed.join(shared, "key").select("key", "cls", "n"))
     degree = members.groupBy("cls").agg(F.sum("n").alias("degree"))
     ranked = members.join(degree, "cls")
     centres = ranked.groupBy("key").agg(F.max(F.struct("degree", "cls"))["cls"].alias("a"))
@@ -173,23 +174,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # one text a class: rows with the class's first id may hold other texts too if ids repeat, so the class is compared as well
     ids = sketches.select("doc_id", "cls", "n_shingles").join(wanted, "cls").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "cls").distinct()
     texts = written(_texts(docs, ids, k))
-    linked = written(confirmed(stars, texts, k, percent))
+    spokes = written(compared(stars, texts, k, percent))
+    linked = spokes.where("linked").select("a", "b")
     comps = components(linked)
 
-    at = members.join(comps, members["cls"] == comps["node"], "left").select("key", "band", "cls", F.coalesce("comp", "cls").alias("comp"))
+    at = members.join(comps, members["cls"] == comps["node"], "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
     open_keys = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    waiting = written(at.join(open_keys, "key", "left_semi").join(classes.select("cls", "bands", "digest"), "cls"))
+    waiting = at.join(open_keys, "key").join(centres, "key").withColumnRenamed("cls", "b").join(spokes.select("a", "b", "n", "edits"), ["a", "b"])
+    waiting = written(waiting.select("key", "b", "comp", "n", "edits", F.size("edits").alias("e")))
     left, right = waiting.alias("l"), waiting.alias("r")
-    same = lambda x, y: F.zip_with(x, y, lambda p, q: p == q)
-    agree = F.size(F.filter(same(F.col("l.digest"), F.col("r.digest")), lambda e: e))
+    n = F.col("l.n") + F.col("r.n")
+    differ = F.col("l.e") + F.col("r.e") - 2 * F.size(F.array_intersect("l.edits", "r.edits"))
+    enough = lambda apart: 100 * (n - apart) >= percent * (n + apart)
     pair = (
-        (F.col("l.key") == F.col("r.key")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.comp") != F.col("r.comp"))
-        & (F.array_position(same(F.col("l.bands"), F.col("r.bands")), True) == F.col("l.band") + 1)
-        & (agree >= int(SKETCH * (percent / 100 - SLACK)))
+        (F.col("l.key") == F.col("r.key")) & (F.col("l.b") < F.col("r.b")) & (F.col("l.comp") != F.col("r.comp"))
+        & enough(F.abs(F.col("l.e") - F.col("r.e"))) & enough(differ)
     )
-    more = left.join(right, pair).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    further = written(confirmed(more.join(tested, ["a", "b"], "left_anti"), texts, k, percent))
+    further = written(left.join(right, pair).select(F.col("l.b").alias("a"), F.col("r.b").alias("b")).distinct())
     comps = components(linked.union(further))
 
     roots = classes.select("cls", "first_id").join(comps, classes["cls"] == comps["node"], "left").select("cls", "first_id", F.coalesce("comp", "cls").alias("comp"))
