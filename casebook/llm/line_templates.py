@@ -72,7 +72,18 @@ def drop_recurring(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, max_share: float = MAX_SHARE
 ) -> DataFrame:
     """doc_id, text (what is left), n_lines, n_recurring and n_dropped lines (long), of every row."""
-    docs = documents(df, id_col, text_col)
+    return _dropped(documents(df, id_col, text_col), min_docs, min_tokens, max_share).drop("_more")
+
+
+def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, max_share: float = MAX_SHARE) -> DataFrame:
+    """All rows and columns of ``df`` with the recurring lines dropped from ``text_col``."""
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *(c for c in df.columns if c != text_col)).alias("_more"))
+    left = _dropped(docs, min_docs, min_tokens, max_share)
+    return left.select(*(F.col("text").alias(c) if c == text_col else F.col(f"_more.`{c}`").alias(c) for c in df.columns))
+
+
+def _dropped(docs: DataFrame, min_docs: int, min_tokens: int, max_share: float) -> DataFrame:
+    docs = docs if "_more" in docs.columns else docs.withColumn("_more", F.lit(None))
     trees = written(parsed(docs, min_tokens))
     lines = trees.select("doc_id", "_text_hash", F.posexplode("templates").alias("line", "of")).select("doc_id", "_text_hash", "line", F.explode("of").alias("template"))
     hits = (
@@ -89,9 +100,9 @@ def drop_recurring(
     left = F.when(some, F.transform(F.filter(flags, lambda x: ~F.array_contains(F.col("_hit"), x["k"])), lambda x: x["line"])).otherwise(F.col("_lines"))
     count = lambda lines: F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x))
     n_lines = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
-    measured = found.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(n_lines).alias("n_lines"), F.size(hit).cast("long").alias("n_recurring"), left.alias("_left"), count(F.col("_lines")).alias("_all"))
+    measured = found.select("doc_id", "text", "_more", F.when(F.col("text").isNull(), 0).otherwise(n_lines).alias("n_lines"), F.size(hit).cast("long").alias("n_recurring"), left.alias("_left"), count(F.col("_lines")).alias("_all"))
     drop = (F.col("n_recurring") > 0) & (F.col("_all") - count(F.col("_left")) <= max_share * F.col("_all"))
     return measured.select(
-        "doc_id", F.when(drop, F.array_join("_left", "\n")).otherwise(F.col("text")).alias("text"), "n_lines", "n_recurring",
+        "doc_id", "_more", F.when(drop, F.array_join("_left", "\n")).otherwise(F.col("text")).alias("text"), "n_lines", "n_recurring",
         F.when(drop, F.col("n_recurring")).otherwise(0).cast("long").alias("n_dropped"),
     )

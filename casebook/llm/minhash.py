@@ -4,11 +4,11 @@ A document's set is its distinct word shingles as 64-bit hashes. Documents with
 sets form a class; everything below works on classes, so a group of exact copies, however
 large, is one class and costs one row.
 
-* Sketch: one hash a shingle; its high bits choose one of ``BANDS * ROWS`` bins, the
-  smallest hash of a bin is its value. Empty bins copy the value of the first non-empty
+* Sketch: one hash a shingle; its high bits choose one of the bins (``BANDS`` times the rows of
+  a band), the smallest hash of a bin is its value. Empty bins copy the value of the first non-empty
   bin on a probe sequence that depends on (bin, attempt) alone (optimal densification).
 * Buckets: classes that agree in all rows of a band. With 40 bands of 8 rows two sets of
-  similarity 0.85 share no bucket with a probability of 3e-6.
+  similarity 0.85 share no bucket with a probability of 3e-6 (`rows_of_band`).
 * Stars: in a bucket one class, that with the most bucket mates overall, is the centre, and
   edges go from it to the others, so edges grow as the members, not as their square.
   Edges are confirmed on the whole sets.
@@ -41,7 +41,6 @@ from casebook.llm.common import documents, written
 from casebook.llm.graph import components
 
 BANDS, ROWS = 40, 8
-BINS = BANDS * ROWS
 PROBES = 64
 MAX_WORDS_KEPT = 200_000  # hashes of words that a task keeps at hand; more only cost time
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -78,20 +77,20 @@ class Shingler:
 
 
 @cache
-def _probes() -> np.ndarray:
+def _probes(n: int) -> np.ndarray:
     """Donor of each (attempt, bin)."""
-    x = mixed(np.arange(1, PROBES * BINS + 1, dtype=np.uint64) * ODD[1])
-    return (x % np.uint64(BINS)).astype(np.int64).reshape(PROBES, BINS)
+    x = mixed(np.arange(1, PROBES * n + 1, dtype=np.uint64) * ODD[1])
+    return (x % np.uint64(n)).astype(np.int64).reshape(PROBES, n)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The BINS values of a non-empty sorted set."""
-    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+def sketch(hashes: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    """The n values of a non-empty sorted set."""
+    bins = ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])  # hashes are sorted and bins follow their high bits
-    out, full = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
+    out, full = np.zeros(n, np.uint64), np.zeros(n, bool)
     out[bins[first]], full[bins[first]] = hashes[first], True
-    source = np.where(full, np.arange(BINS), -1)
-    for donors in _probes():
+    source = np.where(full, np.arange(n), -1)
+    for donors in _probes(n):
         empty = np.flatnonzero(source < 0)
         if not len(empty):
             break
@@ -102,10 +101,10 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out[source]
 
 
-def bands(values: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band; the band's number is part of it."""
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * ODD[2]
-    for column in values.reshape(BANDS, ROWS).T:
+def bands(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """One 64-bit key for each band of ``rows`` values; the band's number is part of it."""
+    key = np.arange(1, len(values) // rows + 1, dtype=np.uint64) * ODD[2]
+    for column in values.reshape(-1, rows).T:
         key = mixed(key * ODD[0] + column)
     return key
 
@@ -113,7 +112,7 @@ def bands(values: np.ndarray) -> np.ndarray:
 SKETCHED = "n_shingles long, cls long, bands array<long>"
 
 
-def _sketched(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+def _sketched(batches: Iterator[pd.DataFrame], k: int, rows_of_band: int) -> Iterator[pd.DataFrame]:
     shingle = Shingler(k)
     for batch in batches:
         rows = []
@@ -121,12 +120,17 @@ def _sketched(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]
             h = shingle(text)
             if len(h):
                 cls = int.from_bytes(xxhash.xxh3_128_digest(h.tobytes())[:8], "little", signed=True)
-                rows.append((len(h), cls, bands(sketch(h)).view(np.int64)))
+                rows.append((len(h), cls, bands(sketch(h, BANDS * rows_of_band), rows_of_band).view(np.int64)))
             else:
                 rows.append((0, None, None))
         yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_shingles", "cls", "bands"])], axis=1)
 
 
+def rows_of_band(percent: int) -> int:
+    """So many rows that two sets just similar enough share none of BANDS bands with a probability below 1e-5."""
+    return max(1, max((r for r in range(1, ROWS + 1) if (1 - (percent / 100) ** r) ** BANDS < 1e-5), default=1))
+
+
 COMPARED = "a long, b long, linked boolean, n long, edits array<long>"
 
 
@@ -159,7 +163,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = documents(df, id_col, text_col)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sketches = written(docs.mapInPandas(partial(_sketched, k=k), f"doc_id {id_type}, {SKETCHED}"))
+    sketches = written(docs.mapInPandas(partial(_sketched, k=k, rows_of_band=rows_of_band(percent)), f"doc_id {id_type}, {SKETCHED}"))
     classes = written(sketches.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
 
     keyed = classes.select("cls", F.explode("bands").alias("key"))

@@ -69,5 +69,9 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_suffix_dedup, op4_pii, op5_byte_bpe, op6_url_filter, op7_permutation_index, op8_best_fit_packing, op9_language_id, op10_line_templates)
-}
+    f.__name__: f
+    for f in (
+        op1_minhash, op2_quality_rules, op3_suffix_dedup, op4_pii, op5_byte_bpe,
+        op6_url_filter, op7_permutation_index, op8_best_fit_packing, op9_language_id, op10_line_templates,
+    )
+}
