@@ -1,0 +1 @@
+"""Casebook: forensic event analytics as Spark DataFrame operators."""
