@@ -289,21 +289,21 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             _, start, end = runs(np.zeros(len(cuts), np.int64), np.array([c["start"] for c in cuts]), np.array([c["end"] for c in cuts]))
             kept = b"".join(raw[a:b] for a, b in zip(np.r_[0, end], np.r_[start, len(raw)], strict=True))
             out.append((len(raw), len(raw) - len(kept), len(start), kept))
-        yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])], axis=1)
+        yield pd.concat([batch[["doc"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])], axis=1)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) of every row."""
-    docs = documents(df, id_col, text_col).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text")
-    long_enough = docs.where(F.octet_length("text") >= LENGTH).select("doc", "text")
-    suffixes = long_enough.mapInPandas(_suffixes, _ddl(ROW))
+    id_type = df.select(F.col(id_col)).schema[0].dataType
+    docs = documents(df, id_col, text_col).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text")
+    suffixes = docs.mapInPandas(_suffixes, _ddl(ROW))
     keys = ["lead", "gram", "span"]
     spans = written(suffixes.repartitionByRange(*keys).sortWithinPartitions(*keys, "doc", "packed").mapInPandas(_compared, "doc long, packed long, start long, end long"))
     shared = spans.where("packed is not null").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("packed").alias("suffixes"))
-    windows = long_enough.join(shared, long_enough["doc"] == shared["_doc"]).select("doc", "text", "suffixes").dropDuplicates(["doc"]).mapInPandas(_windows, _ddl(WINDOW))
+    # both joins read the same shuffle of ``docs``, so texts are moved once
+    windows = docs.join(shared, docs["doc"] == shared["_doc"]).select("doc", "text", "suffixes").dropDuplicates(["doc"]).mapInPandas(_windows, _ddl(WINDOW))
     later = windows.repartition("window").sortWithinPartitions("window", "doc", "start").mapInPandas(_later, "doc long, start long, end long")
     cuts = spans.where("packed is null").select("doc", "start", "end").unionByName(later)
     cuts = cuts.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-    found = docs.join(cuts, docs["doc"] == cuts["_doc"], "left").select("doc_id", "text", "cuts")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return found.mapInPandas(_cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
+    found = docs.join(cuts, docs["doc"] == cuts["_doc"], "left").select("doc", "text", "cuts").mapInPandas(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return found.select(F.nullif("doc", F.lit(-(1 << 63))).cast(id_type).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
