@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from casebook.llm.common import documents, written
 
 OPEN, CLOSE, NEXT = "\ufffe", "\uffff", "\ufdd0"
-RANK_BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 17
-SAMPLE_ROWS, KNOWN_WORDS, HASH_STEPS = 60_000, 400_000, 4096
+RANK_BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 16
+SAMPLE_ROWS, KNOWN_WORDS, HASH_STEPS = 40_000, 200_000, 4096
 #: White space in the sense of the pattern's language; Java's own \s is ASCII only.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -161,7 +161,7 @@ def frequent(docs: DataFrame, pattern: str, ranks: Column, rows: int = SAMPLE_RO
             least = r["n"] + 1
             break
     found = counts.where(F.col("n") >= least).repartition("word").select("word", folded(F.col("word"), ranks).alias("ids"))
-    return [(r["word"], r["ids"]) for r in found.collect()]
+    return list(found.toPandas().itertuples(index=False, name=None))
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,9 +173,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     table = bucket_literal(frequent(docs, pattern, ranks), WORD_BUCKETS)
     plain = ~F.rlike("text", F.lit(f"[{OPEN}{CLOSE}{NEXT}]"))
     found = words(F.col("text"), pattern)
-    quick = F.transform("_words", lambda w: F.coalesce(looked_up(table, WORD_BUCKETS, w), folded(w, ranks)))
-    slow = F.transform("_words", lambda w: folded(w, ranks))
-    ids = F.array_join(F.when(F.col("_plain"), quick).otherwise(slow), " ")
+    ids = F.array_join(F.transform("_words", lambda w: F.coalesce(F.when(F.col("_plain"), looked_up(table, WORD_BUCKETS, w)), folded(w, ranks))), " ")
     coded = docs.select("*", found.alias("_words"), plain.alias("_plain")).select("doc_id", "text", F.coalesce(ids, F.lit("")).alias("ids"))
     count = F.when(F.col("ids") == "", 0).otherwise(F.octet_length("ids") - F.octet_length(F.replace("ids", F.lit(" "))) + 1)
     return coded.select("doc_id", "text", count.cast("long").alias("n_tokens"), "ids")
