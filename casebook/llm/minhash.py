@@ -123,7 +123,9 @@ def _sketched(batches: Iterator[pd.DataFrame], k: int, rows_of_band: int) -> Ite
                 rows.append((len(h), cls, bands(sketch(h, BANDS * rows_of_band), rows_of_band).view(np.int64)))
             else:
                 rows.append((0, None, None))
-        yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_shingles", "cls", "bands"])], axis=1)
+        n, cls, bands_of = zip(*rows, strict=True) if rows else ((), (), ())
+        # a nullable type: pandas would make floats of long numbers beside nulls
+        yield pd.DataFrame({"id_text": batch["id_text"].to_numpy(), "n_shingles": n, "cls": pd.array(cls, "Int64"), "bands": pd.Series(bands_of, dtype=object)})
 
 
 def rows_of_band(percent: int) -> int:
@@ -162,8 +164,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows are linked if 100 * intersection >= ``percent`` * union of their sets of ``k``-word shingles.
     """
     docs = documents(df, id_col, text_col)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    sketches = written(docs.mapInPandas(partial(_sketched, k=k, rows_of_band=rows_of_band(percent)), f"doc_id {id_type}, {SKETCHED}"))
+    # ids go through pandas as text, where nulls change no other value
+    named = docs.select(F.col("doc_id").cast("string").alias("id_text"), "text").mapInPandas(partial(_sketched, k=k, rows_of_band=rows_of_band(percent)), f"id_text string, {SKETCHED}")
+    sketches = written(named.select(F.col("id_text").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_shingles", "cls", "bands"))
     classes = written(sketches.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
 
     keyed = classes.select("cls", F.explode("bands").alias("key"))

@@ -11,7 +11,7 @@ follows a hot source, and memory is bounded), and each shard is packed by itself
 * at last each bin is downsized to the smallest permitted size that holds it.
 
 Defined cases: a null or empty text has one row with no bin (``bin_id`` null and
-``bin_size`` 0). Equal lengths are packed in order of (doc_id, piece), nulls first,
+``bin_size`` 0). Equal lengths are packed in order of (doc_id as text, piece), nulls first,
 so a result depends on the rows only. Repeated rows are packed each by itself.
 """
 
@@ -108,11 +108,13 @@ def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, si
         "doc_id", "piece", (F.col("piece") * F.lit(largest).cast("long")).alias("start"),
         F.least(F.lit(largest).cast("long"), F.col("n") - F.col("piece") * F.lit(largest).cast("long")).cast("int").alias("length"),
     )
-    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length int, bin_id long, bin_size int, bin_offset int"
+    shape = "doc_id string, piece int, start long, length int, bin_id long, bin_size int, bin_offset int"
     empty = pieces.where("length = 0").select("*", F.lit(None).cast("long").alias("bin_id"), F.lit(0).alias("bin_size"), F.lit(0).alias("bin_offset"))
     packed = (
         pieces.where("length > 0")
         .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+        .withColumn("doc_id", F.col("doc_id").cast("string"))  # through pandas as text, where nulls change no other value
         .groupBy("shard").applyInPandas(partial(_packed, sizes=tuple(sizes)), shape)
+        .withColumn("doc_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType))
     )
     return packed.unionByName(empty)
