@@ -117,22 +117,25 @@ def folded(word: Column, ranks: Column) -> Column:
     together = lambda state: F.split(F.substring(state, F.lit(2), F.length(state) - 2), CLOSE + OPEN)
 
     def merged(state: Column) -> Column:
+        over = F.struct(state["text"].alias("text"), F.lit(False).alias("more"))
+
         def of(pieces: Column) -> Column:
             n = F.size(pieces)
             pairs = F.zip_with(F.slice(pieces, F.lit(1), n - 1), F.slice(pieces, F.lit(2), n - 1), lambda a, b: F.struct(rank(F.concat(a, b)).alias("r"), a.alias("a"), b.alias("b")))
-            best = lambda some: F.array_min(F.filter(some, lambda x: x["r"].isNotNull()))
+            best = F.array_min(F.filter(pairs, lambda x: x["r"].isNotNull()))
 
             def put(x: Column) -> Column:
                 was = F.concat(F.lit(OPEN), x["a"], F.lit(CLOSE + OPEN), x["b"], F.lit(CLOSE))
-                return F.when(x.isNull(), state).otherwise(F.replace(state, was, F.concat(F.lit(OPEN), x["a"], x["b"], F.lit(CLOSE))))
+                now = F.replace(state["text"], was, F.concat(F.lit(OPEN), x["a"], x["b"], F.lit(CLOSE)))
+                return F.when(x.isNull(), over).otherwise(F.struct(now.alias("text"), F.lit(True).alias("more")))
 
-            return F.when(n < 2, state).otherwise(let(best(pairs), put))
+            return F.when(n < 2, over).otherwise(let(best, put))
 
-        return let(together(state), of)
+        return F.when(state["more"], let(together(state["text"]), of)).otherwise(over)
 
     def by_fold(b: Column) -> Column:
-        bytes_apart = F.regexp_replace(b, "(?s)(.)", f"{OPEN}$1{CLOSE}")
-        last = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b) - 1)), bytes_apart, lambda state, _: merged(state))
+        start = F.struct(F.regexp_replace(b, "(?s)(.)", f"{OPEN}$1{CLOSE}").alias("text"), F.lit(True).alias("more"))
+        last = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b) - 1)), start, lambda state, _: merged(state))["text"]
         return F.array_join(F.transform(together(last), lambda p: looked_up(ranks, RANK_BUCKETS, p)), " ")
 
     return let(as_bytes, lambda b: F.coalesce(looked_up(ranks, RANK_BUCKETS, b), by_fold(b)))

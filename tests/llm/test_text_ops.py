@@ -148,7 +148,7 @@ def test_byte_bpe(spark, make, odd_texts):
     assert ranks[base64.b64decode(b"IQ==")] == 0 and byte_bpe.check_ranks(path)
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(6)
-    texts = [*odd_texts[:4], odd_texts[7], "a" * 400, " " * 300 + "x  y\u3000 z\u00a0\n\n ", "I'll we've don't 'S 12345 ½ !!?? --\t", "\ufffe odd \uffff marks \ufdd0", "<|endoftext|>", "\x00\x01\x1f", *(words(rng, 200) for _ in range(5))]
+    texts = [*odd_texts, "a" * 400, " " * 300 + "x  y\u3000 z\u00a0\n\n ", "I'll we've don't 'S 12345 ½ !!?? --\t", "\ufffe odd \uffff marks \ufdd0", "<|endoftext|>", "\x00\x01\x1f", *(words(rng, 200) for _ in range(5))]
     texts += ["".join(chr(rng.choice([rng.randint(32, 126), rng.randint(160, 0x24F), rng.randint(0x3000, 0x30FF), 0x1F600, 10])) for _ in range(120)) for _ in range(30)]
     coded = byte_bpe.encode(make(texts), path, public_tokenizers.PATTERN).withColumn("back", byte_bpe.decoded(F.col("ids"), path))
     for r in coded.collect():
