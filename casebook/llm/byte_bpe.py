@@ -1,42 +1,45 @@
-r"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
-
-Words are the matches of the tokenizer's pattern, their bytes held as strings with one
-character a byte (ISO-8859-1). A fold over a word's pieces takes, again and again, the
-neighbours whose concatenation has the lowest rank and merges all of them, from left to
-right; it ends when no concatenation has a rank. (Merging all neighbours of one rank at
-once equals merging them one by one if every token's own bytes encode to that token,
-which `check_ranks` makes sure of.) The ranks are a literal of the plan: hashed buckets,
-because Spark looks a key up in a map by going through it.
-
-Most of a corpus is made of few distinct words. `frequent` counts the distinct words of
-a bounded sample (about ``SAMPLE_ROWS`` rows with the smallest text hashes), folds each of
-the up to ``KNOWN_WORDS`` most frequent once, and makes them a second literal; other words
-are folded where they stand. The sample decides only which way a word takes, never its ids.
-No text is shuffled.
-
-Decoding looks up the bytes of each id in a literal array and concatenates them.
-
-Defined cases: a null or empty text has no tokens, and decodes to no bytes. Rows are
-encoded each by itself. Texts with the two non-characters that delimit literals, U+FFFE
-and U+FFFF, are encoded by the fold alone.
+r"""Byte-level BPE encoding and decoding.
+
+Words are the matches of the tokenizer's pattern. A fold over a word's byte pieces merges, again and
+again, the neighbours whose concatenation has the lowest rank, until no concatenation has one.
+
+Two forms of the fold give the same ids:
+
+* `folded` is made of Spark's higher-order functions over the word's bytes and a literal rank map. The map
+  is a literal of hashed buckets, because Spark looks a key up in a map by going through it. It merges all
+  neighbours of one rank at once, from left to right, which equals merging them one by one if every
+  token's own bytes encode to that token (`check_ranks` makes sure). `encode_words` applies it to the distinct words
+  of a table.
+* `encode` runs over whole texts in Arrow batches: each task folds a distinct word once and remembers it. The
+  native form takes about 190 microseconds a distinct word (README), too much for whole corpora, whose
+  rare words hardly repeat.
+
+Decoding (`decoded`) looks up the bytes of each id in a literal array and concatenates them, in Spark's
+higher-order functions. No text is shuffled.
+
+Defined cases: a null or empty text has no tokens, and decodes to no bytes. Rows are encoded each by itself.
+Very long words (a run of one letter) take n log n steps in `encode`.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import documents, written
+from casebook.llm.common import documents
 
 OPEN, CLOSE, NEXT = "\ufffe", "\uffff", "\ufdd0"
-RANK_BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 16
-SAMPLE_ROWS, KNOWN_WORDS, HASH_STEPS = 40_000, 200_000, 4096
+RANK_BUCKETS = 1 << 15
+KNOWN_WORDS = 300_000  # words whose ids a task keeps at hand
+SHORT = 48  # bytes of words that are merged by plain search
 #: White space in the sense of the pattern's language; Java's own \s is ASCII only.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -145,41 +148,92 @@ def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def frequent(docs: DataFrame, pattern: str, ranks: Column, rows: int = SAMPLE_ROWS, known: int = KNOWN_WORDS) -> list[tuple[str, str]]:
-    """(word, ids) of at most ``known`` words, the most frequent in a bounded sample, each folded once."""
-    step = F.pmod(F.xxhash64("text"), F.lit(HASH_STEPS)).cast("int")
-    sizes = docs.where("text is not null").groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
-    upto, total = -1, 0
-    for r in sorted(sizes, key=lambda r: r["step"]):
-        if total + r["n"] > rows and total:
-            break
-        upto, total = r["step"], total + r["n"]
-    counts = docs.where(step <= upto).select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
-    counts = counts.where((F.length("word") <= 64) & ~F.rlike("word", F.lit(f"[{OPEN}{CLOSE}{NEXT}]")))
-    counts = written(counts)
-    least, total = 2, 0
-    for r in sorted(counts.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["n"]):
-        total += r["words"]
-        if total > known:
-            least = r["n"] + 1
-            break
-    found = counts.where(F.col("n") >= least).repartition("word").select("word", folded(F.col("word"), ranks).alias("ids"))
-    return list(found.toPandas().itertuples(index=False, name=None))
+def encode_words(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """word, n (occurrences), ids of the distinct words of a table, by higher-order functions only."""
+    if not check_ranks(path):
+        raise ValueError(f"{path} is not a proper byte-level vocabulary")
+    found = df.select(F.explode(words(F.col(text_col), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return found.select("word", "n", folded(F.col("word"), rank_literal(load_ranks(path))).alias("ids"))
+
+
+class Encoder:
+    """Ids of texts, as text; remembers the ids of words. It is sent to tasks as its two parameters."""
+
+    def __init__(self, path: str, pattern: str):
+        self.path, self.pattern = path, pattern
+        self.known: dict[str, str] | None = None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "pattern": self.pattern, "known": None}
+
+    def __call__(self, text: str | None) -> str:
+        if self.known is None:
+            import regex
+
+            self.known, self.ranks, self.cut = {}, load_ranks(self.path), regex.compile(self.pattern).findall
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        known, out = self.known, []
+        for word in self.cut(text or ""):
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = " ".join(map(str, self.fold(word.encode("utf-8", "surrogatepass"))))
+            out.append(ids)
+        return " ".join(out)
+
+    def fold(self, word: bytes) -> list[int]:
+        if word in self.ranks:
+            return [self.ranks[word]]
+        return merge_all(word, self.ranks) if len(word) <= SHORT else merge_by_heap(word, self.ranks)
+
+
+def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """`merge_all` for long words: pairs wait in a heap by (rank, place); pieces are linked by their ends."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that starts at a place
+    alive = [True] * n
+
+    def pair(at: int) -> tuple[int, int, int] | None:
+        if end[at] >= n:
+            return None
+        rank = ranks.get(word[at : end[end[at]]])
+        return None if rank is None else (rank, at, end[end[at]])
+
+    heap = [x for x in map(pair, range(n)) if x]
+    heapq.heapify(heap)
+    while heap:
+        _, at, upto = heapq.heappop(heap)
+        # stale unless both pieces still are what they were
+        if not alive[at] or end[at] >= n or end[end[at]] != upto:
+            continue
+        alive[end[at]] = False
+        end[at] = upto
+        if upto < n:
+            before[upto] = at
+        for start in (at, before[at]):
+            if start >= 0 and (x := pair(start)):
+                heapq.heappush(heap, x)
+    out, at = [], 0
+    while at < n:
+        out.append(ranks[word[at : end[at]]])
+        at = end[at]
+    return out
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_tokens, ids (joined by blanks) of every row, by the ranks in the file ``path`` and the split ``pattern``."""
-    if not check_ranks(path):
-        raise ValueError(f"{path} is not a proper byte-level vocabulary")
-    docs = documents(df, id_col, text_col)
-    ranks = rank_literal(load_ranks(path))
-    table = bucket_literal(frequent(docs, pattern, ranks), WORD_BUCKETS)
-    plain = ~F.rlike("text", F.lit(f"[{OPEN}{CLOSE}{NEXT}]"))
-    found = words(F.col("text"), pattern)
-    ids = F.array_join(F.transform("_words", lambda w: F.coalesce(F.when(F.col("_plain"), looked_up(table, WORD_BUCKETS, w)), folded(w, ranks))), " ")
-    coded = docs.select("*", found.alias("_words"), plain.alias("_plain")).select("doc_id", "text", F.coalesce(ids, F.lit("")).alias("ids"))
+    """doc_id, n_tokens, ids (joined by blanks) of every row, by the ranks in the file ``path`` and the split ``pattern``."""
+    encoder = Encoder(path, pattern)
+
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([encoder(t) for t in texts], dtype=object)
+
+    coded = documents(df, id_col, text_col).withColumn("ids", F.pandas_udf(encoded, "string")("text"))
     count = F.when(F.col("ids") == "", 0).otherwise(F.octet_length("ids") - F.octet_length(F.replace("ids", F.lit(" "))) + 1)
-    return coded.select("doc_id", "text", count.cast("long").alias("n_tokens"), "ids")
+    return coded.select("doc_id", count.cast("long").alias("n_tokens"), "ids")
+
+
+# ---- decoding ----------------------------------------------------------------------------------
 
 
 def decoded(ids: Column, path: str) -> Column:

@@ -156,6 +156,19 @@ def test_byte_bpe(spark, make, odd_texts):
         assert (r.ids, r.n_tokens) == (" ".join(map(str, ids)), len(ids)), texts[r.doc_id]
         assert bytes(r.back) == (texts[r.doc_id] or "").encode()
     assert byte_bpe.encode(make([]), path, public_tokenizers.PATTERN).count() == 0
+    for word in (b"a" * 500, b" " * 333, texts[0 - 1].encode() * 3, words(rng, 80).encode()):
+        assert byte_bpe.merge_by_heap(word, ranks) == byte_bpe.merge_all(word, ranks)
+
+
+def test_byte_bpe_by_higher_order_functions(spark, make, odd_texts):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    texts = [*odd_texts[:4], *odd_texts[7:], "x  y\u3000 z\u00a0\n\n I'll we've 'S 12345 ½ !!?? --\t", "\x00\x01", "aaaaaaaaaaaaaaaaaaaaaa" * 9, "=" * 50]
+    rows = byte_bpe.encode_words(make(texts), path, public_tokenizers.PATTERN).collect()
+    assert len(rows) > 100 and all(r.ids == " ".join(map(str, reference.encode_ordinary(r.word))) for r in rows)
 
 
 # ---- op6 -----------------------------------------------------------------------------------------
