@@ -157,26 +157,43 @@ def encode_words(df: DataFrame, path: str, pattern: str, text_col: str = "text")
 
 
 class Encoder:
-    """Ids of texts, as text; remembers the ids of words. It is sent to tasks as its two parameters."""
+    """Ids of texts, as text. Remembers the ids of words and of chunks (what stands between two blanks).
+
+    A token may start with a blank but holds none behind another character, so a text without two kinds of
+    white space in a row falls into chunks at its blanks; other texts are matched whole.
+    """
 
     def __init__(self, path: str, pattern: str):
-        self.path, self.pattern = path, pattern
-        self.known: dict[str, str] | None = None
+        import regex
 
-    def __getstate__(self) -> dict:
-        return {"path": self.path, "pattern": self.pattern, "known": None}
+        self.ranks, self.cut, self.uneven = load_ranks(path), regex.compile(pattern).findall, regex.compile(r" \s| $").search
+        self.words: dict[str, str] = {}
+        self.chunks: dict[str, str] = {}
 
     def __call__(self, text: str | None) -> str:
-        if self.known is None:
-            import regex
-
-            self.known, self.ranks, self.cut = {}, load_ranks(self.path), regex.compile(self.pattern).findall
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known, out = self.known, []
-        for word in self.cut(text or ""):
+        if not text:
+            return ""
+        if self.uneven(text):
+            return self.matched(text)
+        known = self.chunks
+        first, *parts = text.split(" ")
+        out = [self.matched(first)] if first else []
+        for part in parts:
+            ids = known.get(part)
+            if ids is None:
+                if len(known) >= KNOWN_WORDS:
+                    known.clear()
+                ids = known[part] = self.matched(" " + part)
+            out.append(ids)
+        return " ".join(out)
+
+    def matched(self, text: str) -> str:
+        known, out = self.words, []
+        for word in self.cut(text):
             ids = known.get(word)
             if ids is None:
+                if len(known) >= KNOWN_WORDS:
+                    known.clear()
                 ids = known[word] = " ".join(map(str, self.fold(word.encode("utf-8", "surrogatepass"))))
             out.append(ids)
         return " ".join(out)
@@ -184,7 +201,27 @@ class Encoder:
     def fold(self, word: bytes) -> list[int]:
         if word in self.ranks:
             return [self.ranks[word]]
-        return merge_all(word, self.ranks) if len(word) <= SHORT else merge_by_heap(word, self.ranks)
+        return merge_short(word, self.ranks) if len(word) <= SHORT else merge_by_heap(word, self.ranks)
+
+
+@cache
+def encoder(path: str, pattern: str) -> Encoder:
+    """One for each process, so a worker's later tasks know the words of its earlier ones."""
+    return Encoder(path, pattern)
+
+
+def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """`merge_all` with the ranks of neighbours at hand: a merge changes at most two of them."""
+    none, rank, start = 1 << 62, ranks.get, list(range(len(word) + 1))
+    pairs = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (best := min(pairs)) < none:
+        at = pairs.index(best)
+        del start[at + 1], pairs[at]
+        if at < len(pairs):
+            pairs[at] = rank(word[start[at] : start[at + 2]], none)
+        if at:
+            pairs[at - 1] = rank(word[start[at - 1] : start[at + 1]], none)
+    return [ranks[word[a:b]] for a, b in zip(start, start[1:], strict=False)]
 
 
 def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -222,11 +259,10 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (joined by blanks) of every row, by the ranks in the file ``path`` and the split ``pattern``."""
-    encoder = Encoder(path, pattern)
-
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = encoder(path, pattern)
         for texts in batches:
-            yield pd.Series([encoder(t) for t in texts], dtype=object)
+            yield pd.Series([of(t) for t in texts], dtype=object)
 
     coded = documents(df, id_col, text_col).withColumn("ids", F.pandas_udf(encoded, "string")("text"))
     count = F.when(F.col("ids") == "", 0).otherwise(F.octet_length("ids") - F.octet_length(F.replace("ids", F.lit(" "))) + 1)

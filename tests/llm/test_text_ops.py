@@ -157,7 +157,11 @@ def test_byte_bpe(spark, make, odd_texts):
         assert bytes(r.back) == (texts[r.doc_id] or "").encode()
     assert byte_bpe.encode(make([]), path, public_tokenizers.PATTERN).count() == 0
     for word in (b"a" * 500, b" " * 333, texts[0 - 1].encode() * 3, words(rng, 80).encode()):
-        assert byte_bpe.merge_by_heap(word, ranks) == byte_bpe.merge_all(word, ranks)
+        assert byte_bpe.merge_by_heap(word, ranks) == byte_bpe.merge_short(word, ranks) == byte_bpe.merge_all(word, ranks)
+    encoder = byte_bpe.Encoder(path, public_tokenizers.PATTERN)
+    for _ in range(2000):
+        text = "".join(rng.choice(" \t\n  ab'sé\u3000.1") for _ in range(rng.randint(0, 12)))
+        assert encoder(text) == " ".join(map(str, reference.encode_ordinary(text))), repr(text)
 
 
 def test_byte_bpe_by_higher_order_functions(spark, make, odd_texts):
