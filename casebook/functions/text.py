@@ -112,12 +112,32 @@ def md_field(c: Column | str) -> Column:
     return F.replace(col(c), F.lit("|"), F.lit("\\|"))
 
 
+def _ipv4(t: Column) -> Column:
+    """Four numbers, or null."""
+    numbers = F.when(t.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.transform(F.split(t, "\\."), lambda p: p.cast("int")))
+    return F.when(F.forall(numbers, lambda p: p <= 255), numbers)
+
+
 def canonical_ip(c: Column | str) -> Column:
-    """IPv4 without leading zeros, IPv6 in lower case; null if it is neither.
-
-    IPv6 texts are compared as written, apart from case.
-    """
-    t = present(c)
-    v4 = F.when(t.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.transform(F.split(t, "\\."), lambda p: p.cast("int")))
-    joined = F.when(F.forall(v4, lambda p: p <= 255), F.array_join(F.transform(v4, lambda p: p.cast("string")), "."))
-    return F.coalesce(joined, F.when(t.rlike(r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]+$"), F.lower(t)))
+    """IPv4 without leading zeros; IPv6 as eight groups of four lower-case digits; null if it is neither."""
+    t = F.lower(present(c))
+    tail = _ipv4(F.nullif(F.regexp_extract(t, r":(\d+\.\d+\.\d+\.\d+)$", 1), F.lit("")))
+    two = lambda k: F.lower(F.hex(tail[k] * 256 + tail[k + 1]))
+    plain = F.when(tail.isNotNull(), F.concat(F.regexp_replace(t, r"\d+\.\d+\.\d+\.\d+$", ""), two(0), F.lit(":"), two(2))).otherwise(t)
+    sides = F.transform(F.split(plain, "::", -1), lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":", -1)))
+    given = F.aggregate(sides, F.lit(0), lambda n, s: n + F.size(s))
+    gap = F.when(F.size(sides) == 1, 0).otherwise(F.when(given < 8, 8 - given))
+    groups = F.concat(sides[0], F.array_repeat(F.lit("0"), gap), F.coalesce(F.get(sides, F.lit(1)), F.array().cast("array<string>")))
+    good = (F.size(sides) <= 2) & gap.isNotNull() & (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    v6 = F.when(F.contains(t, F.lit(":")) & good, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":"))
+    return F.coalesce(F.array_join(F.transform(_ipv4(t), lambda p: p.cast("string")), "."), v6)
+
+
+def json_merged(a: Column | str, b: Column | str) -> Column:
+    """Shallow merge of two JSON objects, the second's values first; keys in order. Anything else counts as empty."""
+    fields = lambda c: F.coalesce(F.try_variant_get(F.try_parse_json(col(c)), "$", "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+    own, over = fields(a), fields(b)
+    kept = F.map_filter(own, lambda k, _: ~F.map_contains_key(over, k))
+    entries = F.array_sort(F.transform(F.concat(F.map_entries(kept), F.map_entries(over)), lambda e: F.struct(e["key"].alias("k"), F.to_json(e["value"]).alias("v"))))
+    quoted = lambda k: F.regexp_extract(F.to_json(F.struct(k.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))

@@ -120,6 +120,18 @@ def nested_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(on_view("select event_id, '10.' || user % 8 || '.0.' || user as ip from (select event_id, event_id % 200 as user from ev)"))
+def ip_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") % 200
+    return ev(spark, sf_dir).select("event_id", T.canonical_ip(F.format_string(" 010.%02d.00.%03d", n % 8, n)).alias("ip"))
+
+
+@query(on_view("select event_id, '{\"a\":' || event_id % 3 || ',\"b\":' || severity || ',\"k\":\"' || source_id || '\"}' as merged from ev"))
+def json_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.to_json(F.struct(F.col("severity").alias("b"), (F.col("event_id") % 3).alias("a"), F.lit(True).alias("k")))
+    return ev(spark, sf_dir).select("event_id", T.json_merged(old, F.to_json(F.struct(F.col("source_id").alias("k")))).alias("merged"))
+
+
 # ---- raw payloads, parsers -----------------------------------------------------------------------
 
 _NOW = F.lit(datetime(2030, 1, 1)).cast("timestamp_ntz")

@@ -219,3 +219,20 @@ def test_cases_and_holds(spark, tmp_path):
         h.release(hold_id, T0)
     with pytest.raises(ValidationError):
         h.create("h", "odd", {}, "me", T0)
+
+
+@pytest.mark.parametrize(
+    ("given", "expected"),
+    [
+        ("010.0.0.1", "10.0.0.1"), (" 1.2.3.4 ", "1.2.3.4"), ("256.1.1.1", None), ("1.2.3", None), ("", None), (None, None), ("host", None), ("::1", "0000:" * 7 + "0001"), ("::", ":".join(["0000"] * 8)),
+        ("2001:DB8::ff00:42:8329", "2001:0db8:0000:0000:0000:ff00:0042:8329"), ("1:2:3:4:5:6:7:8", "0001:0002:0003:0004:0005:0006:0007:0008"), ("::ffff:1.2.3.4", "0000:0000:0000:0000:0000:ffff:0102:0304"),
+        ("1::2::3", None), ("1:2:3", None), ("12345::", None), ("1:2:3:4:5:6:7:8::", None), (":1", None),
+    ],
+)
+def test_addresses(spark, given, expected):
+    assert spark.createDataFrame([(given,)], "x string").select(text.canonical_ip("x")).first()[0] == expected
+
+
+def test_json_merge(spark):
+    df = spark.createDataFrame([('{"a":1,"b":[2]}', '{"a":{"c":null}}'), (None, '{"x\\"":1}'), ("[1]", None)], "a string, b string")
+    assert [json.loads(r[0]) for r in df.select(text.json_merged("a", "b")).collect()] == [{"a": {"c": None}, "b": [2]}, {'x"': 1}, {}]
