@@ -134,7 +134,11 @@ def json_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- raw payloads, parsers -----------------------------------------------------------------------
 
-_NOW = F.lit(datetime(2030, 1, 1)).cast("timestamp_ntz")
+
+def _now():
+    return F.lit(datetime(2030, 1, 1)).cast("timestamp_ntz")
+
+
 _PAYLOAD = """'{"event_type":"' || event_type || '","occurred_at":"' || strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z","severity":' || severity || '}'"""
 _RAW_SQL = f"raw as (select event_id as raw_event_id, 'v1:' || event_type || ':' || event_id % 500 as body from ev)"
 
@@ -200,7 +204,7 @@ def parse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws(",", cells[0], _iso(), *cells[1:], F.lower(T.severity_label("severity")), F.col("raw_event_id").cast("string"))
     rows = ev(spark, sf_dir).groupBy("raw_event_id").agg(F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))).alias("lines"))
     payload = F.concat(F.lit("Type,timestamp,user_id,username,source_ip,host, Level ,batch\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
-    parsed = parsers.parse_csv(rows.select("raw_event_id", payload.alias("payload")), now=_NOW)
+    parsed = parsers.parse_csv(rows.select("raw_event_id", payload.alias("payload")), now=_now())
     return parsed.select("raw_event_id", "ordinal", "event_type", "severity", "occurred_at", "actor_id", "actor_name", "src_ip", "hostname", "custom_fields")
 
 
@@ -209,7 +213,7 @@ def parse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.coalesce(F.nullif("hostname", F.lit("")), F.lit("-"))
     line = F.concat(F.lit("<"), (F.col("event_id") % 192).cast("string"), F.lit(">1 "), _iso(), F.lit(" "), host, F.lit(" "), F.split_part("event_type", F.lit("."), F.lit(1)), F.lit(" 77 - seen by "), "source_id")
-    parsed = parsers.parse_syslog(ev(spark, sf_dir).select("event_id", line.alias("payload")), payload_id="event_id", now=_NOW)
+    parsed = parsers.parse_syslog(ev(spark, sf_dir).select("event_id", line.alias("payload")), payload_id="event_id", now=_now())
     return parsed.select("event_id", "event_type", "severity", "occurred_at", "hostname", "custom_fields")
 
 
@@ -219,7 +223,7 @@ def parse_syslog_bsd(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.coalesce(F.nullif("hostname", F.lit("")), F.lit("none"))
     line = F.concat(F.lit("<13>"), F.date_format("occurred_at", "MMM d HH:mm:ss"), F.lit(" "), host, F.lit(" "), F.split_part("event_type", F.lit("."), F.lit(1)), F.lit("[7]: seen: by "), "source_id")
     rows = ev(spark, sf_dir).select("event_id", line.alias("payload"), F.year("occurred_at").alias("year"))
-    parsed = parsers.parse_syslog(rows, payload_id="event_id", now=_NOW, year=F.col("year"))
+    parsed = parsers.parse_syslog(rows, payload_id="event_id", now=_now(), year=F.col("year"))
     return parsed.select("event_id", "event_type", "occurred_at", "hostname", "custom_fields")
 
 
@@ -247,7 +251,7 @@ def parse_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id") % 4
     payload = F.when(n == 0, F.concat(F.lit('{"event_type":"a.b","occurred_at":"'), _iso(), F.lit('"}'))).when(n == 1, "type\nx").when(n == 2, "<34>hello").otherwise("?")
     kind = F.when(n == 1, "text/csv").otherwise("text/plain")
-    parsed = parsers.parse(ev(spark, sf_dir).select("event_id", payload.alias("payload"), kind.alias("content_type")), payload_id="event_id", now=_NOW)
+    parsed = parsers.parse(ev(spark, sf_dir).select("event_id", payload.alias("payload"), kind.alias("content_type")), payload_id="event_id", now=_now())
     return parsed.groupBy((F.col("event_id") % 4).alias("kind"), F.col("parser_id").alias("parser")).agg(F.count("*").alias("n_rows"), F.count("error").alias("n_errors"))
 
 

@@ -43,3 +43,10 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and set(QUERIES) <= set(e.queries())
     assert e.entry(spark).columns == ["pattern", "actor_id", "started_at", "ended_at", "event_ids"]
+
+
+def test_the_entry_needs_no_session_to_import():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(), e.oracle_sql()"], check=True, timeout=120)
