@@ -110,11 +110,15 @@ def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, si
     )
     shape = "doc_id string, piece int, start long, length int, bin_id long, bin_size int, bin_offset int"
     empty = pieces.where("length = 0").select("*", F.lit(None).cast("long").alias("bin_id"), F.lit(0).alias("bin_size"), F.lit(0).alias("bin_offset"))
+
+    def one_shard(shard: pd.DataFrame) -> pd.DataFrame:
+        return _packed(shard, tuple(sizes))
+
     packed = (
         pieces.where("length > 0")
         .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
         .withColumn("doc_id", F.col("doc_id").cast("string"))  # through pandas as text, where nulls change no other value
-        .groupBy("shard").applyInPandas(partial(_packed, sizes=tuple(sizes)), shape)
+        .groupBy("shard").applyInPandas(one_shard, shape)
         .withColumn("doc_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType))
     )
     return packed.unionByName(empty)
