@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from casebook.errors import ValidationError
 from casebook.operators.entities import observations
+from casebook.operators.timeline import in_window
 from casebook.plans.storage import cut
 from casebook.schema import CHAIN_DEPTH, CHAIN_EVENTS, CHAIN_PER_ENTITY, CHAIN_WINDOW_SECONDS
 
@@ -60,10 +61,16 @@ def chain(events: DataFrame, seed_id: object, depth: int = 1, window_seconds: in
         raise ValidationError(f"depth must be between 1 and {CHAIN_DEPTH}")
     if not 1 <= window_seconds <= CHAIN_WINDOW_SECONDS:
         raise ValidationError(f"the window must be between 1 and {CHAIN_WINDOW_SECONDS} seconds")
-    seen = cut(observations(events).select("event_id", "occurred_at", "entity_type", "identifier"))
-    half = F.lit(timedelta(seconds=window_seconds / 2))
+    around = timedelta(seconds=window_seconds / 2)
+    half = F.lit(around)
     reached = frontier = cut(events.where(F.col("event_id") == seed_id).select("event_id", "occurred_at", F.lit(0).alias("depth")))
     for level in range(1, depth + 1):
+        first, last = frontier.agg(F.min("occurred_at"), F.max("occurred_at")).first()
+        if first is None:
+            break
+        # no level looks further than this, so only the days around its events are read
+        near = in_window(events, first - around, last + around)
+        seen = observations(near).select("event_id", "occurred_at", "entity_type", "identifier")
         probes = frontier.select(F.col("event_id").alias("from_id"), F.col("occurred_at").alias("at")).join(seen.select(F.col("event_id").alias("from_id"), "entity_type", "identifier"), "from_id")
         met = seen.join(probes, ["entity_type", "identifier"]).where((F.col("occurred_at") >= F.col("at") - half) & (F.col("occurred_at") < F.col("at") + half))
         earliest = W.partitionBy("from_id", "entity_type", "identifier").orderBy("occurred_at", "event_id")
