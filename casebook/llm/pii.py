@@ -151,7 +151,7 @@ def labelled(rows: int = TRAIN_ROWS, seed: int = 7) -> list[tuple[tuple[str, str
     pick = rng.choice
     plain = lambda: f"{word()} {word()} {word()} "
     good: dict[str, Callable[[], tuple[str, str]]] = {
-        "mail_words": lambda: (f"{word()}.{word()} {pick(['[at]', '(at)'])} {word()} {pick(['[dot]', '(dot)', 'dot'])} {pick(['com', 'org', 'net', 'de'])}", pick([plain(), plain() + "mail: "])),
+        "mail_words": lambda: (f"{word(pick([6, 14]))}{pick(['', '.' + word()])} {pick(['[at]', '(at)'])} {word(pick([6, 14]))} {pick(['[dot]', '(dot)', 'dot'])} {pick(['com', 'org', 'net', 'de'])}", pick([plain(), plain() + "mail: "])),
         "national_phone": lambda: pick([(f"({pick('23456789')}{digits(2)}) {digits(3)}-{digits(4)}", plain()), (f"{pick('2345678')}{digits(2)}-{digits(3)}-{digits(4)}", plain() + pick(["call ", "tel. ", "phone: "]))]),
         "ssn": lambda: (f"{pick('12345')}{digits(2)}-{digits(2)}-{digits(4)}", pick([plain(), plain() + "SSN "])),
         "iban": lambda: (f"{pick(['DE', 'FR', 'ES', 'GB'])}{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}", pick([plain(), plain() + "IBAN "])),
@@ -159,7 +159,7 @@ def labelled(rows: int = TRAIN_ROWS, seed: int = 7) -> list[tuple[tuple[str, str
         "long_token": lambda: (pick(["AKIA" + upper(16), hexes(40), hexes(64), "ghp_" + upper(30), word() + upper(24) + word()]), plain()),
     }
     bad: dict[str, Callable[[], tuple[str, str]]] = {
-        "mail_words": lambda: (f"{word()} at {word()}{pick(['. ', '.', ' dot '])}{word()}", plain()),
+        "mail_words": lambda: (f"{word(pick([6, 14, 24]))} at {word(pick([6, 14, 24]))}{pick(['. ', '.', ' dot '])}{pick([word(14), word(14).capitalize()])}", pick([plain(), plain() + "mail: "])),
         "national_phone": lambda: (f"{pick('019')}{digits(2)} {digits(3)} {digits(4)}", plain() + pick(["", "part no ", "order ", "isbn "])),
         "ssn": lambda: (f"{pick(['000', '666', '9' + digits(2)])}-{digits(2)}-{digits(4)}", plain() + pick(["", "part no ", "version "])),
         "iban": lambda: (f"{upper(2).translate(str.maketrans('0123456789', 'ABCDEFGHIJ'))}{digits(2)}{upper(12)}", plain() + pick(["part no ", "order ", "build "])),
@@ -229,7 +229,8 @@ def fit(rows: int = TRAIN_ROWS) -> Trees:
     for kind in GENERATORS:
         s, t = score[kinds == kind], y[held][kinds == kind]
         kept = [c for c in np.unique(s) if t[s >= c].mean() >= PRECISION]
-        thresholds[kind] = max(0.5, float(min(kept, default=1.0)) - 1e-9)
+        least = float(min(kept, default=1.0))
+        thresholds[kind] = max(0.5, (least + float(s[s < least].max(initial=0.0))) / 2)  # halfway to the next score below
     return Trees(start, trees, thresholds)
 
 

@@ -45,6 +45,9 @@ def test_quality_lines(spark, make, odd_texts):
     assert quality.judge(make(odd_texts, ids=[None, *range(10)])).count() == len(odd_texts)
     assert quality.judge(make(odd_texts * 2)).count() == 2 * len(odd_texts)
     assert quality.judge(make([])).count() == 0
+    hosts = [None] * 20 + ["h"] * 10
+    by_host = {r.doc_id: r.n_frequent_lines for r in quality.judge(make([f"{t}\n{footer}" for t in clean], sources=hosts), max_docs=10, max_share=0.1).collect()}
+    assert [by_host[k] for k in range(30)] == [1] * 20 + [0] * 10  # null is a host of its own, and limits hold by host
 
 
 # ---- op3 -----------------------------------------------------------------------------------------
