@@ -117,6 +117,7 @@ FEATURES = (
     Feature("quoted", "value", "[\"']"),
     Feature("digit_in_secret", "value", "[=:].*[0-9]"),
     Feature("words_only", "value", "[=:] ?[\"']?[a-z]+[\"',.]*$"),
+    Feature("digits_only", "value", "^[0-9]+$"),
     Feature("path_like", "value", "/.*/|--|__"),
     Feature("asks_phone", "left", "(?i)(?:phone|tel|call|fax|mobile|cell)[^A-Za-z]{0,12}$"),
     Feature("asks_id", "left", "(?i)(?:ssn|social|security|tax|iban|account|id)[^A-Za-z]{0,12}$"),
@@ -164,14 +165,14 @@ def labelled(rows: int = TRAIN_ROWS, seed: int = 7) -> list[tuple[tuple[str, str
         "ssn": lambda: (f"{pick(['000', '666', '9' + digits(2)])}-{digits(2)}-{digits(4)}", plain() + pick(["", "part no ", "version "])),
         "iban": lambda: (f"{upper(2).translate(str.maketrans('0123456789', 'ABCDEFGHIJ'))}{digits(2)}{upper(12)}", plain() + pick(["part no ", "order ", "build "])),
         "assigned": lambda: (f"{pick(['key', 'token', 'secret', 'author', 'keyword'])}: {word(9)}{word(9)}{pick(['', ',', '.'])}", plain()),
-        "long_token": lambda: (pick([f"{word()}-{word()}-{word()}-{digits(2)}", f"/{word()}/{word()}/{word()}{digits(4)}", f"{word(9)}{word(9)}{word(9)}{digits(2)}", "-" * 16 + digits(1), hexes(40)]), ""),
+        "long_token": lambda: (pick([f"{word()}-{word()}-{word()}-{digits(2)}", f"/{word()}/{word()}/{word()}{digits(4)}", f"{word(9)}{word(9)}{word(9)}{digits(2)}", "-" * 16 + digits(1), hexes(40), digits(16), digits(rng.randint(16, 24))]), ""),
     }
     made = []
     for k in range(rows):
         kind, personal = tuple(GENERATORS)[k % len(GENERATORS)], (k // len(GENERATORS)) % 2
         value, left = (good if personal else bad)[kind]()
         if kind == "long_token" and not personal:
-            left = pick(["commit ", "sha ", "md5 "]) if set(value) <= set("0123456789abcdef") else pick([plain(), "https://" + word() + "/"])
+            left = pick(["commit ", "sha ", "md5 "]) if set(value) <= set("0123456789abcdef") and not value.isdigit() else pick([plain(), "https://" + word() + "/"])
         made.append(((kind, value, left[-CONTEXT:], pick([" ", ".", ",", ""])), personal))
     return made
 
