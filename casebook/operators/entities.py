@@ -22,15 +22,15 @@ CARRIED = ("event_id", "occurred_at")
 def observations(events: DataFrame) -> DataFrame:
     """event_id, occurred_at, entity_type, identifier, display_name, role."""
     none = F.lit(None).cast("string")
-    names = {"device": present("device_name") if "device_name" in events.columns else none}
+    device_name = present("device_name") if "device_name" in events.columns else none
+    # only the two addresses can name one entity twice
+    other_ip = F.when(~present("dst_ip").eqNullSafe(present("src_ip")), present("dst_ip"))
     parts = [
-        ("user", "actor_id", present("actor_name"), "actor"), ("ip", "src_ip", none, "src_ip"), ("ip", "dst_ip", none, "dst_ip"),
-        ("device", "device_id", names["device"], "device"), ("host", "hostname", none, "host"),
+        ("user", present("actor_id"), present("actor_name"), "actor"), ("ip", present("src_ip"), none, "src_ip"), ("ip", other_ip, none, "dst_ip"),
+        ("device", present("device_id"), device_name, "device"), ("host", present("hostname"), none, "host"),
     ]
-    made = F.array(*(F.struct(F.lit(t).alias("entity_type"), present(c).alias("identifier"), n.alias("display_name"), F.lit(r).alias("role")) for t, c, n, r in parts))
-    kept = F.filter(made, lambda x: x["identifier"].isNotNull())
-    first = F.filter(kept, lambda x, i: ~F.exists(F.slice(kept, F.lit(1), i), lambda y: (y["entity_type"] == x["entity_type"]) & (y["identifier"] == x["identifier"])))
-    return events.select(*CARRIED, F.explode(first).alias("x")).select(*CARRIED, "x.*")
+    made = F.array(*(F.struct(F.lit(t).alias("entity_type"), i.alias("identifier"), n.alias("display_name"), F.lit(r).alias("role")) for t, i, n, r in parts))
+    return events.select(*CARRIED, F.explode(made).alias("x")).select(*CARRIED, "x.*").where("identifier is not null")
 
 
 def relation_observations(events: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def relation_observations(events: DataFrame) -> DataFrame:
         ("user", "actor_id", "hosted_on", "host", "hostname"), ("device", "device_id", "from_ip", "ip", "src_ip"),
     ]
     made = F.array(*(F.struct(F.lit(a).alias("source_type"), present(s).alias("source"), F.lit(r).alias("relationship"), F.lit(b).alias("target_type"), present(t).alias("target")) for a, s, r, b, t in parts))
-    return events.select(*CARRIED, F.explode(F.filter(made, lambda x: x["source"].isNotNull() & x["target"].isNotNull())).alias("x")).select(*CARRIED, "x.*")
+    return events.select(*CARRIED, F.explode(made).alias("x")).select(*CARRIED, "x.*").where("source is not null and target is not null")
 
 
 def entities(seen: DataFrame, first_by_ingest: bool = False) -> DataFrame:

@@ -18,18 +18,19 @@ LABELS = {"identity": "identity", "session": "session", "token": "token", "ip":
 KEY = "struct<key_type:string,key_value:string>"
 
 
-def json_string(custom: Column, name: str) -> Column:
-    """A top-level field if it is a JSON string, else null (numbers and booleans are no keys)."""
-    at = F.try_variant_get(F.try_parse_json(custom), f"$.{name}", "variant")
-    return F.when(F.schema_of_variant(at) == "STRING", F.try_variant_get(F.try_parse_json(custom), f"$.{name}", "string"))
+def json_string(document: Column, name: str) -> Column:
+    """A top-level field of a variant if it is a string, else null (numbers and booleans are no keys)."""
+    at = F.try_variant_get(document, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(at) == "STRING", F.try_variant_get(document, f"$.{name}", "string"))
 
 
-def event_keys(custom: str = "custom_fields") -> Column:
-    """array<struct<key_type, key_value>> of an event, in order."""
+def event_keys(document: Column | None = None) -> Column:
+    """array<struct<key_type, key_value>> of an event, in order; ``document``: the custom fields, parsed."""
+    document = F.try_parse_json("custom_fields") if document is None else document
     parts = [
         ("identity", F.col("actor_id")), ("ip", F.col("src_ip")), ("ip", F.col("dst_ip")), ("device", F.col("device_id")), ("host", F.col("hostname")),
-        *(("session", json_string(F.col(custom), n)) for n in ("session_id", "session")),
-        *(("token", json_string(F.col(custom), n)) for n in ("token", "access_token")),
+        *(("session", json_string(document, n)) for n in ("session_id", "session")),
+        *(("token", json_string(document, n)) for n in ("token", "access_token")),
     ]
     made = F.array(*(F.struct(F.lit(kind).alias("key_type"), present(value).alias("key_value")) for kind, value in parts))
     return F.array_distinct(F.filter(made, lambda k: k["key_value"].isNotNull()))
@@ -44,7 +45,8 @@ def hint_keys() -> Column:
 
 def key_table(events: DataFrame, with_hints: bool = False) -> DataFrame:
     """event_id, occurred_at, ord, key_type, key_value; hints that the extracted keys lack come after them."""
-    keys = event_keys()
+    events = events.withColumn("_document", F.try_parse_json("custom_fields"))  # parsed once for all fields
+    keys = event_keys(F.col("_document"))
     if with_hints:
         keys = F.concat(keys, F.filter(F.array_except(hint_keys(), keys), lambda k: k.isNotNull()))
     return events.select("event_id", "occurred_at", F.posexplode(keys).alias("ord", "key")).select("event_id", "occurred_at", "ord", "key.*")
@@ -73,14 +75,17 @@ def related(keys: DataFrame, events: DataFrame, event_id: object, limit: int = 5
 
 
 def key_groups(keys: DataFrame) -> DataFrame:
-    """For each key its events: n_events, first_at, last_at. The pairs within a key need not be listed to know them."""
-    return keys.groupBy("key_type", "key_value").agg(F.countDistinct("event_id").alias("n_events"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"))
+    """For each key its events: n_events, first_at, last_at. The pairs within a key need not be listed to know them.
+
+    Here and in `degrees` an event has a key once, as in a key table without hints.
+    """
+    return keys.groupBy("key_type", "key_value").agg(F.count("*").alias("n_events"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"))
 
 
 def degrees(keys: DataFrame) -> DataFrame:
     """event_id, key_type, key_value, n_related: how many other events share each key of each event."""
-    sizes = keys.groupBy("key_type", "key_value").agg(F.countDistinct("event_id").alias("n"))
-    return keys.select("event_id", "key_type", "key_value").distinct().join(sizes, ["key_type", "key_value"]).select("event_id", "key_type", "key_value", (F.col("n") - 1).alias("n_related"))
+    sizes = keys.groupBy("key_type", "key_value").agg(F.count("*").alias("n"))
+    return keys.select("event_id", "key_type", "key_value").join(sizes, ["key_type", "key_value"]).select("event_id", "key_type", "key_value", (F.col("n") - 1).alias("n_related"))
 
 
 def describe(keys: Column) -> Column:

@@ -213,7 +213,7 @@ def parse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.coalesce(F.nullif("hostname", F.lit("")), F.lit("-"))
     line = F.concat(F.lit("<"), (F.col("event_id") % 192).cast("string"), F.lit(">1 "), _iso(), F.lit(" "), host, F.lit(" "), F.split_part("event_type", F.lit("."), F.lit(1)), F.lit(" 77 - seen by "), "source_id")
-    parsed = parsers.parse_syslog(ev(spark, sf_dir).select("event_id", line.alias("payload")), payload_id="event_id", now=_now())
+    parsed = parsers.parse_syslog(ev(spark, sf_dir).select("event_id", line.alias("payload")), now=_now())
     return parsed.select("event_id", "event_type", "severity", "occurred_at", "hostname", "custom_fields")
 
 
@@ -223,7 +223,7 @@ def parse_syslog_bsd(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.coalesce(F.nullif("hostname", F.lit("")), F.lit("none"))
     line = F.concat(F.lit("<13>"), F.date_format("occurred_at", "MMM d HH:mm:ss"), F.lit(" "), host, F.lit(" "), F.split_part("event_type", F.lit("."), F.lit(1)), F.lit("[7]: seen: by "), "source_id")
     rows = ev(spark, sf_dir).select("event_id", line.alias("payload"), F.year("occurred_at").alias("year"))
-    parsed = parsers.parse_syslog(rows, payload_id="event_id", now=_now(), year=F.col("year"))
+    parsed = parsers.parse_syslog(rows, now=_now(), year=F.col("year"))
     return parsed.select("event_id", "event_type", "occurred_at", "hostname", "custom_fields")
 
 
@@ -234,7 +234,7 @@ def parse_webhook(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = F.unix_micros(F.col("occurred_at").cast("timestamp"))
     at = F.when(F.col("event_id") % 3 == 2, F.floor(us / 1_000_000).cast("string")).when(F.col("event_id") % 3 == 1, F.floor(us / 1000).cast("string")).otherwise(_iso())
     body = F.to_json(F.struct(at.alias("timestamp"), F.col("event_type").alias("type"), F.struct(F.col("actor_id").alias("id"), F.col("actor_name").alias("email")).alias("user"), F.col("src_ip").alias("ip"), F.struct(F.col("device_id").alias("id"), "hostname").alias("device")))
-    parsed = parsers.parse_webhook(ev(spark, sf_dir).select("event_id", body.alias("payload")), payload_id="event_id")
+    parsed = parsers.parse_webhook(ev(spark, sf_dir).select("event_id", body.alias("payload")))
     return parsed.select("event_id", "event_type", "severity", "occurred_at", "actor_id", "actor_name", "src_ip", "device_id", "hostname", "custom_fields")
 
 
@@ -251,7 +251,7 @@ def parse_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id") % 4
     payload = F.when(n == 0, F.concat(F.lit('{"event_type":"a.b","occurred_at":"'), _iso(), F.lit('"}'))).when(n == 1, "type\nx").when(n == 2, "<34>hello").otherwise("?")
     kind = F.when(n == 1, "text/csv").otherwise("text/plain")
-    parsed = parsers.parse(ev(spark, sf_dir).select("event_id", payload.alias("payload"), kind.alias("content_type")), payload_id="event_id", now=_now())
+    parsed = parsers.parse(ev(spark, sf_dir).select("event_id", payload.alias("payload"), kind.alias("content_type")), now=_now())
     return parsed.groupBy((F.col("event_id") % 4).alias("kind"), F.col("parser_id").alias("parser")).agg(F.count("*").alias("n_rows"), F.count("error").alias("n_errors"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.errors import ParseError
-from casebook.functions.text import flexible_time, rfc3339, severity_of_name, severity_of_priority, severity_of_words, trimmed
+from casebook.functions.text import flexible_time, rfc3339, severity_of_name, severity_of_priority, severity_of_words, trimmed, utc
 
 HINTS = "array<struct<key_type:string,key_value:string>>"
 PARSED = {
@@ -62,12 +62,18 @@ def _hints(**kinds: Column) -> Column:
     return F.filter(made, lambda h: h["key_value"].isNotNull() & (h["key_value"] != ""))
 
 
-def _failed_whole(rows: DataFrame, carried: list[str], payload_id: str) -> DataFrame:
-    """If any item of a payload has an error, one row with the first error stays for the payload."""
-    first = rows.where("error is not null").groupBy(payload_id).agg(F.min(F.struct("ordinal", "error")).alias("_bad"))
-    bad = first.select(F.col(payload_id).alias("_payload_id"), F.col("_bad.ordinal").alias("_ordinal"))
-    same = rows[payload_id].eqNullSafe(bad["_payload_id"])
-    return rows.join(bad, same, "left").where("_ordinal is null or ordinal = _ordinal").drop("_payload_id", "_ordinal")
+def _opened(df: DataFrame, items: Column, whole: Column, check: Callable[[Column], Column], none: Column) -> DataFrame:
+    """Adds ordinal, _item and error: a row for each item, or one row for the first bad item (or for a payload that is bad as a whole).
+
+    Items are checked before they are exploded, so a payload fails as a whole without a shuffle. ``none`` stands for an item where there is none.
+    """
+    carried = df.columns
+    rows = df.withColumns({"_whole": whole, "_items": items})
+    rows = rows.withColumn("_bad", F.when(F.col("_whole").isNull(), F.array_position(F.transform("_items", lambda x: check(x).isNotNull()), True)))
+    kept = F.when(F.col("_whole").isNotNull(), F.array(none)).when(F.col("_bad") > 0, F.slice("_items", F.col("_bad").cast("int"), F.lit(1))).otherwise(F.col("_items"))
+    rows = rows.select(*carried, "_whole", "_bad", F.posexplode(kept).alias("_pos", "_item"))
+    error = F.when(F.col("_whole").isNotNull(), F.col("_whole")).when(F.col("_bad") > 0, check(F.col("_item")))
+    return rows.select(*carried, F.when(F.col("_bad") > 0, F.col("_bad").cast("int") - 1).otherwise(F.col("_pos")).alias("ordinal"), "_item", error.alias("error"))
 
 
 # ---- JSON ----------------------------------------------------------------------------------------
@@ -91,7 +97,7 @@ def _not_text(item: Column, path: str) -> Column:
     return v.isNotNull() & ~_kind(v).isin("STRING", "VOID")
 
 
-def parse_json(df: DataFrame, payload_id: str = "raw_event_id", now: Column | None = None) -> DataFrame:
+def parse_json(df: DataFrame, now: Column | None = None) -> DataFrame:
     """One object or an array of objects; unknown top-level fields become ``custom_fields``."""
     carried = df.columns
     body = trimmed("payload")
@@ -99,31 +105,30 @@ def parse_json(df: DataFrame, payload_id: str = "raw_event_id", now: Column | No
     is_list = F.startswith(body, F.lit("["))
     items = F.when(is_list, F.try_variant_get(document, "$", "array<variant>")).otherwise(F.array(document))
     whole = F.when(F.coalesce(body, F.lit("")) == "", "empty input").when(document.isNull() | (~is_list & ~F.startswith(_kind(document), F.lit("OBJECT"))), "invalid JSON")
-    opened = df.withColumns({"_whole": whole, "_items": items})
-    # a payload that fails as a whole has one row; an empty array has none
-    rows = opened.select(*carried, "_whole", F.posexplode(F.when(F.col("_whole").isNotNull(), F.array(F.try_parse_json(F.lit("{}")))).otherwise(F.col("_items"))).alias("ordinal", "_item"))
-    item = F.col("_item")
     texts = ["$.severity", "$.observed_at", *(f"$.{p}.{k}" for p, fields in PARTS.items() for k in fields if not k.endswith("_port"))]
-    occurred, observed = rfc3339(_text(item, "$.occurred_at")), _text(item, "$.observed_at")
-    error = (
-        F.when(F.col("_whole").isNotNull(), F.col("_whole"))
-        .when(~F.startswith(_kind(item), F.lit("OBJECT")), "not an object")
-        .when(_text(item, "$.event_type").isNull(), "missing field event_type")
-        .when(occurred.isNull(), "missing or invalid occurred_at")
-        .when(observed.isNotNull() & rfc3339(observed).isNull(), "invalid observed_at")
-        .when(reduce(Column.__or__, (_not_text(item, p) for p in texts)), "a field has the wrong type")
-    )
-    rows = rows.withColumn("error", error)
+
+    def check(item: Column) -> Column:
+        observed = _text(item, "$.observed_at")
+        return (
+            F.when(~F.startswith(_kind(item), F.lit("OBJECT")), "not an object")
+            .when(_text(item, "$.event_type").isNull(), "missing field event_type")
+            .when(rfc3339(_text(item, "$.occurred_at")).isNull(), "missing or invalid occurred_at")
+            .when(observed.isNotNull() & rfc3339(observed).isNull(), "invalid observed_at")
+            .when(reduce(Column.__or__, (_not_text(item, p) for p in texts)), "a field has the wrong type")
+        )
+
+    # an empty array has no rows
+    rows = _opened(df, items, whole, check, F.try_parse_json(F.lit("{}")))
+    item = F.col("_item")
     found = {column: (F.try_variant_get(item, f"$.{p}.{k}", "int") if k.endswith("_port") else _text(item, f"$.{p}.{k}")) for p, fields in PARTS.items() for k, column in fields.items()}
     extra = F.map_filter(F.try_variant_get(item, "$", "map<string,variant>"), lambda k, _: ~k.isin(*TOP))
     sorted_extra = F.map_from_entries(F.array_sort(F.transform(F.map_entries(extra), lambda e: F.struct(e["key"], F.to_json(e["value"]).alias("value")))))
     custom = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(sorted_extra), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
     hints = _hints(identity=found["actor_id"], ip=found["src_ip"], device=found["device_id"], host=found["hostname"])
-    out = _finished(
-        rows, carried, event_type=_text(item, "$.event_type"), severity=severity_of_name(_text(item, "$.severity")), occurred_at=occurred,
-        observed_at=rfc3339(observed), tags=F.coalesce(F.try_variant_get(item, "$.tags", "array<string>"), F.array().cast("array<string>")), custom_fields=custom, hints=hints, **found,
+    return _finished(
+        rows, carried, event_type=_text(item, "$.event_type"), severity=severity_of_name(_text(item, "$.severity")), occurred_at=rfc3339(_text(item, "$.occurred_at")),
+        observed_at=rfc3339(_text(item, "$.observed_at")), tags=F.coalesce(F.try_variant_get(item, "$.tags", "array<string>"), F.array().cast("array<string>")), custom_fields=custom, hints=hints, **found,
     )
-    return _failed_whole(out, carried, payload_id)
 
 
 def _quoted(text: Column) -> Column:
@@ -155,7 +160,7 @@ def _csv_rows(batches: Iterator[pd.DataFrame], carried: list[str]) -> Iterator[p
         yield pd.concat([batch.loc[rows["at"]].reset_index(drop=True), rows.drop(columns="at").add_prefix("_")], axis=1)
 
 
-def parse_csv(df: DataFrame, payload_id: str = "raw_event_id", now: Column | None = None) -> DataFrame:
+def parse_csv(df: DataFrame, now: Column | None = None) -> DataFrame:
     """First row headers. A time that is missing or malformed is ``now``; the default type is csv.event."""
     carried = df.columns
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", _ordinal int, _error string, " + ", ".join(f"_{c} string" for c in (*CSV_HEADERS, "custom_fields"))
@@ -176,18 +181,18 @@ BSD = r"(?i)^(" + "|".join(MONTHS) + r")\s*(\S+) (\d\d:\d\d:\d\d)\S*(?: +(\S+)(?
 APP = r"^([A-Za-z0-9_.-]+)(?:\[[^:]*(?:: ?[^ :][^:]*)*)?: (.*)$"
 
 
-def parse_syslog(df: DataFrame, payload_id: str = "raw_event_id", now: Column | None = None, year: Column | None = None) -> DataFrame:
+def parse_syslog(df: DataFrame, now: Column | None = None, year: Column | None = None) -> DataFrame:
     """One message a line, RFC 5424 or BSD or a bare priority; BSD dates lie in ``year`` (the current one by default)."""
     carried = df.columns
     now = (F.current_timestamp() if now is None else now).cast("timestamp_ntz")
     year = F.year(now) if year is None else year
     kept = F.filter(F.transform(F.split("payload", r"\r?\n"), trimmed), lambda x: x != "")
-    lines = df.withColumn("_lines", F.coalesce(kept, F.array().cast("array<string>")))
-    none = F.size("_lines") == 0
-    rows = lines.select(*carried, none.alias("_none"), F.posexplode(F.when(none, F.array(F.lit(""))).otherwise(F.col("_lines"))).alias("ordinal", "_line"))
-    rows = rows.withColumn("_pri", F.expr(f"try_cast(regexp_extract(_line, r'{PRIORITY}', 1) as int)"))
-    error = F.when(F.col("_none"), "no valid syslog messages found").when(F.col("_pri").isNull() | (F.col("_pri") > 191), "missing syslog priority")
-    rows = rows.withColumn("error", error).withColumn("_rest", F.regexp_replace("_line", PRIORITY, "")).withColumn("_body", F.ltrim("_rest"))
+    lines = F.coalesce(kept, F.array().cast("array<string>"))
+    priority = lambda line: F.nullif(F.regexp_extract(line, PRIORITY, 1), F.lit("")).cast("int")
+    check = lambda line: F.when(priority(line).isNull() | (priority(line) > 191), "missing syslog priority")
+    rows = _opened(df, lines, F.when(F.size(lines) == 0, "no valid syslog messages found"), check, F.lit(""))
+    rows = rows.withColumnRenamed("_item", "_line").withColumn("_pri", priority(F.col("_line")))
+    rows = rows.withColumn("_rest", F.regexp_replace("_line", PRIORITY, "")).withColumn("_body", F.ltrim("_rest"))
     rows = rows.withColumns({"_words": F.split("_body", " ", 7), "_is5424": F.rlike("_body", F.lit(RFC5424)), "_isbsd": F.rlike("_body", F.lit(BSD))})
     part = lambda k: F.nullif(F.try_element_at(F.col("_words"), F.lit(k)), F.lit("-"))
     bsd = lambda k: F.regexp_extract("_body", BSD, k)
@@ -206,17 +211,16 @@ def parse_syslog(df: DataFrame, payload_id: str = "raw_event_id", now: Column |
         }
     )
     custom = F.to_json(F.struct(F.col("_app").alias("app_name"), F.nullif("_message", F.lit("")).alias("message"), F.col("_pri").alias("priority")))
-    out = _finished(
+    return _finished(
         rows, carried, event_type=F.concat(F.lit("syslog."), F.coalesce("_app", F.lit("unknown"))), severity=severity_of_priority(F.col("_pri")), occurred_at=F.coalesce("_at", now),
         hostname=F.col("_host"), custom_fields=custom, hints=_hints(host=F.col("_host")),
     )
-    return _failed_whole(out, carried, payload_id)
 
 
 # ---- webhooks ------------------------------------------------------------------------------------
 
 
-def parse_webhook(df: DataFrame, payload_id: str = "raw_event_id", now: Column | None = None) -> DataFrame:
+def parse_webhook(df: DataFrame, now: Column | None = None) -> DataFrame:
     """Template for webhook payloads: times in several forms, severity from the type's words."""
     carried = df.columns
     body = trimmed("payload")
@@ -224,27 +228,24 @@ def parse_webhook(df: DataFrame, payload_id: str = "raw_event_id", now: Column |
     is_list = F.startswith(body, F.lit("["))
     items = F.when(is_list, F.try_variant_get(document, "$", "array<variant>")).otherwise(F.array(document))
     whole = F.when(F.coalesce(body, F.lit("")) == "", "empty input").when(document.isNull(), "invalid JSON")
-    opened = df.withColumns({"_whole": whole, "_items": items})
-    rows = opened.select(*carried, "_whole", F.posexplode(F.when(F.col("_whole").isNotNull(), F.array(F.try_parse_json(F.lit("{}")))).otherwise(F.col("_items"))).alias("ordinal", "_item"))
-    item = F.col("_item")
-    kind = _kind(_at(item, "$.timestamp"))
-    number = F.when(kind == "BIGINT", F.try_variant_get(item, "$.timestamp", "string"))
-    fraction = F.when(kind.rlike("DECIMAL|DOUBLE|FLOAT"), F.try_variant_get(item, "$.timestamp", "double"))
-    from casebook.functions.text import utc
 
-    at = F.coalesce(flexible_time(F.coalesce(_text(item, "$.timestamp"), number)), utc(F.timestamp_micros((fraction * 1_000_000).cast("long"))))
+    def moment(item: Column) -> Column:
+        kind = _kind(_at(item, "$.timestamp"))
+        number = F.when(kind == "BIGINT", F.try_variant_get(item, "$.timestamp", "string"))
+        fraction = F.when(kind.rlike("DECIMAL|DOUBLE|FLOAT"), F.try_variant_get(item, "$.timestamp", "double"))
+        return F.coalesce(flexible_time(F.coalesce(_text(item, "$.timestamp"), number)), utc(F.timestamp_micros((fraction * 1_000_000).cast("long"))))
+
+    rows = _opened(df, items, whole, lambda item: F.when(moment(item).isNull(), "missing or invalid timestamp"), F.try_parse_json(F.lit("{}")))
+    item = F.col("_item")
     raw_type = F.coalesce(_text(item, "$.type"), F.lit("unknown"))
-    error = F.when(F.col("_whole").isNotNull(), F.col("_whole")).when(at.isNull(), "missing or invalid timestamp")
-    rows = rows.withColumn("error", error)
     user, details = F.startswith(_kind(_at(item, "$.user")), F.lit("OBJECT")), _at(item, "$.details")
     custom = F.concat(F.lit("{"), F.when(details.isNotNull(), F.concat(F.lit('"details":'), F.to_json(details), F.lit(","))).otherwise(""), F.lit('"raw_type":'), _quoted(raw_type), F.lit("}"))
     device = {c: _text(item, f"$.device.{k}") for k, c in (("id", "device_id"), ("name", "device_name"), ("type", "device_type"), ("hostname", "hostname"))}
     actor, ip = _text(item, "$.user.id"), _text(item, "$.ip")
-    out = _finished(
-        rows, carried, event_type=F.concat(F.lit("template."), raw_type), severity=severity_of_words(raw_type), occurred_at=at, actor_id=actor, actor_name=_text(item, "$.user.email"),
+    return _finished(
+        rows, carried, event_type=F.concat(F.lit("template."), raw_type), severity=severity_of_words(raw_type), occurred_at=moment(item), actor_id=actor, actor_name=_text(item, "$.user.email"),
         actor_type=F.when(user, "user"), src_ip=ip, tags=F.array(F.lit("template")), custom_fields=custom, hints=_hints(identity=actor, ip=ip), **device,
     )
-    return _failed_whole(out, carried, payload_id)
 
 
 # ---- registry ------------------------------------------------------------------------------------
@@ -279,15 +280,15 @@ def detected(payload: Column, content_type: Column, registry: tuple[Parser, ...]
     return out
 
 
-def parse(df: DataFrame, parser_id: str | None = None, registry: tuple[Parser, ...] = REGISTRY, payload_id: str = "raw_event_id", now: Column | None = None) -> DataFrame:
+def parse(df: DataFrame, parser_id: str | None = None, registry: tuple[Parser, ...] = REGISTRY, now: Column | None = None) -> DataFrame:
     """By ``parser_id``, or each payload by the parser detected from it and its ``content_type``."""
     if parser_id is not None:
         chosen = next((p for p in registry if p.id == parser_id), None)
         if chosen is None:
             raise ParseError(f"unknown parser: {parser_id}")
-        return chosen.parse(df, payload_id=payload_id, now=now)
+        return chosen.parse(df, now=now)
     marked = df.withColumn("parser_id", detected(F.col("payload"), F.col("content_type"), registry))
-    parts = [p.parse(marked.where(F.col("parser_id") == p.id), payload_id=payload_id, now=now) for p in registry]
+    parts = [p.parse(marked.where(F.col("parser_id") == p.id), now=now) for p in registry]
     lost = marked.where("parser_id is null").select("*", F.lit(0).alias("ordinal"), F.lit("no parser found").alias("error"))
     return reduce(DataFrame.unionByName, parts, _finished(lost, marked.columns))
 
