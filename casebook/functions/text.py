@@ -5,6 +5,8 @@ Trimming strips all Unicode white space, unlike Spark's ``trim``, which strips b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,19 +120,38 @@ def _ipv4(t: Column) -> Column:
     return F.when(F.forall(numbers, lambda p: p <= 255), numbers)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that stands once in the plan, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _ipv6(t: Column) -> Column:
+    def of_tail(tail: Column) -> Column:
+        two = lambda k: F.lower(F.hex(tail[k] * 256 + tail[k + 1]))
+        return F.when(tail.isNotNull(), F.concat(F.regexp_replace(t, r"\d+\.\d+\.\d+\.\d+$", ""), two(0), F.lit(":"), two(2))).otherwise(t)
+
+    def of_sides(sides: Column) -> Column:
+        given = F.aggregate(sides, F.lit(0), lambda n, s: n + F.size(s))
+        gap = F.when(F.size(sides) == 1, 0).otherwise(F.when(given < 8, 8 - given))
+        return F.concat(sides[0], F.array_repeat(F.lit("0"), gap), F.coalesce(F.get(sides, F.lit(1)), F.array().cast("array<string>")))
+
+    def of_groups(groups: Column) -> Column:
+        good = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(good, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":"))
+
+    plain = let(let(F.nullif(F.regexp_extract(t, r":(\d+\.\d+\.\d+\.\d+)$", 1), F.lit("")), _ipv4), of_tail)
+    sides = F.transform(F.split(plain, "::", -1), lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":", -1)))
+    return let(let(sides, lambda x: F.when(F.size(x) <= 2, of_sides(x))), of_groups)
+
+
 def canonical_ip(c: Column | str) -> Column:
     """IPv4 without leading zeros; IPv6 as eight groups of four lower-case digits; null if it is neither."""
-    t = F.lower(present(c))
-    tail = _ipv4(F.nullif(F.regexp_extract(t, r":(\d+\.\d+\.\d+\.\d+)$", 1), F.lit("")))
-    two = lambda k: F.lower(F.hex(tail[k] * 256 + tail[k + 1]))
-    plain = F.when(tail.isNotNull(), F.concat(F.regexp_replace(t, r"\d+\.\d+\.\d+\.\d+$", ""), two(0), F.lit(":"), two(2))).otherwise(t)
-    sides = F.transform(F.split(plain, "::", -1), lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":", -1)))
-    given = F.aggregate(sides, F.lit(0), lambda n, s: n + F.size(s))
-    gap = F.when(F.size(sides) == 1, 0).otherwise(F.when(given < 8, 8 - given))
-    groups = F.concat(sides[0], F.array_repeat(F.lit("0"), gap), F.coalesce(F.get(sides, F.lit(1)), F.array().cast("array<string>")))
-    good = (F.size(sides) <= 2) & gap.isNotNull() & (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    v6 = F.when(F.contains(t, F.lit(":")) & good, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":"))
-    return F.coalesce(F.array_join(F.transform(_ipv4(t), lambda p: p.cast("string")), "."), v6)
+
+    def of(t: Column) -> Column:
+        v4 = let(_ipv4(t), lambda n: F.array_join(F.transform(n, lambda p: p.cast("string")), "."))
+        return F.when(F.contains(t, F.lit(":")), _ipv6(t)).otherwise(v4)
+
+    return let(F.lower(present(c)), of)
 
 
 def json_merged(a: Column | str, b: Column | str) -> Column:
