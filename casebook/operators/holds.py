@@ -13,7 +13,7 @@ from casebook.errors import NotFoundError, ValidationError
 from casebook.operators.entities import links
 from casebook.operators.timeline import Filters, filtered, in_window
 from casebook.plans.state import StateTable
-from casebook.schema import HOLD_EVENTS, HOLD_TYPES
+from casebook.schema import HOLD_TYPES
 
 HOLD = "hold_id string, name string, hold_type string, criteria string, status string, created_by string, created_at timestamp_ntz, expires_at timestamp_ntz, released_at timestamp_ntz"
 CRITERIA_BYTES = 10_240
@@ -51,8 +51,8 @@ class Holds:
         self.holds.write(self.holds.read().withColumns(new))
 
 
-def of_time_range(events: DataFrame, start: datetime, end: datetime, limit: int | None = HOLD_EVENTS) -> DataFrame:
-    """event_id of the events of [start, end], the earliest if there are more than ``limit``."""
+def of_time_range(events: DataFrame, start: datetime, end: datetime, limit: int | None = None) -> DataFrame:
+    """event_id of all events of [start, end]; with a ``limit`` only the earliest, for a page of them."""
     found = in_window(events, start, end, closed=True)
     return (found if limit is None else found.orderBy("occurred_at", "event_id").limit(limit)).select("event_id")
 

@@ -221,6 +221,12 @@ def test_cases_and_holds(spark, tmp_path):
         h.create("h", "odd", {}, "me", T0)
 
 
+def test_a_time_range_is_held_whole(spark):
+    many = spark.range(12_000).select(F.col("id").alias("event_id"), F.lit(T0).alias("occurred_at"))
+    assert holds.of_time_range(many, T0, T0 + timedelta(seconds=1)).distinct().count() == 12_000
+    assert holds.of_time_range(many, T0, T0, limit=5).count() == 5
+
+
 @pytest.mark.parametrize(
     ("given", "expected"),
     [
