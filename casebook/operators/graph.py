@@ -17,7 +17,7 @@ from casebook.errors import ValidationError
 from casebook.operators.entities import observations
 from casebook.operators.timeline import in_window
 from casebook.plans.storage import cut
-from casebook.schema import CHAIN_DEPTH, CHAIN_EVENTS, CHAIN_PER_ENTITY, CHAIN_WINDOW_SECONDS
+from casebook.schema import CHAIN_DEPTH, CHAIN_WINDOW_SECONDS
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -50,12 +50,13 @@ def induced_edges(edges: DataFrame, entity_type: str, identifier: str, depth: in
     return edges
 
 
-def chain(events: DataFrame, seed_id: object, depth: int = 1, window_seconds: int = 3600, per_entity: int = CHAIN_PER_ENTITY, limit: int | None = CHAIN_EVENTS) -> DataFrame:
+def chain(events: DataFrame, seed_id: object, depth: int = 1, window_seconds: int = 3600, per_entity: int | None = None, limit: int | None = None) -> DataFrame:
     """event_id, occurred_at, depth of the events a seed leads to through shared entities.
 
     At each level an event's entities lead to their events within half the window before and
-    after that event, ``per_entity`` of them (the earliest) for each event and entity; events already reached stay out.
-    The seed has depth 0; of more than ``limit`` events the nearest levels stay, earliest first.
+    after that event; events already reached stay out. The seed has depth 0. For interactive use
+    ``per_entity`` keeps only the earliest of these for each event and entity, and of more than
+    ``limit`` events the nearest levels stay, earliest first (`CHAIN_PER_ENTITY`, `CHAIN_EVENTS`).
     """
     if not 1 <= depth <= CHAIN_DEPTH:
         raise ValidationError(f"depth must be between 1 and {CHAIN_DEPTH}")
@@ -73,8 +74,9 @@ def chain(events: DataFrame, seed_id: object, depth: int = 1, window_seconds: in
         seen = observations(near).select("event_id", "occurred_at", "entity_type", "identifier")
         probes = frontier.select(F.col("event_id").alias("from_id"), F.col("occurred_at").alias("at")).join(seen.select(F.col("event_id").alias("from_id"), "entity_type", "identifier"), "from_id")
         met = seen.join(probes, ["entity_type", "identifier"]).where((F.col("occurred_at") >= F.col("at") - half) & (F.col("occurred_at") < F.col("at") + half))
-        earliest = W.partitionBy("from_id", "entity_type", "identifier").orderBy("occurred_at", "event_id")
-        met = met.withColumn("n", F.row_number().over(earliest)).where(F.col("n") <= per_entity)
+        if per_entity is not None:
+            earliest = W.partitionBy("from_id", "entity_type", "identifier").orderBy("occurred_at", "event_id")
+            met = met.withColumn("n", F.row_number().over(earliest)).where(F.col("n") <= per_entity)
         frontier = cut(met.select("event_id", "occurred_at").distinct().join(reached, "event_id", "left_anti").withColumn("depth", F.lit(level)))
         reached = reached.unionByName(frontier)
     return reached if limit is None else reached.orderBy("depth", "occurred_at", "event_id").limit(limit)

@@ -221,6 +221,12 @@ def test_cases_and_holds(spark, tmp_path):
         h.create("h", "odd", {}, "me", T0)
 
 
+def test_a_chain_of_a_hot_entity_is_whole(spark):
+    hot = events(spark, *(dict(src_ip="1.1.1.1", occurred_at=T0) for _ in range(701)))
+    assert graph.chain(hot, 1, 1, 60).groupBy("depth").count().orderBy("depth").collect() == [(0, 1), (1, 700)]
+    assert graph.chain(hot, 1, 1, 60, per_entity=100).count() == 100 and graph.chain(hot, 1, 1, 60, limit=500).count() == 500
+
+
 def test_a_time_range_is_held_whole(spark):
     many = spark.range(12_000).select(F.col("id").alias("event_id"), F.lit(T0).alias("occurred_at"))
     assert holds.of_time_range(many, T0, T0 + timedelta(seconds=1)).distinct().count() == 12_000
