@@ -5,8 +5,9 @@ Native throughout: patterns, offsets, features and trees are column expressions.
 * The four base kinds (email, ip, card, phone) are leftmost non-overlapping matches
   that pass their check; they always stay.
 * High-recall generators (`GENERATORS`) propose further spans, which may overlap each
-  other. Those inside a base span are dropped; `features` describes the others by
-  format and by the text on both sides.
+  other. Those that overlap a base span are dropped, except secrets around a card number;
+  `features` describes the others by format and by the text on both sides. Secrets have
+  no greatest length.
 * `fit` boosts regression trees on labelled candidates (logistic loss). Thresholds are
   calibrated on candidates held out from the fit: for each kind the lowest score that
   keeps precision at ``PRECISION``. The labelled candidates are made here by rule
@@ -50,8 +51,8 @@ GENERATORS = {
     "national_phone": r"(?<![0-9])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "assigned": r"(?i)(?<![A-Za-z0-9_])[A-Za-z0-9_]{0,32}(?:key|token|secret|passw[o0]rd|pwd|auth)[A-Za-z0-9_]{0,16} ?[=:] ?[\"']?[^\s\"']{6,200}[\"']?",
-    "long_token": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,60}[0-9])[A-Za-z0-9+/_-]{16,256}+={0,2}(?![A-Za-z0-9+/_=-])",
+    "assigned": r"(?i)(?<![A-Za-z0-9_])[A-Za-z0-9_]{0,32}(?:key|token|secret|passw[o0]rd|pwd|auth)[A-Za-z0-9_]{0,16} ?[=:] ?[\"']?[^\s\"']{6,}+[\"']?",
+    "long_token": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])",
 }
 KINDS = (*BASE, *GENERATORS)
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
@@ -273,7 +274,12 @@ def find(docs: DataFrame, model: Trees | None = None) -> DataFrame:
         threshold = reduce(lambda c, k: c.when(span["kind"] == k, F.lit(model.thresholds[k])), GENERATORS, F.when(F.lit(False), F.lit(1.0)))
         return scores[0] >= threshold
 
-    apart = F.filter("_loose", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    def clash(s: Column, b: Column) -> Column:
+        # digits in a secret may be a card number by chance; the secret around them is still one
+        around = s["kind"].isin("assigned", "long_token") & (b["kind"] == "card") & (s["start"] <= b["start"]) & (b["end"] <= s["end"]) & (F.length(s["value"]) > F.length(b["value"]))
+        return (b["start"] < s["end"]) & (s["start"] < b["end"]) & ~around
+
+    apart = F.filter("_loose", lambda s: ~F.exists("base", lambda b: clash(s, b)))
     return spans.withColumn("_apart", F.when(F.size("_loose") > 0, apart).otherwise(F.col("_loose"))).select(
         *docs.columns, "base", F.when(F.size("_apart") > 0, F.filter("_apart", chosen)).otherwise(F.col("_apart")).alias("added")
     )

@@ -128,6 +128,17 @@ def test_pii_added_spans(spark, make):
     assert pii.detect(make([])).count() == 0
 
 
+def test_long_secrets_are_redacted_whole(spark, make):
+    rng = random.Random(6)
+    run = lambda n, letters="0123456789abcdef": "".join(rng.choice(letters) for _ in range(n))
+    late = run(100, "abcdefgh") + run(200)  # no digit in the first 100 characters
+    card = run(150) + "f4111111111111111f" + run(150)
+    secrets = [run(300), run(5000), base64.b64encode(rng.randbytes(225)).decode(), base64.b64encode(rng.randbytes(3749)).decode(), late, card]
+    texts = [f"here {s} there" for s in secrets] + [f'word token = "{s}" word' for s in secrets]
+    clean = {r.doc_id: r.text for r in pii.redact(make(texts)).collect()}
+    assert [clean[k] for k in range(12)] == ["here [LONG_TOKEN] there"] * 6 + ["word [ASSIGNED] word"] * 6
+
+
 def test_pii_is_calibrated():
     model, made = pii.fit(), pii.labelled(1200, seed=99)
     import numpy as np
