@@ -36,6 +36,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from casebook.llm.common import documents, written
 from casebook.llm.graph import components
@@ -165,8 +166,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = documents(df, id_col, text_col)
     # ids go through pandas as text, where nulls change no other value
-    named = docs.select(F.col("doc_id").cast("string").alias("id_text"), "text").mapInPandas(partial(_sketched, k=k, rows_of_band=rows_of_band(percent)), f"id_text string, {SKETCHED}")
-    sketches = written(named.select(F.col("id_text").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_shingles", "cls", "bands"))
+    id_type = docs.schema["doc_id"].dataType
+    composed = isinstance(id_type, StructType)
+    id_text = F.to_json("doc_id") if composed else F.col("doc_id").cast("string")
+    named = docs.select(id_text.alias("id_text"), "text").mapInPandas(partial(_sketched, k=k, rows_of_band=rows_of_band(percent)), f"id_text string, {SKETCHED}")
+    sketches = written(named.select((F.from_json("id_text", id_type) if composed else F.col("id_text").cast(id_type)).alias("doc_id"), "n_shingles", "cls", "bands"))
     classes = written(sketches.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
 
     keyed = classes.select("cls", F.explode("bands").alias("key"))
@@ -224,6 +228,14 @@ def _texts(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` that are the first of their component, all columns; repeated rows stay once."""
-    keep = near_duplicates(df, id_col, text_col, k, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return df.join(keep, df[id_col].eqNullSafe(keep["_id"]), "left_semi").dropDuplicates([id_col])
+    """The rows of ``df`` that are the first of their component, all columns; rows equal in id and text stay once.
+
+    An id need not name a text: a row goes by its id (null ids last) and two hashes of its text.
+    """
+    text = F.coalesce(text_col, F.lit(""))
+    hashes = (F.xxhash64(text).alias("hash"), F.xxhash64(F.lit("again"), text).alias("again"), F.col(text_col).isNull().alias("no_text"))
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), *hashes)
+    keyed = df.select(key.alias("_row"), F.struct("*").alias("_all"))
+    firsts = near_duplicates(df.select(key.alias("_row"), F.col(text_col).alias("text")), "_row", "text", k, percent).where("kept").select("doc_id").distinct()
+    kept = keyed.join(firsts, keyed["_row"].eqNullSafe(firsts["doc_id"]), "left_semi").dropDuplicates(["_row"])
+    return kept.select("_all.*")

@@ -21,7 +21,8 @@ a passage in a third of all documents sends one row a task. Hashes are 64 bits o
 polynomial over the bytes.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose none.
-Repeated rows are one document (an id names a text). A null id comes first.
+Rows equal in id and text are one document; other texts under an id, or under none, are documents of
+their own. A null id comes first.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from casebook.llm.minhash import mixed
 
 LENGTH, GRAM = 100, 32
 BASE = 0x9E3779B97F4A7C15 | 1
+NO_ID = -(1 << 63)
 FLUSH = 1_500_000  # rows that a task holds before it combines and emits them
 LOW = (1 << 7) - 1
 
@@ -292,10 +294,25 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([batch[["doc"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])], axis=1)
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a number of its own for each id and text, in order of ids, and (_number, _name) of these; ids that name one text each stay as they are."""
+    text = F.coalesce("text", F.lit(""))
+    marks = F.struct(F.xxhash64(text).alias("hash"), F.xxhash64(F.lit("again"), text).alias("again"), F.col("text").isNull().alias("no_text"))
+    marked = docs.select("doc", marks.alias("mark"))
+    if marked.groupBy("doc").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").isEmpty():
+        return docs, None
+    ordered = marked.distinct().repartitionByRange("doc", "mark").sortWithinPartitions("doc", "mark")
+    names = written(ordered.select(F.monotonically_increasing_id().alias("_number"), F.col("doc").alias("_name"), F.col("mark").alias("_mark")))
+    own = docs.withColumn("_own", marks)
+    own = own.join(names, (own["doc"] == names["_name"]) & (own["_own"] == names["_mark"])).select(F.col("_number").alias("doc"), "text")
+    return own, names.select("_number", "_name")
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) of every row."""
     id_type = df.select(F.col(id_col)).schema[0].dataType
-    docs = documents(df, id_col, text_col).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text")
+    docs = documents(df, id_col, text_col).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    docs, names = _numbered(docs)
     suffixes = docs.mapInPandas(_suffixes, _ddl(ROW))
     keys = ["lead", "gram", "span"]
     spans = written(suffixes.repartitionByRange(*keys).sortWithinPartitions(*keys, "doc", "packed").mapInPandas(_compared, "doc long, packed long, start long, end long"))
@@ -306,4 +323,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cuts = spans.where("packed is null").select("doc", "start", "end").unionByName(later)
     cuts = cuts.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     found = docs.join(cuts, docs["doc"] == cuts["_doc"], "left").select("doc", "text", "cuts").mapInPandas(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return found.select(F.nullif("doc", F.lit(-(1 << 63))).cast(id_type).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    if names is not None:
+        found = found.join(names, found["doc"] == names["_number"]).drop("doc").withColumnRenamed("_name", "doc")
+    return found.select(F.nullif("doc", F.lit(NO_ID)).cast(id_type).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")

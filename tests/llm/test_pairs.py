@@ -69,6 +69,15 @@ def test_near_duplicates_edges(spark, make, odd_texts):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_one_of_each_goes_by_id_and_text(spark, make):
+    rng = random.Random(2)
+    texts = [words(rng, 80) for _ in range(6)]
+    rows = [texts[0], texts[1], texts[1], texts[2] + " more", None, texts[3], texts[4], texts[5], texts[2]]
+    kept = minhash.one_of_each(make(rows, ids=[None] * 5 + [7, 7, None, 9])).collect()
+    expected = [(None, texts[0]), (None, texts[1]), (None, None), (7, texts[3]), (7, texts[4]), (None, texts[5]), (9, texts[2])]
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t in expected)
+
+
 def test_sketch_agrees_with_similarity():
     rng = random.Random(2)
     assert minhash.rows_of_band(85) == 8 and minhash.rows_of_band(80) == 6

@@ -85,6 +85,17 @@ def test_suffix_dedup_edges(spark, make, odd_texts):
     assert suffix_dedup.remove_repeats(make([])).count() == 0
 
 
+def test_suffix_dedup_of_texts_that_share_an_id(spark, make):
+    rng = random.Random(12)
+    passage = words(rng, 40)
+    texts = [words(rng, 30), f"{passage} {words(rng, 9)}", passage, words(rng, 60), "tiny", f"{words(rng, 3)} {passage}", words(rng, 50), None]
+    rows = suffix_dedup.remove_repeats(make(texts + texts[:1], ids=[None] * 4 + [5] * 3 + [6, None])).collect()
+    whole = lambda i: sorted(r.n_bytes for r in rows if r.doc_id == i)
+    assert whole(None) == sorted(len(t) for t in texts[:4] + texts[:1]) and whole(5) == sorted(map(len, texts[4:7])) and whole(6) == [0]
+    left = b" ".join(bytes(r.kept) for r in rows).decode()
+    assert left.count(passage) == 1 and all(left.count(texts[k]) == n for k, n in ((0, 2), (3, 1), (6, 1)))  # only the passage is cut
+
+
 # ---- op4 -----------------------------------------------------------------------------------------
 
 # As the contract states them.
