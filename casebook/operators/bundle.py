@@ -1,7 +1,8 @@
 """Evidence bundles: events, raw payloads, a hash for each, a chain over the hashes, and a signature.
 
-Hashes are computed where the rows are, in Spark; a bundle holds at most ``BUNDLE_EVENTS`` events, so
-what comes to the driver to be chained and signed is bounded. An event's canonical bytes are its
+Hashes are computed where the rows are, in Spark; a bundle in one piece (`build`) holds at most ``BUNDLE_EVENTS``
+events, so what comes to the driver to be chained and signed is bounded. Cases of any size are sealed
+and verified in Spark (`sealed`, `sign_cases`, `verify_cases`); only one row a case comes to the driver. An event's canonical bytes are its
 JSON with sorted keys and no blanks.
 """
 
@@ -21,6 +22,7 @@ from casebook.functions import ed25519
 from casebook.functions.hashing import blake3, blake3_hex, sha256
 from casebook.functions.text import rfc3339_text
 from casebook.operators.export import attach
+from casebook.plans.storage import cut
 from casebook.schema import BUNDLE_EVENTS
 
 ALGORITHMS: dict[str, tuple[Callable[[Column], Column], Callable[[bytes], str]]] = {
@@ -28,6 +30,8 @@ ALGORITHMS: dict[str, tuple[Callable[[Column], Column], Callable[[bytes], str]]]
     "BLAKE3": (blake3, blake3_hex),
 }
 FORMAT = "1.0"
+RANGE = 4096
+SEAL = "case_id string, n_events long, n_files long, root_hash string"
 
 
 def canonical(events: DataFrame) -> Column:
@@ -57,6 +61,49 @@ def root(records: DataFrame) -> DataFrame:
     return records.groupBy("case_id").agg(F.count("*").alias("n_files"), sha256(joined).alias("root_hash"))
 
 
+def sealed(case_events: DataFrame, records: DataFrame) -> DataFrame:
+    """case_id, n_events, n_files, root_hash of every case, whatever its size: hashes are folded in ranges of pos, then the ranges' hashes in ranges, until one is left."""
+    level = records.select("case_id", "pos", "hash_hex")
+    counts = case_events.groupBy("case_id").agg(F.count("*").alias("n_events"))
+    sizes = records.groupBy("case_id").agg(F.count("*").alias("n_files"))
+    most = records.agg(F.max("pos")).first()[0]
+    while most is not None:
+        ordered = F.array_sort(F.collect_list(F.struct("pos", "hash_hex")))
+        joined = F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["pos"].cast("string"), x["hash_hex"])), ",")
+        level = level.groupBy("case_id", F.expr(f"pos div {RANGE}").alias("range")).agg(sha256(joined).alias("hash_hex")).withColumnRenamed("range", "pos")
+        most = most // RANGE or None
+    roots = level.select("case_id", F.col("hash_hex").alias("root_hash"))
+    return counts.join(sizes, "case_id", "left").join(roots, "case_id", "left").select("case_id", "n_events", F.coalesce("n_files", F.lit(0)).cast("long").alias("n_files"), F.coalesce("root_hash", F.lit("")).alias("root_hash"))
+
+
+def sign_cases(seals: DataFrame, seed: bytes) -> DataFrame:
+    """``seals`` with signature_hex. Only one short row a case comes to the driver, where the seed is."""
+    rows = [(*r, ed25519.sign(seed, _dumped(r.asDict())).hex()) for r in seals.toLocalIterator()]
+    return seals.sparkSession.createDataFrame(rows, f"{SEAL}, signature_hex string")
+
+
+def verify_cases(case_events: DataFrame, events: DataFrame, raw: DataFrame, records: DataFrame, signed: DataFrame, public_key: bytes, algorithm: str = "SHA-256") -> DataFrame:
+    """case_id, n_events, n_files, n_mismatched, integrity_valid, chain_valid, signature_valid of every whole case.
+
+    Every event and payload is hashed again in Spark and held against ``records``; one that is gone
+    or is too many counts as mismatched. The roots are folded again from the new hashes.
+    """
+    now = cut(integrity(case_events, events, raw, algorithm))
+    wanted = records.select("case_id", "pos", F.struct("path", "hash_hex", "size_bytes").alias("old"))
+    found = now.select("case_id", "pos", F.struct("path", "hash_hex", "size_bytes").alias("new"))
+    apart = wanted.join(found, ["case_id", "pos"], "full").groupBy("case_id").agg(F.count_if(~F.col("old").eqNullSafe(F.col("new"))).alias("n_mismatched"))
+    seals = sealed(case_events, now)
+    names = seals.columns
+    both = signed.join(seals.select("case_id", *(F.col(c).alias(f"now_{c}") for c in names[1:])), "case_id", "full").join(apart, "case_id", "left")
+    rows = []
+    for r in both.toLocalIterator():  # one short row a case
+        missing = 2 * (r["n_events"] or 0) - (r["n_files"] or 0)  # two files for each event
+        n, same = (r["n_mismatched"] or 0) + abs(missing), all(r[c] == r[f"now_{c}"] for c in names[1:])
+        good = r["signature_hex"] is not None and ed25519.verify(public_key, _dumped({c: r[c] for c in names}), bytes.fromhex(r["signature_hex"]))
+        rows.append((r["case_id"], r["now_n_events"] or 0, r["now_n_files"] or 0, n, n == 0, same, good))
+    return records.sparkSession.createDataFrame(rows, "case_id string, n_events long, n_files long, n_mismatched long, integrity_valid boolean, chain_valid boolean, signature_valid boolean")
+
+
 def _dumped(value: object) -> bytes:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
 

@@ -8,12 +8,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casebook.functions import ed25519
 from casebook.functions import text as T
 from casebook.functions.hashing import blake3, sha256
 from casebook.operators import bundle, cases, entities, export, graph, holds, keys, normalize, replay, search, sequences, timeline
 from casebook.operators.sequences import BUILT_IN, Pattern, Step
 from casebook.operators.timeline import Filters
 from casebook.plans.adapter import VIEW_SQL, forensic_view, full_events
+from casebook.plans.storage import cut
 from casebook.sources import files, parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -605,10 +607,10 @@ def bundle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bundle_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     case_events, events, raw = _bundled(spark, sf_dir)
-    few = case_events.where("case_id = 'case-3'").orderBy("event_id").limit(20)
-    made = bundle.build("case-3", "Case 3", few, events.join(ev(spark, sf_dir).select("event_id", "occurred_at"), "event_id"), raw, bytes(range(32)), "2025-01-01T00:00:00+00:00")
-    found = bundle.verify(made, strict=True)
-    return spark.createDataFrame([(found["integrity_valid"], found["chain_valid"], found["signature_valid"], found["details"])], "integrity_valid boolean, chain_valid boolean, signature_valid boolean, details array<string>")
+    records = cut(bundle.integrity(case_events, events, raw))
+    seed = bytes(range(32))
+    signed = bundle.sign_cases(bundle.sealed(case_events, records), seed)
+    return bundle.verify_cases(case_events, events, raw, records, signed, ed25519.public_key(seed))
 
 
 @query(on_view("select occurred_at, event_type as action, trim(actor_id) as actor, cast(event_id as varchar) as resource_id from ev where event_type = 'deploy.release' order by occurred_at desc, action, resource_id limit 50 offset 10"))

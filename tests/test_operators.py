@@ -175,6 +175,24 @@ def test_bundle(bundled):
         assert not bundle.verify(copy, strict)[broken]
 
 
+def test_whole_cases_are_verified(spark):
+    n = 1100  # more than a bundle in one piece holds
+    df = events(spark, *(dict(raw_event_id=k) for k in range(1, n + 1)))
+    raw = spark.createDataFrame([(k, bytearray(b"%d" % k)) for k in range(1, n + 1)], "raw_event_id long, content binary")
+    ce = spark.createDataFrame([("big" if k <= 1050 else "small", k, T0) for k in range(1, n + 1)], "case_id string, event_id long, added_at timestamp_ntz")
+    seed = bytes(32)
+    records = bundle.integrity(ce, df, raw).localCheckpoint()
+    signed = bundle.sign_cases(bundle.sealed(ce, records), seed)
+
+    def found(df, raw, key=seed):
+        return {r.case_id: tuple(r)[1:] for r in bundle.verify_cases(ce, df, raw, records, signed, ed25519.public_key(key)).collect()}
+
+    assert found(df, raw) == {"big": (1050, 2100, 0, True, True, True), "small": (50, 100, 0, True, True, True)}
+    changed = df.withColumn("severity", F.when(F.col("event_id") == 1049, 4).otherwise(F.col("severity")))
+    assert found(changed, raw.where("raw_event_id <> 1100")) == {"big": (1050, 2100, 1, False, False, True), "small": (50, 99, 1, False, False, True)}
+    assert not any(r[-1] for r in found(df, raw, bytes(range(32))).values())
+
+
 def test_export(bundled):
     ce, df, _ = bundled
     attached = export.attach(ce, df)
