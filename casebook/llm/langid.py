@@ -22,6 +22,7 @@ the first language by name. Without any labelled row every text is ``und``.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,6 +39,7 @@ SAMPLE_ROWS = 256
 HASH_STEPS = 4096
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
+SLACK = 64
 
 
 def _sample(labelled: DataFrame, rows: int) -> DataFrame:
@@ -166,6 +168,68 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> Column:
     return predicted(text_col)
 
 
+@cache
+def _words():
+    import regex
+
+    return regex.compile(r"(?<![\p{L}\p{N}_])\p{L}+(?![\p{L}\p{N}_])").findall, regex.compile(r"\p{L}+").findall
+
+
+def _letters(text: str) -> str:
+    """The words of letters alone; if there is none, the runs of letters."""
+    words, runs = _words()
+    return " ".join(words(text) or runs(text))
+
+
+def calibrated(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
+    """For each language bits a byte halfway between its labelled rows and the same rows with their letters in random order (medians)."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for batch in batches:
+            out = []
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                words = _letters(text)
+                if words and lang in m.langs:
+                    at, n, mixed = m.langs.index(lang), len(words.encode("utf-8", "surrogatepass")), list(words)
+                    random.Random(0).shuffle(mixed)
+                    out.append((lang, float(m.lengths(words)[at] / n), float(m.lengths("".join(mixed))[at] / n)))
+            yield pd.DataFrame(out, columns=["lang", "own", "mixed"])
+
+    labelled = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    found = _sample(labelled, sample_rows).mapInPandas(rates, "lang string, own double, mixed double")
+    return {r["lang"]: (r["own"] + r["mixed"]) / 2 for r in found.groupBy("lang").agg(F.median("own").alias("own"), F.median("mixed").alias("mixed")).collect()}
+
+
+def explained(df: DataFrame, model: Model, bounds: dict[str, float], text_col: str = "text") -> Column:
+    """Whether a text has a letter and, if any language was learnt, its words' shortest code is within that language's bound.
+
+    ``SLACK`` bits more are allowed, so a few words too short to tell stay. Texts are tried as written, then in lower case.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def within(m: Model, words: str) -> bool:
+        lengths = m.lengths(words)
+        best = int(np.argmin(lengths))
+        return bool(lengths[best] <= bounds.get(m.langs[best], np.inf) * len(words.encode("utf-8", "surrogatepass")) + SLACK)
+
+    @F.pandas_udf("boolean")
+    def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m, letter = shared.value, _has_letter()
+        for texts in batches:
+            out = []
+            for t in texts:
+                ok = t is not None and letter(t) is not None
+                if ok and m.langs:
+                    words = _letters(t)
+                    ok = within(m, words) or within(m, words.lower())
+                out.append(ok)
+            yield pd.Series(out, dtype=bool)
+
+    return kept(text_col)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

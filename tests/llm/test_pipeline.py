@@ -48,6 +48,22 @@ def test_pipeline_against_a_plain_version(spark):
     assert got == {k: len(t.encode()) for k, t in docs.items()}
 
 
+def test_the_language_stage_goes_by_the_model(spark, make):
+    import random
+
+    rng = random.Random(13)
+    styles = {"aa": ["bade", "cafe", "dace", "fade", "bead"], "bb": ["kolm", "monk", "looß", "knol", "moln"]}
+    langs = [("aa", "bb")[k % 2] for k in range(60)]
+    texts = [" ".join(rng.choice(styles[g]) for _ in range(80)) for g in langs]
+    junk = ["".join(rng.choice("bcdfghjkmnopqrstvwxz ") for _ in range(400)), "это неизвестный язык " * 20]
+    clean = [texts[0].upper(), "bade", texts[1] + ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', texts[2]]
+    docs = make([*texts, *junk, *clean, "12 34", None], ids=[None] * 68, langs=[*langs, *[None] * 8])
+    kept = {r.text for r in corpus_pipeline.language(spark, docs, SF).collect()}
+    assert kept == {*texts, *clean}
+    unlabelled = make([*junk, *clean, "12 34", None])
+    assert {r.text for r in corpus_pipeline.language(spark, unlabelled, SF).collect()} == {*junk, *clean}
+
+
 def test_stages_keep_columns_and_stand_empty_tables(spark, make, odd_texts):
     docs = make(odd_texts, ids=[None, *range(len(odd_texts) - 1)])
     for rows in (docs, docs.limit(0)):
