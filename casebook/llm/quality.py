@@ -2,18 +2,17 @@ r"""Quality rules: base statistics of each text, and cross-document line frequen
 
 Lines are normalised (lower case, digits as 0, runs of blanks as one) and hashed; for
 each host the distinct documents that hold a line are counted. Lines in more than
-``max_docs`` documents of a host *and* more than ``max_share`` of them are boilerplate
-and removed; a document of which less than ``min_left`` of the characters remain is depleted
-and rejected. Documents with the same whole text count once, so a line is not called
-boilerplate because one document was copied. Hosts are the values of ``host_col``
-(a null host is a host of its own).
+``max_docs`` documents of a host are boilerplate and removed, however large or small the host is; a document
+of which less than ``min_left`` of the characters remain is depleted and rejected. What remains of each text is the column ``left``.
+Hosts are the values of ``host_col`` (a null host is a host of its own).
 
 The counts are sums with map-side partials, so neither a hot host nor a hot line is a
 hot group; the join of lines with the removed ones is an equi-join that can be split.
 
-Defined cases: a null or empty text has all statistics 0 and fails the base rules.
-Repeated rows get equal results. Texts with the same words in other line breaks are
-different documents.
+Defined cases: a null or empty text has all statistics 0 and fails the base rules; ``left`` of a null text is null.
+Rows equal in id and text count as one document and get equal results; other texts under one id, or under none, are
+documents of their own. Very long texts are counted whole. An empty table gives no rows. Only the id, text and host columns are
+read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from casebook.llm.common import documents
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-MAX_DOCS, MAX_SHARE, MIN_LEFT = 50, 0.02, 0.2
+MAX_DOCS, MIN_LEFT = 3, 0.5
 BLANKS = b" \t\n\x0b\x0c\r"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -69,36 +68,35 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.where("plain <> ''").select("doc_id", "host", "text_hash", "position", F.xxhash64("plain").alias("line"), "chars")
 
 
-def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """host, line, n_docs of the lines above both limits; ``docs``: doc_id, text, host, text_hash."""
-    hosts = (
-        docs.where("text is not null").select("host", "text_hash").distinct()
-        .groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("host_docs"))
-    )
-    counts = _lines(docs).select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
-    return counts.join(hosts, counts["host"].eqNullSafe(hosts["_host"])).where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line", "n_docs")
+def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """host, line, n_docs of the lines above the limit; ``docs``: doc_id, text, host, text_hash."""
+    held = _lines(docs).select("host", "line", "doc_id", "text_hash").distinct()
+    return held.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
-def judge(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
-) -> DataFrame:
-    """doc_id, the statistics, n_frequent_lines and n_frequent_chars (removed), base_failed and kept of every row."""
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+    """doc_id, the statistics, n_frequent_lines and n_frequent_chars (removed), left (the other lines), base_failed and kept of every row."""
     docs = documents(df, id_col, text_col, host_col).withColumnRenamed(host_col, "host").withColumn("text_hash", F.xxhash64("text"))
-    frequent = frequent_lines(docs, max_docs, max_share).withColumnsRenamed({"host": "_host", "line": "_line"})
+    frequent = frequent_lines(docs, max_docs).withColumnsRenamed({"host": "_host", "line": "_line"})
     lines = _lines(docs)
     removed = (
         lines.join(frequent, lines["host"].eqNullSafe(frequent["_host"]) & (lines["line"] == frequent["_line"]), "left_semi")
         .groupBy("doc_id", "host", "text_hash").agg(F.collect_set(F.struct("position", "chars")).alias("_lines"))
         .select(
             F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_text"), F.size("_lines").cast("long").alias("_n"),
-            F.aggregate("_lines", F.lit(0).cast("long"), lambda n, x: n + x["chars"]).alias("_chars"),
+            F.aggregate("_lines", F.lit(0).cast("long"), lambda n, x: n + x["chars"]).alias("_chars"), F.transform("_lines", lambda x: x["position"]).alias("_gone"),
         )
     )
-    own = docs.select("doc_id", "host", "text_hash", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), F.pandas_udf(_stats, STATS)("text").alias("s"))
+    own = docs.select("doc_id", "host", "text", "text_hash", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), F.pandas_udf(_stats, STATS)("text").alias("s"))
     same = own["doc_id"].eqNullSafe(removed["_id"]) & own["host"].eqNullSafe(removed["_host"]) & (own["text_hash"] == removed["_text"])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    # the hashed set difference of positions is linear in their number and keeps their order
+    parts = F.split("text", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    left = F.transform(F.array(parts), lambda x: F.array_join(F.transform(stay, lambda k: F.get(x, k)), "\n"))[0]
     judged = own.join(removed, same, "left").select(
-        "doc_id", "s.*", "n_chars", F.coalesce("_n", F.lit(0)).cast("long").alias("n_frequent_lines"), F.coalesce("_chars", F.lit(0)).cast("long").alias("n_frequent_chars")
-    )
+        "doc_id", "s.*", "n_chars", F.coalesce("_n", F.lit(0)).cast("long").alias("n_frequent_lines"), F.coalesce("_chars", F.lit(0)).cast("long").alias("n_frequent_chars"),
+        F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("left"),
+    )
     depleted = F.col("n_chars") - F.col("n_frequent_chars") < min_left * F.col("n_chars")
     return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted).drop("n_chars")
