@@ -1,137 +1,183 @@
 """Language identification by prediction by partial matching (PPM) over bytes.
 
-For each language a tree of byte contexts up to order ``ORDER`` is counted on labelled
-rows. A byte's probability is taken from the longest context that has seen it; each
-longer context that has not costs its escape probability, q / (n + q) for a context with
-q different bytes in n (method C), and below order 0 all bytes are alike. The code
-length of a text under a language's frozen counts is the sum of -log2 of these
-probabilities; the language with the shortest code wins, and the score is its posterior
-under equal priors, 1 / sum of 2 ** (shortest - length).
-
-The labelled sample is bounded: about ``SAMPLE_ROWS`` rows of each language, whole, those
-with the smallest hashes of (text), so it does not depend on partitions or order. Counts
-are summed by Spark; what comes to the driver is bounded by the sample. Codes are then
-compiled once for each worker: bytes are renamed to at most ``SYMBOLS`` symbols (the most
-frequent ones in the sample; all others share one, and are told apart by a flat code), and
-a dense table holds every context's cost, so that scoring gathers one number for each
-byte and language. Every text is scored whole.
+For each language a tree of byte contexts is counted on labelled rows: all contexts of up to ``ORDER`` bytes that
+were seen at least ``MIN_SEEN`` times, so how long a context gets varies (order 0 is always there). A byte is coded from the longest context in
+the tree that ends where it starts. A context that has seen q different bytes in n gives a byte seen c times c / (n + q), and
+escapes to the next shorter context with q / (n + q) (method C). After an escape the bytes that the longer
+context has seen are excluded from the counts, so the probabilities of all bytes sum to one and the lengths are those of
+an exact code; below order 0 all bytes not seen at all are alike. The code length of a text under a
+language's frozen counts is the sum of -log2 of these probabilities; the language with the
+shortest code wins, and the score is its posterior under equal priors, 1 / sum of 2 ** (shortest - length).
+
+The labelled sample is bounded: the ``SAMPLE_ROWS`` different texts of each language with the smallest hashes, whole, so it
+does not depend on partitions or order. Counts are summed by Spark; what comes to the driver, and is broadcast, is bounded by the sample's bytes.
+Trees are sparse (sorted arrays of contexts and of strings), over all 256 bytes and any number of languages. What a byte costs depends on it and
+the ``ORDER`` bytes before it alone, so a batch codes each different string of ORDER + 1 bytes once. Every text is scored whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. Ties go to
-the first language by name. Without any labelled row every text is ``und``.
+the first language by name. Without any labelled row every text is ``und``. Repeated rows get equal results. Very long texts are
+coded in blocks of ``BLOCK`` bytes with the bytes before as context. An empty table gives no rows. Only the id, text and language columns are
+read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casebook.llm.common import documents
 
-ORDER = 3
-SYMBOLS = 48
+ORDER = 4
+MIN_SEEN = 2
 SAMPLE_ROWS = 256
-HASH_STEPS = 4096
-MAX_LANGUAGES = 64
+BLOCK = 1 << 22
 UNKNOWN = "und"
 SLACK = 64
 
 
 def _sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows of each lang (at least, where there are that many), chosen by hash."""
-    step = F.pmod(F.xxhash64("text"), F.lit(HASH_STEPS)).cast("int")
-    steps = labelled.groupBy("lang", step.alias("step")).agg(F.count("*").alias("n")).collect()  # at most languages x HASH_STEPS rows
-    if len({r["lang"] for r in steps}) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    last: dict[str, int] = {}
-    total: dict[str, int] = {}
-    for r in sorted(steps, key=lambda r: r["step"]):
-        if total.get(r["lang"], 0) < rows:
-            total[r["lang"]] = total.get(r["lang"], 0) + r["n"]
-            last[r["lang"]] = r["step"]
-    if not last:
-        return labelled.limit(0)
-    wanted = F.lit(False)
-    for lang, upto in sorted(last.items()):
-        wanted = wanted | ((F.col("lang") == lang) & (step <= upto))
-    return labelled.where(wanted)
+    """The ``rows`` different texts of each lang with the smallest hashes (lang, text)."""
+    hashed = labelled.select("lang", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit("again"), "text").alias("again"))
+    first = W.partitionBy("lang").orderBy("hash", "again")
+    # the rank is limited within each task before hashes are shuffled; what is broadcast is rows x languages hashes, less than the model
+    least = hashed.distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows).drop("k")
+    wanted = least.withColumnsRenamed({"lang": "_lang", "hash": "_hash", "again": "_again"})
+    same = (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_hash")) & (F.xxhash64(F.lit("again"), "text") == F.col("_again"))
+    return labelled.join(F.broadcast(wanted), same, "left_semi").dropDuplicates(["lang", "text"])
+
+
+def _codes(raw: np.ndarray) -> np.ndarray:
+    """Every string of ORDER + 1 bytes as a number, first byte highest."""
+    n = len(raw) - ORDER
+    out = np.zeros(n, np.int64)
+    for k in range(ORDER + 1):
+        out = (out << 8) | raw[k : k + n]
+    return out
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of all byte strings of ORDER + 1 bytes, texts led in by ORDER zero bytes; their tails count as shorter contexts."""
+    """Counts of all byte strings of ORDER + 1 bytes, texts led in by ORDER zero bytes."""
     for batch in batches:
         for lang, texts in batch.groupby("lang")["text"]:
-            codes = []
-            for t in texts:
-                b = np.frombuffer(b"\0" * ORDER + t.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
-                n = len(b) - ORDER
-                codes.append(sum(b[k : k + n] << (8 * (ORDER - k)) for k in range(ORDER + 1)))
+            codes = [_codes(np.frombuffer(b"\0" * ORDER + t.encode("utf-8", "surrogatepass"), np.uint8)) for t in texts]
             code, n = np.unique(np.concatenate(codes), return_counts=True)
             yield pd.DataFrame({"lang": lang, "code": code, "n": n})
 
 
+class Tree:
+    """One language's contexts of each order with their counts, shortest first.
+
+    ``strings[k]`` are the context-and-byte strings of k + 1 bytes with their counts, ``contexts[k]`` those of k bytes that are in
+    the tree. For each context: n + q (``whole``), q (``kinds``), and the same of the next shorter context
+    without the bytes that this one has seen (``rest``, ``rest_kinds``).
+    """
+
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        self.strings, self.counts, self.contexts, self.whole, self.kinds, self.rest, self.rest_kinds = ([] for _ in range(7))
+        levels = []
+        for k in range(ORDER + 1):
+            strings, at = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            levels.append((strings, np.bincount(at, weights=n, minlength=len(strings)).astype(np.int64)))
+        for k, (strings, counts) in enumerate(levels):
+            contexts, at = np.unique(strings >> 8, return_inverse=True)
+            seen, kinds = np.bincount(at, weights=counts, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
+            if k:  # what the next shorter context has besides this one's bytes
+                below = levels[k - 1]
+                held = below[1][np.searchsorted(below[0], strings & ((1 << 8 * k) - 1))]
+                up = np.searchsorted(self._all, contexts & ((1 << 8 * (k - 1)) - 1))
+                rest_kinds = self._kinds[up] - kinds
+                rest = self._seen[up] - np.bincount(at, weights=held, minlength=len(contexts)) + rest_kinds
+            else:
+                rest_kinds, rest = 256 - kinds, 256 - kinds
+            self._all, self._seen, self._kinds = contexts, seen, kinds
+            stay = seen >= (MIN_SEEN if k else 0)
+            self.strings.append(strings[stay[at]])
+            self.counts.append(counts[stay[at]])
+            for name, x in (("contexts", contexts), ("whole", seen + kinds), ("kinds", kinds), ("rest", rest), ("rest_kinds", rest_kinds)):
+                getattr(self, name).append(x[stay])
+
+    def costs(self, code: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each string of ORDER + 1 bytes after the others."""
+        bits = np.zeros(len(code))
+        todo = np.arange(len(code))  # what is not coded yet
+        over = np.full(len(code), -1.0)  # n + q at the next context, where an escape has led there
+        kinds = np.zeros(len(code))
+        for k in range(ORDER, -1, -1):
+            context, string = (code[todo] >> 8) & ((1 << 8 * k) - 1), code[todo] & ((1 << 8 * (k + 1)) - 1)
+            at = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
+            there = self.contexts[k][at] == context
+            todo, at, string = todo[there], at[there], string[there]
+            of = np.minimum(np.searchsorted(self.strings[k], string), len(self.strings[k]) - 1)
+            coded = self.strings[k][of] == string
+            first = over[todo] < 0
+            n, q = np.where(first, self.whole[k][at], over[todo]), np.where(first, self.kinds[k][at], kinds[todo])
+            bits[todo[coded]] += np.log2(n[coded]) - np.log2(self.counts[k][of[coded]])
+            left = ~coded
+            bits[todo[left]] += np.where(q[left] > 0, np.log2(np.maximum(n[left], 1)) - np.log2(np.maximum(q[left], 1)), 0)
+            over[todo[left]], kinds[todo[left]] = self.rest[k][at[left]], self.rest_kinds[k][at[left]]
+            over[todo[coded]] = np.inf  # done
+            todo = np.flatnonzero(~np.isinf(over))
+        bits[todo] += np.log2(np.maximum(over[todo], 1))
+        return bits
+
+
 class Model:
-    """Frozen counts of each language; `tables` compiles them."""
+    """Frozen counts of each language; trees are made once a worker."""
 
     def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(grams)
         self.grams = [grams[k] for k in self.langs]
-        self._tables: tuple | None = None
+        self._trees: list[Tree] | None = None
 
     def __getstate__(self) -> dict:
-        return {"langs": self.langs, "grams": self.grams, "_tables": None}
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, float]:
-        """Symbol of each byte, costs in bits [context and symbol as one index, language], extra bits of the shared symbol."""
-        if self._tables is None:
-            total = np.zeros(256, np.int64)
-            for code, n in self.grams:
-                np.add.at(total, code & 255, n)
-            total[0] += 1 << 60  # the lead-in has a symbol of its own
-            symbol = np.full(256, SYMBOLS - 1, np.int64)
-            symbol[np.argsort(-total, kind="stable")[: SYMBOLS - 1]] = np.arange(SYMBOLS - 1)
-            costs = np.stack([self._costs(symbol, code, n) for code, n in self.grams], axis=-1)
-            self._tables = symbol, np.ascontiguousarray(costs.reshape(-1, len(self.langs))), float(np.log2(256 - SYMBOLS + 1))
-        return self._tables
-
-    @staticmethod
-    def _costs(symbol: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
-        counts = np.zeros((SYMBOLS,) * (ORDER + 1), np.float32)
-        np.add.at(counts, tuple(symbol[(code >> (8 * (ORDER - k))) & 255] for k in range(ORDER + 1)), n)
-        levels = [counts]
-        for _ in range(ORDER):
-            levels.append(levels[-1].sum(axis=0))  # forget the farthest byte
-        p = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
-        for c in reversed(levels):  # from order 0 up
-            seen, many = c.sum(axis=-1, keepdims=True), (c > 0).sum(axis=-1, keepdims=True)
-            escape = np.where(seen > 0, many / np.maximum(seen + many, 1), 1)
-            p = np.where(c > 0, c / np.maximum(seen + many, 1), escape * p).astype(np.float32)
-        return -np.log2(p)
-
-    def lengths(self, text: str) -> np.ndarray:
-        """Code length in bits of the whole text under each language."""
-        symbol, costs, extra = self.tables()
-        out, raw = np.zeros(len(self.langs)), text.encode("utf-8", "surrogatepass")
-        for at in range(0, len(raw), 1 << 20):  # in blocks with ORDER bytes of lead-in, for bounded memory
-            block = raw[max(0, at - ORDER) : at + (1 << 20)]
-            s = symbol[np.frombuffer(b"\0" * (ORDER - min(at, ORDER)) + block, np.uint8)]
-            n = len(s) - ORDER
-            index = s[:n].copy()
-            for k in range(1, ORDER + 1):
-                index *= SYMBOLS
-                index += s[k : k + n]
-            out += costs[index].sum(axis=0, dtype=np.float64) + extra * np.count_nonzero(s[ORDER:] == SYMBOLS - 1)
+        return {"langs": self.langs, "grams": self.grams, "_trees": None}
+
+    def trees(self) -> list[Tree]:
+        if self._trees is None:
+            self._trees = [Tree(code, n) for code, n in self.grams]
+        return self._trees
+
+    def lengths(self, texts: Sequence[str]) -> np.ndarray:
+        """Code length in bits of each whole text under each language."""
+        out = np.zeros((len(texts), len(self.langs)))
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        held, size = [], 0
+        for k, raw in enumerate(raws):
+            for at in range(0, len(raw), BLOCK):
+                piece = b"\0" * max(0, ORDER - at) + raw[max(0, at - ORDER) : at + BLOCK]
+                if size + len(piece) > BLOCK and held:
+                    self._add(out, held)
+                    held, size = [], 0
+                held.append((k, piece))
+                size += len(piece)
+        if held:
+            self._add(out, held)
         return out
 
+    def _add(self, out: np.ndarray, pieces: list[tuple[int, bytes]]) -> None:
+        """Adds what the pieces, each led in by ORDER bytes, cost."""
+        sizes = np.array([len(p) for _, p in pieces])
+        codes = _codes(np.frombuffer(b"".join(p for _, p in pieces), np.uint8))
+        ends = np.cumsum(sizes)
+        own = np.ones(len(codes) + ORDER, bool)  # strings that begin in one piece and end in the next count for none
+        for k in range(ORDER):
+            own[ends - 1 - k] = False
+        of, known = pd.factorize(codes[own[: len(codes)]])
+        rows = np.repeat([k for k, _ in pieces], sizes - ORDER)
+        for lang, tree in enumerate(self.trees()):
+            out[:, lang] += np.bincount(rows, weights=tree.costs(known)[of], minlength=len(out))
+
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the rows of ``df`` with a text and a language."""
-    labelled = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    labelled = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and text <> '' and lang is not null")
     counted = _sample(labelled, sample_rows).mapInPandas(_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     return Model({lang: (g["code"].to_numpy(), g["n"].to_numpy()) for lang, g in counted.sort_values(["lang", "code"]).groupby("lang")})
 
@@ -156,13 +202,11 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> Column:
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m, letter = shared.value, _has_letter()
         for texts in batches:
-            rows = []
-            for t in texts:
-                if t is None or not m.langs or not letter(t):
-                    rows.append((UNKNOWN, 0.0))
-                else:
-                    best, score = posterior(m.lengths(t))
-                    rows.append((m.langs[best], score))
+            rows = [(UNKNOWN, 0.0)] * len(texts)
+            known = [k for k, t in enumerate(texts) if t is not None and m.langs and letter(t)]
+            for k, lengths in zip(known, m.lengths([texts.iloc[k] for k in known]), strict=True):
+                best, score = posterior(lengths)
+                rows[k] = (m.langs[best], score)
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     return predicted(text_col)
@@ -194,7 +238,8 @@ def calibrated(df: DataFrame, model: Model, text_col: str = "text", lang_col: st
                 if words and lang in m.langs:
                     at, n, mixed = m.langs.index(lang), len(words.encode("utf-8", "surrogatepass")), list(words)
                     random.Random(0).shuffle(mixed)
-                    out.append((lang, float(m.lengths(words)[at] / n), float(m.lengths("".join(mixed))[at] / n)))
+                    own, shuffled = m.lengths([words, "".join(mixed)])[:, at] / n
+                    out.append((lang, float(own), float(shuffled)))
             yield pd.DataFrame(out, columns=["lang", "own", "mixed"])
 
     labelled = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
@@ -209,23 +254,21 @@ def explained(df: DataFrame, model: Model, bounds: dict[str, float], text_col: s
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def within(m: Model, words: str) -> bool:
-        lengths = m.lengths(words)
-        best = int(np.argmin(lengths))
-        return bool(lengths[best] <= bounds.get(m.langs[best], np.inf) * len(words.encode("utf-8", "surrogatepass")) + SLACK)
+    def within(m: Model, words: list[str]) -> list[bool]:
+        sizes = (len(w.encode("utf-8", "surrogatepass")) for w in words)
+        return [bool(own.min() <= bounds.get(m.langs[int(np.argmin(own))], np.inf) * n + SLACK) for own, n in zip(m.lengths(words), sizes, strict=True)]
 
     @F.pandas_udf("boolean")
     def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m, letter = shared.value, _has_letter()
         for texts in batches:
-            out = []
-            for t in texts:
-                ok = t is not None and letter(t) is not None
-                if ok and m.langs:
-                    words = _letters(t)
-                    ok = within(m, words) or within(m, words.lower())
-                out.append(ok)
-            yield pd.Series(out, dtype=bool)
+            ok = [t is not None and letter(t) is not None for t in texts]
+            asked = [k for k, x in enumerate(ok) if x and m.langs]
+            for change in (str, str.lower):  # as written, then in lower case
+                for k, x in zip(asked, within(m, [change(_letters(texts.iloc[k])) for k in asked]), strict=True):
+                    ok[k] = x
+                asked = [k for k in asked if not ok[k]]
+            yield pd.Series(ok, dtype=bool)
 
     return kept(text_col)
 
