@@ -107,16 +107,37 @@ def test_nearest_neighbours(spark):
     x[100:140] = x[99]  # a common vector
     rows = [(i, v.tolist(), "x", "y") for i, v in enumerate(x)] + [(1000, None, "", ""), (1100, [0.0] * 16, "", ""), (1200, [float("nan")] * 16, "", ""), (1300, [None] * 16, "", ""), (1400, [], "", ""), (1500, [1.0, 2.0], "", "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, score string")
-    found = permutation_index.search(df, F.col("vec_id") % 100 == 0, block_rows=200, query_rows=4).collect()
+    found = permutation_index.search(df, F.col("vec_id") % 100 == 0, block_rows=200, rerank=60).collect()
+    exact = permutation_index.search(df, F.col("vec_id") % 100 == 0, block_rows=200, rerank=200, visits=64).collect()
     hits = 0
     for q in range(0, 600, 100):
         got = [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         best = [i for i in np.lexsort((np.arange(600), d)) if i != q][:10]
         hits += len(set(best) & {i for i, _ in got})
-        assert len(got) == 10 and all(s == d[i] for i, s in got) and got == sorted(got, key=lambda g: (g[1], g[0]))
+        assert len(got) == 10 and all(abs(s - d[i]) < 1e-12 for i, s in got) and got == sorted(got, key=lambda g: (g[1], g[0]))
     assert hits / 60 >= 0.9
-    assert {r.query_id for r in found} <= set(range(0, 600, 100)) | {1500}
+    assert {r.query_id for r in found} == set(range(0, 600, 100))  # one vector of another width has no candidate
+    for q in range(0, 600, 100):
+        best = [i for i in np.lexsort((np.arange(600), np.sqrt(((x - x[q]) ** 2).sum(1)))) if i != q][:10]
+        assert [r.vec_id for r in sorted(exact, key=lambda r: r["rank"]) if r.query_id == q] == best
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r["rank"]) for r in permutation_index.search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(2, 1), (1, 2)]
     assert permutation_index.search(few.limit(0), F.lit(True)).count() == 0
+
+
+def test_nearest_neighbours_of_several_widths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=(8, 12, 5)[min(i % 7, 2)]).tolist()) for i in range(300)] + [(1000 + i, [1.0] * (20 + i)) for i in range(60)]
+    found = permutation_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    sizes = {i: len(v) for i, v in rows}
+    for q in (0, 100, 200):
+        got = [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
+        d = sorted((float(np.sqrt(((np.array(v) - np.array(rows[q][1])) ** 2).sum())), i) for i, v in rows if len(v) == sizes[q] and i != q)
+        assert got == [i for _, i in d[:10]]
+
+
+def test_layout_splits_large_files():
+    of = permutation_index.layout(np.array([3, 50, 4, 200, 5]), 60)
+    assert of.first.tolist() == [0, 0, 0, 1, 5] and of.count.tolist() == [1, 1, 1, 4, 1] and not of.whole
+    assert permutation_index.layout(np.array([3, 4]), 60).whole
