@@ -7,32 +7,36 @@ match is lost: of the ``GRAM``-byte strings in a window the one with the smalles
 leftmost, of equals) is the window's anchor, so equal windows have equal anchors at equal
 places. Each window belongs to one anchor, each anchor owns a run of windows, its span.
 
-1. Suffixes are range-partitioned by their leading bytes (`repartitionByRange` samples the
-   splitters), then by the hashes of their gram and span, and sorted within partitions. Of equal
-   spans all but the first are removed whole. A hot suffix is split between
-   partitions by its spans; since the neighbours across a partition's ends are not seen,
-   its first and last suffix count as shared, which costs work and loses nothing.
-2. Where suffixes share a gram but spans differ, single windows decide: the first suffix of
-   each span gives the hashes of its windows, and of equal windows all but the first are removed.
-
-Both steps combine within a task before they shuffle: of equal spans (windows) in a task
-only the first can be the first of all, and the others are removed at once. So
-a passage in a third of all documents sends one row a task. Hashes are 64 bits of a
-polynomial over the bytes.
-
-Defined cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose none.
+1. Which suffixes can match at all: hashes of the suffixes' grams are range-partitioned and compared with their neighbours; those that are alone
+   go no further. Hashes only choose what is looked at.
+2. The other suffixes go on as bytes: what follows their anchor, and what precedes it in the span. They are range-partitioned by
+   their leading bytes (`repartitionByRange` samples the splitters) into buckets of about ``BUCKET`` rows, and each bucket is sorted by multikey quicksort
+   (`multikey_quicksort`): by the first word of all suffixes, then the next word among those that are still equal, and so on.
+   Of equal spans all but the first are removed whole. Where suffixes share a gram but spans differ, single windows decide: equal hashes propose,
+   bytes decide, and of equal windows all but the first are removed.
+3. Across boundaries: the grams at both ends of a bucket may go on in the next one, so the windows that are first in their bucket there are
+   grouped once more, by their bytes.
+
+Step 1 combines within a task before anything is shuffled: of spans of a task that are equal in bytes only the first can be the first of all, and
+the others are removed at once. So a passage in a third of all documents sends one row a task. A hot suffix is
+split between buckets by what precedes its anchor.
+
+Defined cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose none. Very long texts are handled whole.
 Rows equal in id and text are one document; other texts under an id, or under none, are documents of
-their own. A null id comes first.
+their own. Ids of any type that can be ordered serve; a null id comes first. An empty table gives no rows. Only the id and text columns are read, so
+other columns' names cannot clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from casebook.llm.common import documents, written
 from casebook.llm.minhash import mixed
@@ -41,7 +45,10 @@ LENGTH, GRAM = 100, 32
 BASE = 0x9E3779B97F4A7C15 | 1
 NO_ID = -(1 << 63)
 FLUSH = 1_500_000  # rows that a task holds before it combines and emits them
+BUCKET = 100_000
 LOW = (1 << 7) - 1
+RIGHT, LEFT = 104, 72  # a span has at most 100 bytes from its anchor on, and 68 before it
+CHUNK = 20_000  # rows whose bytes are compared at a time
 
 
 class Powers:
@@ -106,24 +113,6 @@ def anchors(text: Hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return position, first, last, h[position]
 
 
-def _leading(text: Hashed, position: np.ndarray) -> np.ndarray:
-    """The first 8 bytes of the suffixes as numbers that order as the bytes do."""
-    lead = np.zeros(len(position), np.uint64)
-    for k in range(8):
-        lead = (lead << np.uint64(8)) | text.raw[position + k].astype(np.uint64)
-    return (lead ^ np.uint64(1 << 63)).view(np.int64)
-
-
-def _ordered(keys: tuple[np.ndarray, ...], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by keys, then document and place; in it, which rows are the first of equal keys, and which repeat the row before."""
-    order = np.lexsort((place, doc, *reversed(keys)))
-    same = np.ones(len(order) - 1, bool)
-    for key in keys:
-        same &= key[order][1:] == key[order][:-1]
-    repeat = same & (doc[order][1:] == doc[order][:-1]) & (place[order][1:] == place[order][:-1])
-    return order, np.r_[True, ~same], np.r_[False, repeat]
-
-
 def runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intervals [start, end), at least one, merged where they touch within a document."""
     order = np.lexsort((start, doc))
@@ -135,10 +124,11 @@ def runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     return doc[at], start[at], reach[np.r_[at[1:] - 1, len(doc) - 1]]
 
 
-# A row is a suffix (lead, gram, span, doc, packed) or, with packed null, an interval to remove (doc, start, end).
+# A row of step 1 is a suffix (gram, span, doc, packed) or, with packed null, an interval to remove (doc, start, end).
 # packed holds a suffix's position, how many of its windows start before it, and how many windows it has.
-ROW = {"lead": "long", "gram": "long", "span": "long", "doc": "long", "packed": "long", "start": "long", "end": "long"}
-WINDOW = {"window": "long", "doc": "long", "start": "long", "end": "long"}
+ROW = {"gram": "long", "span": "long", "doc": "long", "packed": "long", "start": "long", "end": "long"}
+SHARED = {"doc": "long", "packed": "long", "start": "long", "end": "long"}
+FOUND = "window binary, doc long, start long, end long"
 
 
 def _ddl(columns: dict[str, str]) -> str:
@@ -162,20 +152,44 @@ def _bounds(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, start + (packed & LOW) - 1 + LENGTH
 
 
-def _combined(held: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
-    """Of equal spans of one task only the first goes on; the others are intervals already."""
-    lead, gram, span, doc, packed = (np.concatenate(x) for x in zip(*held, strict=True))
-    order, first, repeat = _ordered((lead, gram, span), doc, packed)
-    kept, rest = order[first], order[~first & ~repeat]
-    yield _rows(ROW, lead=lead[kept], gram=gram[kept], span=span[kept], doc=doc[kept], packed=packed[kept])
-    if len(rest):
-        doc, start, end = runs(doc[rest], *_bounds(packed[rest]))
+def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether ``length`` bytes of ``raw`` from a on are those from b on, for each of many."""
+    out = np.ones(len(a), bool)
+    for at in range(0, len(a), CHUNK):
+        part = slice(at, at + CHUNK)
+        n = length[part]
+        k = np.arange(n.max(initial=0))
+        inside = k < n[:, None]
+        x, y = (np.minimum(s[part][:, None] + k, len(raw) - 1) for s in (a, b))
+        out[part] = ((raw[x] == raw[y]) | ~inside).all(1)
+    return out
+
+
+def _combined(raws: list[bytes], held: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
+    """Of spans of one task that are equal in bytes only the first goes on; the others are intervals already."""
+    gram, span, doc, packed, base = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((packed, doc, span, gram))
+    gram, span, doc, packed, base = (x[order] for x in (gram, span, doc, packed, base))
+    new = np.r_[True, (gram[1:] != gram[:-1]) | (span[1:] != span[:-1])]
+    repeat = ~new & np.r_[False, (doc[1:] == doc[:-1]) & (packed[1:] == packed[:-1])]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    start, end = _bounds(packed)
+    rest = np.flatnonzero(~new & ~repeat)
+    alike = ((packed[rest] ^ packed[first[rest]]) & ((1 << 14) - 1)) == 0
+    text = np.frombuffer(b"".join(raws), np.uint8)
+    alike[alike] = same_bytes(text, (base + start)[rest[alike]], (base + start)[first[rest[alike]]], (end - start)[rest[alike]])
+    gone = rest[alike]
+    keep = ~repeat
+    keep[gone] = False
+    yield _rows(ROW, gram=gram[keep], span=span[keep], doc=doc[keep], packed=packed[keep])
+    if len(gone):
+        doc, start, end = runs(doc[gone], start[gone], end[gone])
         spread = _spread(doc, start)
-        yield _rows(ROW, lead=spread, gram=spread, span=spread, doc=doc, start=start, end=end)
+        yield _rows(ROW, gram=spread, span=spread, doc=doc, start=start, end=end)
 
 
-def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held, rows = [], 0
+def _suffixes(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+    held, raws, size, rows, drop = [], [], 0, 0, np.uint64(64 - bits)
     for batch in batches:
         for doc, text in zip(batch["doc"], batch["text"], strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
@@ -185,19 +199,22 @@ def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             position, first, last, gram = anchors(t)
             packed = position << 14 | (position - first) << 7 | (last - first + 1)
             span = mixed(t(first, last + LENGTH) + (packed & ((1 << 14) - 1)).astype(np.uint64))
-            held.append((_leading(t, position), gram.view(np.int64), span.view(np.int64), np.full(len(position), doc, np.int64), packed))
-            rows += len(position)
+            n = len(position)
+            held.append(((gram >> drop).view(np.int64), (span >> drop).view(np.int64), np.full(n, doc, np.int64), packed, np.full(n, size)))
+            raws.append(raw)
+            size, rows = size + len(raw), rows + n
             if rows > FLUSH:
-                yield from _combined(held)
-                held, rows = [], 0
+                yield from _combined(raws, held)
+                held, raws, size, rows = [], [], 0, 0
     if held:
-        yield from _combined(held)
+        yield from _combined(raws, held)
 
 
-def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of a sorted partition: intervals of all but the first of equal spans, and the first suffix of each span that shares its gram."""
-    names = ["lead", "gram", "span", "doc", "packed"]
-    last = pending = None  # the last suffix; the last first of a span, not known yet to share its gram
+def _sharing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a sorted partition: the intervals, and the suffixes that share their gram with another one (those at its ends may)."""
+    names = ["gram", "span", "doc", "packed"]
+    last = None  # the last suffix, not emitted yet, and whether it is known to share its gram
+    shares_last = True
     for batch in batches:
         cut = batch[batch["packed"].isna()]
         if len(cut):
@@ -205,78 +222,143 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x = batch.loc[batch["packed"].notna(), names].to_numpy(np.int64)
         if not len(x):
             continue
-        before = np.vstack([x[:1] if last is None else last, x[:-1]])
-        new = (x[:, :3] != before[:, :3]).any(1)
-        repeat = ~new & (x[:, 3:] == before[:, 3:]).all(1)
-        new[0] |= last is None
-        last = x[-1:]
-        rest = x[~new & ~repeat]
-        if len(rest):
-            doc, start, end = runs(rest[:, 3], *_bounds(rest[:, 4]))
-            yield _rows({"doc": "", "packed": "", "start": "", "end": ""}, doc=doc, start=start, end=end)
-        firsts = x[new]
-        if not len(firsts):
-            continue
-        shares = np.zeros(len(firsts), bool)
-        if pending is None:
-            shares[0] = True  # the partition's first gram may go back into the one before
-        else:
-            firsts, shares = np.vstack([pending[0], firsts]), np.r_[pending[1], shares]
-        same = (firsts[1:, :2] == firsts[:-1, :2]).all(1)
+        if last is not None:
+            x = np.vstack([last, x])
+        x = x[np.r_[True, (x[1:] != x[:-1]).any(1)]]  # rows of a repeated document
+        shares = np.zeros(len(x), bool)
+        same = x[1:, 0] == x[:-1, 0]
         shares[1:] |= same
         shares[:-1] |= same
-        pending = firsts[-1:], shares[-1:]
-        out = firsts[:-1][shares[:-1]]
+        shares[0] |= shares_last
+        last, shares_last = x[-1:], shares[-1]
+        out = x[:-1][shares[:-1]]
         if len(out):
-            yield _rows({"doc": "", "packed": "", "start": "", "end": ""}, doc=out[:, 3], packed=out[:, 4])
-    if pending is not None:
-        yield _rows({"doc": "", "packed": "", "start": "", "end": ""}, doc=pending[0][:, 3], packed=pending[0][:, 4])
-
-
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The windows of the suffixes that share their grams; of equal ones of one task only the first."""
+            yield _rows(SHARED, doc=out[:, 2], packed=out[:, 3])
+    if last is not None:
+        yield _rows(SHARED, doc=last[:, 2], packed=last[:, 3])
 
-    def combined() -> Iterator[pd.DataFrame]:
-        window, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, first, repeat = _ordered((window,), doc, start)
-        kept, rest = order[first], order[~first & ~repeat]
-        yield _rows(WINDOW, window=window[kept], doc=doc[kept], start=start[kept])
-        if len(rest):
-            doc, start, end = runs(doc[rest], start[rest], start[rest] + LENGTH)
-            yield _rows(WINDOW, window=_spread(doc, start), doc=doc, start=start, end=end)
 
-    held, rows = [], 0
+def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each suffix as bytes: from its anchor to its span's end, and from the span's start to the anchor."""
     for batch in batches:
+        out = []
         for doc, text, suffixes in zip(batch["doc"], batch["text"], batch["suffixes"], strict=True):
-            packed = np.asarray(suffixes, np.int64)
-            n, first = packed & LOW, _bounds(packed)[0]
-            ends = np.cumsum(n)
-            start = np.unique(np.arange(ends[-1]) + np.repeat(first - (ends - n), n))
-            window = Hashed(text.encode("utf-8", "surrogatepass"))(start, start + LENGTH)
-            held.append((window.view(np.int64), np.full(len(start), doc, np.int64), start))
-            rows += len(start)
-            if rows > FLUSH:
-                yield from combined()
-                held, rows = [], 0
-    if held:
-        yield from combined()
+            raw, packed = text.encode("utf-8", "surrogatepass"), np.unique(np.asarray(suffixes, np.int64))
+            for at, start, end in zip((packed >> 14).tolist(), *(x.tolist() for x in _bounds(packed)), strict=True):
+                out.append((raw[at:end], raw[start:at], doc, start))
+        yield pd.DataFrame(out, columns=["suffix", "left", "doc", "start"])
+
+
+def _matrix(parts: list[bytes], width: int) -> np.ndarray:
+    """Byte strings as rows of zero-padded words, first byte highest."""
+    n = np.fromiter(map(len, parts), np.int64, len(parts))
+    out = np.zeros((len(parts), width), np.uint8)
+    at = np.cumsum(n) - n
+    out[np.repeat(np.arange(len(parts)), n), np.arange(n.sum()) - np.repeat(at, n)] = np.frombuffer(b"".join(parts), np.uint8)
+    return out.view(">u8").astype(np.uint64)
+
+
+def multikey_quicksort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of words, and how many leading words each row in it shares with the one before.
+
+    All runs of rows that are equal so far are sorted by their next word at once; rows that are alone are done.
+    """
+    n, width = words.shape
+    order, run, shared, active = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n if n > 1 else 0)
+    for depth in range(width):
+        if not len(active):
+            break
+        word, of = words[order[active], depth], run[active]
+        by = np.argsort(word, kind="quicksort")
+        by = by[np.argsort(of[by], kind="stable")]
+        order[active], word = order[active[by]], word[by]
+        inside = np.r_[False, of[1:] == of[:-1]]
+        apart = np.r_[True, word[1:] != word[:-1]] | ~inside
+        shared[active[apart & inside]] = depth
+        first = np.flatnonzero(apart)
+        sizes = np.diff(np.r_[first, len(active)])
+        run[active] = np.repeat(active[first], sizes)
+        active = active[np.repeat(sizes > 1, sizes)]
+    shared[active[run[active] != active]] = width
+    return order, shared
+
+
+def repeated(window: np.ndarray, doc: np.ndarray, start: np.ndarray, at: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Which windows have equal bytes with an earlier one; ``window``: hashes, ``at``: where their bytes are in ``raw``."""
+    out = np.zeros(len(window), bool)
+    by = np.argsort(window, kind="quicksort")
+    same = window[by][1:] == window[by][:-1]
+    by = by[np.r_[False, same] | np.r_[same, False]]
+    if not len(by):
+        return out
+    by = by[np.lexsort((start[by], doc[by], window[by]))]
+    new = np.r_[True, window[by][1:] != window[by][:-1]]
+    first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    later = ~new
+    alike = same_bytes(raw, at[by[later]], at[first[later]], np.full(later.sum(), LENGTH))
+    out[by[later]] = alike
+    if not alike.all():  # different bytes under one hash: those groups go by their bytes
+        doubtful = np.isin(window[by], window[by[later][~alike]])
+        seen: set[bytes] = set()
+        for k in by[doubtful]:  # earliest first
+            x = raw[at[k] : at[k] + LENGTH].tobytes()
+            out[k] = x in seen
+            seen.add(x)
+    return out
+
+
+def _bucket(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+    """Intervals of the repeats within a bucket, and the windows at its ends that are first in it."""
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    rows = pd.concat(held, ignore_index=True)
+    suffix, left = rows["suffix"].map(bytes).tolist(), rows["left"].map(bytes).tolist()
+    sizes = np.fromiter((len(a) << 8 | len(b) for a, b in zip(suffix, left, strict=True)), np.uint64, len(rows))
+    words = np.hstack([_matrix(suffix, RIGHT), _matrix(left, LEFT), sizes[:, None]])
+    order, shared = multikey_quicksort(words)
+    doc, start = rows["doc"].to_numpy()[order], rows["start"].to_numpy()[order]
+    n = ((sizes >> np.uint64(8)) + (sizes & np.uint64(255))).astype(np.int64)[order]
+    equal = np.cumsum(shared < words.shape[1])  # runs of equal spans
+    by = np.lexsort((start, doc, equal))
+    new = np.r_[True, equal[by][1:] != equal[by][:-1]]
+    rest = by[~new]
+    if len(rest):
+        d, a, b = runs(doc[rest], start[rest], start[rest] + n[rest])
+        yield pd.DataFrame({"window": None, "doc": d, "start": a, "end": b})
+    gram = np.cumsum(shared < GRAM // 8)
+    kept = by[new]
+    times = np.bincount(gram[kept])
+    ends = (gram == gram[0]) | (gram == gram[-1])
+    kept = kept[(times[gram[kept]] > 1) | ends[kept]]
+    spans = [left[k] + suffix[k] for k in order[kept]]
+    text = Hashed(b"".join(spans))
+    base, many = np.cumsum(n[kept]) - n[kept], n[kept] - LENGTH + 1
+    of = np.repeat(np.arange(len(kept)), many)
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at, w_doc, w_start = base[of] + step, doc[kept][of], start[kept][of] + step
+    window = text(at, at + LENGTH) >> np.uint64(64 - bits)
+    again = repeated(window, w_doc, w_start, at, text.raw)
+    if again.any():
+        d, a, b = runs(w_doc[again], w_start[again], w_start[again] + LENGTH)
+        yield pd.DataFrame({"window": None, "doc": d, "start": a, "end": b})
+    open_ = np.flatnonzero(~again & ends[kept][of])
+    for k in range(0, len(open_), CHUNK):
+        some = open_[k : k + CHUNK]
+        yield pd.DataFrame({"window": [text.raw[x : x + LENGTH].tobytes() for x in at[some]], "doc": w_doc[some], "start": w_start[some], "end": w_start[some] + LENGTH})
 
 
 def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Intervals of all but the first of equal windows of a sorted partition."""
+    """Intervals, and of equal windows of a sorted partition all but the first."""
     last = None
     for batch in batches:
-        cut = batch[batch["end"].notna()]
-        if len(cut):
-            yield cut[["doc", "start", "end"]]
-        x = batch.loc[batch["end"].isna(), ["window", "doc", "start"]].to_numpy(np.int64)
-        if not len(x):
-            continue
-        before = np.vstack([~x[:1] if last is None else last, x[:-1]])
-        last = x[-1:]
-        rest = x[(x[:, 0] == before[:, 0]) & (x[:, 1:] != before[:, 1:]).any(1)]
-        if len(rest):
-            doc, start, end = runs(rest[:, 1], rest[:, 2], rest[:, 2] + LENGTH)
+        alone = batch["window"].isna().to_numpy()
+        window = [None if a else bytes(w) for a, w in zip(alone, batch["window"], strict=True)]
+        same = np.array([a or b == c for a, b, c in zip(alone, window, [last, *window[:-1]], strict=True)], bool)
+        last = window[-1] if window else last
+        out = batch.loc[same, ["doc", "start", "end"]]
+        if len(out):
+            doc, start, end = runs(*(out[c].to_numpy(np.int64) for c in out))
             yield pd.DataFrame({"doc": doc, "start": start, "end": end})
 
 
@@ -295,34 +377,34 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``docs`` with a number of its own for each id and text, in order of ids, and (_number, _name) of these; ids that name one text each stay as they are."""
+    """``docs`` (doc, text) with a number of its own for each id and text, in order of ids, and (_number, _name) of these; whole numbers that name one text each stay as they are."""
     text = F.coalesce("text", F.lit(""))
     marks = F.struct(F.xxhash64(text).alias("hash"), F.xxhash64(F.lit("again"), text).alias("again"), F.col("text").isNull().alias("no_text"))
     marked = docs.select("doc", marks.alias("mark"))
-    if marked.groupBy("doc").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").isEmpty():
-        return docs, None
+    if isinstance(docs.schema["doc"].dataType, IntegralType) and marked.groupBy("doc").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").isEmpty():
+        return docs.select(F.coalesce(F.col("doc").cast("long"), F.lit(NO_ID)).alias("doc"), "text"), None
     ordered = marked.distinct().repartitionByRange("doc", "mark").sortWithinPartitions("doc", "mark")
     names = written(ordered.select(F.monotonically_increasing_id().alias("_number"), F.col("doc").alias("_name"), F.col("mark").alias("_mark")))
     own = docs.withColumn("_own", marks)
-    own = own.join(names, (own["doc"] == names["_name"]) & (own["_own"] == names["_mark"])).select(F.col("_number").alias("doc"), "text")
+    own = own.join(names, own["doc"].eqNullSafe(names["_name"]) & (own["_own"] == names["_mark"])).select(F.col("_number").alias("doc"), "text")
     return own, names.select("_number", "_name")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) of every row."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) of every row. ``bits`` of the hashes are used."""
     id_type = df.select(F.col(id_col)).schema[0].dataType
-    docs = documents(df, id_col, text_col).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    docs, names = _numbered(docs)
-    suffixes = docs.mapInPandas(_suffixes, _ddl(ROW))
-    keys = ["lead", "gram", "span"]
-    spans = written(suffixes.repartitionByRange(*keys).sortWithinPartitions(*keys, "doc", "packed").mapInPandas(_compared, "doc long, packed long, start long, end long"))
-    shared = spans.where("packed is not null").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("packed").alias("suffixes"))
+    docs, names = _numbered(documents(df, id_col, text_col).withColumnRenamed("doc_id", "doc"))
+    suffixes = written(docs.mapInPandas(partial(_suffixes, bits=bits), _ddl(ROW)))
+    near = written(suffixes.repartitionByRange("gram", "span").sortWithinPartitions("gram", "span", "doc", "packed").mapInPandas(_sharing, _ddl(SHARED)))
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-near.where("packed is not null").count() // bucket))
+    shared = near.where("packed is not null").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("packed").alias("suffixes"))
     # both joins read the same shuffle of ``docs``, so texts are moved once
-    windows = docs.join(shared, docs["doc"] == shared["_doc"]).select("doc", "text", "suffixes").dropDuplicates(["doc"]).mapInPandas(_windows, _ddl(WINDOW))
-    later = windows.repartition("window").sortWithinPartitions("window", "doc", "start").mapInPandas(_later, "doc long, start long, end long")
-    cuts = spans.where("packed is null").select("doc", "start", "end").unionByName(later)
+    spans = docs.join(shared, docs["doc"] == shared["_doc"]).select("doc", "text", "suffixes").dropDuplicates(["doc"]).mapInPandas(_spans, "suffix binary, left binary, doc long, start long")
+    found = spans.repartitionByRange(buckets, "suffix", "left").mapInPandas(partial(_bucket, bits=bits), FOUND)
+    later = found.repartition(F.when(F.col("window").isNull(), F.xxhash64("doc", "start")).otherwise(F.xxhash64("window"))).sortWithinPartitions("window", "doc", "start").mapInPandas(_later, "doc long, start long, end long")
+    cuts = near.where("packed is null").select("doc", "start", "end").unionByName(later)
     cuts = cuts.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     found = docs.join(cuts, docs["doc"] == cuts["_doc"], "left").select("doc", "text", "cuts").mapInPandas(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     if names is not None:
-        found = found.join(names, found["doc"] == names["_number"]).drop("doc").withColumnRenamed("_name", "doc")
+        return found.join(names, found["doc"] == names["_number"]).select(F.col("_name").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
     return found.select(F.nullif("doc", F.lit(NO_ID)).cast(id_type).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
