@@ -5,7 +5,7 @@ Native throughout: patterns, offsets, features and trees are column expressions.
 * The four base kinds (email, ip, card, phone) are leftmost non-overlapping matches
   that pass their check; they always stay.
 * High-recall generators (`GENERATORS`) propose further spans, which may overlap each
-  other. Those that overlap a base span are dropped, except secrets around a card number;
+  other. Those that overlap a base span are dropped, except letters around a card number;
   `features` describes the others by format and by the text on both sides. Secrets have
   no greatest length.
 * `fit` boosts regression trees on labelled candidates (logistic loss). Thresholds are
@@ -15,10 +15,13 @@ Native throughout: patterns, offsets, features and trees are column expressions.
 
 Offsets are code points, ends exclusive. Spark has no function for the offsets of all
 matches; they follow from ``split``, which returns what lies between the matches that
-``regexp_extract_all`` returns.
+``regexp_extract_all`` returns. Offsets, overlaps and redacted texts are running sums and maxima over
+blocks (`running`), and pieces of a text are taken from its cut into equal lengths (`part`), so a text with very many matches costs
+little more than their number.
 
-Defined cases: a null or empty text has no spans. Rows are judged each by itself, so
-ties and repeated rows need no rule; other columns are never read.
+Defined cases: a null or empty text has no spans; an empty table gives no rows. Rows are judged each by itself, so
+ties and repeated rows need no rule. Very long texts and values are judged whole. `detect` reads the id and text alone and `redact` numbers the
+other columns, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from casebook.llm.common import documents
 TRAIN_ROWS = 4000
 TREES, RATE, PRECISION = 24, 0.4, 0.98
 CONTEXT = 24
+BLOCK, PART = 128, 64
 
 # The base patterns, written so that no start inside a run is tried after the run's first
 # (a match that starts inside would also start at the run's first, or where the last match ended).
@@ -47,7 +51,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERATORS = {
-    "mail_words": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|\bat\b) ?[A-Za-z0-9-]{2,63} ?(?:\[dot\]|\(dot\)|\bdot\b|\.) ?[A-Za-z]{2,12}\b",
+    "mail_words": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|\bat\b) ?[A-Za-z0-9-]{2,} ?(?:\[dot\]|\(dot\)|\bdot\b|\.) ?[A-Za-z]{2,}\b",
     "national_phone": r"(?<![0-9])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -58,19 +62,50 @@ KINDS = (*BASE, *GENERATORS)
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(xs: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each element what ``op`` makes of those before it, by sums of blocks and then within blocks."""
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))), lambda c: F.aggregate(F.slice(v, c * BLOCK + 1, F.lit(BLOCK)), zero, op))
+        firsts = lambda sums: F.transform(sums, lambda _, c: F.aggregate(F.slice(sums, F.lit(1), c), zero, op))
+        within = lambda at: F.transform(v, lambda _, i: F.aggregate(F.slice(v, i - i % BLOCK + 1, i % BLOCK), F.get(at, F.floor(i / BLOCK).cast("int")), op))
+        return let(let(blocks, firsts), within)
+
+    return let(xs, whole)
+
+
+def parts(text: Column) -> Column:
+    """The text cut into pieces of ``PART`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+
+
+def part(cut: Column, start: Column, end: Column) -> Column:
+    """What `parts` holds from start to end."""
+    first = F.floor(start / PART).cast("int")
+    held = F.array_join(F.slice(cut, first + 1, F.floor((end - 1) / PART).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(held, start - first * PART + 1, end - start)).otherwise("")
+
+
 def located(text: Column, found: Column, pattern: str, kind: str) -> Column:
     """array<SPAN> of all matches; ``found`` holds their values, an earlier column, so they are matched once."""
-    pieces = F.split(text, pattern, -1)
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda x: F.length(x))
+    sized = F.zip_with(gaps, found, lambda gap, value: F.struct(gap.alias("gap"), F.length(value).alias("n"), value.alias("value")))
+
+    def spans(z: Column) -> Column:
+        before = running(F.transform(z, lambda x: x["gap"] + x["n"]), F.lit(0), lambda a, x: a + x)
+
+        def span(x: Column, at: Column) -> Column:
+            start = at + x["gap"]
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["n"]).alias("end"), x["value"].alias("value"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["piece"])
-        end = start + F.length(x["value"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        return F.zip_with(z, before, span)
 
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(zipped, zero, step)["spans"]).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.size(found) > 0, let(sized, spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _digits(value: Column) -> Column:
@@ -265,23 +300,47 @@ def find(docs: DataFrame, model: Trees | None = None) -> DataFrame:
         F.concat(*(located(text, F.col(f"_{k}"), p, k) for k, p in GENERATORS.items())).alias("_loose"),
     )
 
-    def chosen(span: Column) -> Column:
-        left = F.substring(F.col("text"), F.greatest(F.lit(1), span["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), span["start"]))
-        right = F.substring(F.col("text"), span["end"] + 1, F.lit(2))
-        parts = F.struct(span["kind"].alias("kind"), span["value"].alias("value"), left.alias("left"), right.alias("right"))
-        numbers = F.transform(F.array(parts), lambda x: F.array(*_feature_columns(x["kind"], x["value"], x["left"], x["right"])))[0]
-        scores = F.transform(F.array(numbers), lambda x: score(model, [x[i] for i in range(len(FEATURES))]))
+    def chosen(span: Column, cut: Column) -> Column:
+        left = part(cut, F.greatest(F.lit(0), span["start"] - CONTEXT), span["start"])
+        right = part(cut, span["end"], span["end"] + 2)
+        of = F.struct(span["kind"].alias("kind"), span["value"].alias("value"), left.alias("left"), right.alias("right"))
+        numbers = let(of, lambda x: F.array(*_feature_columns(x["kind"], x["value"], x["left"], x["right"])))
+        scores = let(numbers, lambda x: score(model, [x[i] for i in range(len(FEATURES))]))
         threshold = reduce(lambda c, k: c.when(span["kind"] == k, F.lit(model.thresholds[k])), GENERATORS, F.when(F.lit(False), F.lit(1.0)))
-        return scores[0] >= threshold
-
-    def clash(s: Column, b: Column) -> Column:
-        # digits in a secret may be a card number by chance; the secret around them is still one
-        around = s["kind"].isin("assigned", "long_token") & (b["kind"] == "card") & (s["start"] <= b["start"]) & (b["end"] <= s["end"]) & (F.length(s["value"]) > F.length(b["value"]))
-        return (b["start"] < s["end"]) & (s["start"] < b["end"]) & ~around
-
-    apart = F.filter("_loose", lambda s: ~F.exists("base", lambda b: clash(s, b)))
-    return spans.withColumn("_apart", F.when(F.size("_loose") > 0, apart).otherwise(F.col("_loose"))).select(
-        *docs.columns, "base", F.when(F.size("_apart") > 0, F.filter("_apart", chosen)).otherwise(F.col("_apart")).alias("added")
+        return scores >= threshold
+
+    far = F.lit((1 << 31) - 1)
+    order = F.array(*map(F.lit, GENERATORS))
+
+    def entry(s: Column, base: bool) -> Column:
+        """Any span in order of its start, with where it ends for others if it is a base span (and no card), and what it is."""
+        plain = s["kind"] != "card"
+        secret = s["kind"].isin("assigned", "long_token") & F.rlike(s["value"], F.lit("[A-Za-z]"))
+        end, start = (s["end"], s["start"]) if base else (F.lit(0), far)
+        return F.struct(
+            s["start"].alias("start"), s["end"].alias("stop"), F.lit(base).alias("base"), end.alias("end"), F.when(plain, end).otherwise(0).alias("plain_end"),
+            start.alias("from"), F.when(plain, start).otherwise(far).alias("plain_from"), secret.alias("secret"), F.array_position(order, s["kind"]).alias("n"), s.alias("span"),
+        )
+
+    def apart(entries: Column) -> Column:
+        """The loose spans that no base span overlaps. Digits in a secret may be a card number by chance; the secret around them is still one."""
+        two = lambda a, b: F.struct(a.alias("any"), b.alias("plain"))
+        ends = running(F.transform(entries, lambda x: two(x["end"], x["plain_end"])), two(F.lit(0), F.lit(0)), lambda a, x: two(F.greatest(a["any"], x["any"]), F.greatest(a["plain"], x["plain"])))
+        backwards = F.reverse(F.transform(entries, lambda x: two(x["from"], x["plain_from"])))
+        starts = F.reverse(running(backwards, two(far, far), lambda a, x: two(F.least(a["any"], x["any"]), F.least(a["plain"], x["plain"]))))
+        met = F.arrays_zip(entries.alias("x"), ends.alias("before"), starts.alias("after"))
+
+        def free(m: Column) -> Column:
+            x, pick = m["x"], lambda side: F.when(m["x"]["secret"], m[side]["plain"]).otherwise(m[side]["any"])
+            return ~x["base"] & (pick("before") <= x["start"]) & (pick("after") >= x["stop"])
+
+        kept = F.transform(F.filter(met, free), lambda m: F.struct(m["x"]["n"].alias("n"), m["x"]["start"].alias("start"), m["x"]["span"].alias("span")))
+        return F.transform(F.array_sort(kept), lambda m: m["span"])
+
+    entries = F.array_sort(F.concat(F.transform("base", lambda s: entry(s, True)), F.transform("_loose", lambda s: entry(s, False))))
+    mixed = (F.size("_loose") > 0) & (F.size("base") > 0)
+    return spans.withColumn("_apart", F.when(mixed, let(entries, apart)).otherwise(F.col("_loose"))).select(
+        *docs.columns, "base", F.when(F.size("_apart") > 0, let(parts(text), lambda cut: F.filter("_apart", lambda s: chosen(s, cut)))).otherwise(F.col("_apart")).alias("added")
     )
 
 
@@ -299,14 +358,17 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by its kind in brackets; null texts stay null. Same columns."""
     names = docs.columns
     own = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(names)), F.col(text_col).alias("text"))
-    spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    sorted_spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def clean(spans: Column) -> Column:
+        before = running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+
+        def joined(cut: Column) -> Column:
+            put = lambda s, at: F.when(s["start"] >= at, F.concat(part(cut, at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+            last = F.array_max(F.transform(spans, lambda s: s["end"]))
+            return F.concat(F.array_join(F.zip_with(spans, before, put), ""), part(cut, last, F.length("text")))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
-        put = F.when(s["start"] >= state["at"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], put).alias("out"))
+        return let(parts(F.col("text")), joined)
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(spans, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    done = find(own).withColumn("_clean", F.when(F.size("base") + F.size("added") > 0, clean).otherwise(F.col("text")))
+    done = find(own).withColumn("_clean", F.when(F.size("base") + F.size("added") > 0, let(sorted_spans, clean)).otherwise(F.col("text")))
     return done.select(*(F.col("_clean" if c == text_col else f"c{k}").alias(c) for k, c in enumerate(names)))
