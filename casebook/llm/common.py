@@ -20,10 +20,13 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mo
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share; one of this machine only where none is set and executors run in this process (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="casebook-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not context.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="casebook-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 

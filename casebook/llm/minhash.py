@@ -1,7 +1,7 @@
 r"""MinHash near-dedup: one-permutation hashing with optimal densification, banded buckets, star-shaped edges.
 
 A document's set is its distinct word shingles as 64-bit hashes. Documents with equal
-sets form a class; everything below works on classes, so a group of exact copies, however
+sets (by 128 bits of a hash) form a class; everything below works on classes, so a group of exact copies, however
 large, is one class and costs one row.
 
 * Sketch: one hash a shingle; its high bits choose one of the bins (``BANDS`` times the rows of
@@ -23,7 +23,8 @@ Components come from all confirmed links (`graph.components`).
 Defined cases: a text without words, or null, has an empty set, is linked with nothing
 and is its own component. With fewer than ``k`` words the whole sequence is the one
 shingle. Repeated rows with one id are one document for components and each keeps its row.
-A null id is never a component's name unless all ids in it are null.
+A null id is never a component's name unless all ids in it are null. Very long texts are shingled whole. An empty table gives
+no rows. `near_duplicates` reads the id and text alone and `one_of_each` carries whole rows in a struct, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def bands(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-SKETCHED = "n_shingles long, cls long, bands array<long>"
+SKETCHED = "n_shingles long, digest binary, bands array<long>"
 
 
 def _sketched(batches: Iterator[pd.DataFrame], k: int, rows_of_band: int) -> Iterator[pd.DataFrame]:
@@ -120,13 +121,11 @@ def _sketched(batches: Iterator[pd.DataFrame], k: int, rows_of_band: int) -> Ite
         for text in batch["text"]:
             h = shingle(text)
             if len(h):
-                cls = int.from_bytes(xxhash.xxh3_128_digest(h.tobytes())[:8], "little", signed=True)
-                rows.append((len(h), cls, bands(sketch(h, BANDS * rows_of_band), rows_of_band).view(np.int64)))
+                rows.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), bands(sketch(h, BANDS * rows_of_band), rows_of_band).view(np.int64)))
             else:
                 rows.append((0, None, None))
-        n, cls, bands_of = zip(*rows, strict=True) if rows else ((), (), ())
-        # a nullable type: pandas would make floats of long numbers beside nulls
-        yield pd.DataFrame({"id_text": batch["id_text"].to_numpy(), "n_shingles": n, "cls": pd.array(cls, "Int64"), "bands": pd.Series(bands_of, dtype=object)})
+        n, digests, bands_of = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pd.DataFrame({"id_text": batch["id_text"].to_numpy(), "n_shingles": n, "digest": pd.Series(digests, dtype=object), "bands": pd.Series(bands_of, dtype=object)})
 
 
 def rows_of_band(percent: int) -> int:
@@ -170,8 +169,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     composed = isinstance(id_type, StructType)
     id_text = F.to_json("doc_id") if composed else F.col("doc_id").cast("string")
     named = docs.select(id_text.alias("id_text"), "text").mapInPandas(partial(_sketched, k=k, rows_of_band=rows_of_band(percent)), f"id_text string, {SKETCHED}")
-    sketches = written(named.select((F.from_json("id_text", id_type) if composed else F.col("id_text").cast(id_type)).alias("doc_id"), "n_shingles", "cls", "bands"))
-    classes = written(sketches.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
+    sketches = written(named.select((F.from_json("id_text", id_type) if composed else F.col("id_text").cast(id_type)).alias("doc_id"), "n_shingles", "digest", "bands"))
+    # a class is named by 128 bits of its set and then, in what moves most, by a number that is written once
+    sets = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
+    classes = written(sets.withColumn("cls", F.monotonically_increasing_id()))
 
     keyed = classes.select("cls", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -181,9 +182,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     centres = ranked.groupBy("key").agg(F.max(F.struct("degree", "cls"))["cls"].alias("a"))
     stars = written(members.join(centres, "key").where("cls <> a").select("a", F.col("cls").alias("b")).distinct())
 
-    wanted = members.select("cls").distinct().join(classes.select("cls", "first_id"), "cls")
+    wanted = members.select("cls").distinct().join(classes.select("cls", "digest", "first_id"), "cls")
     # one text a class: rows with the class's first id may hold other texts too if ids repeat, so the class is compared as well
-    ids = sketches.select("doc_id", "cls", "n_shingles").join(wanted, "cls").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "cls").distinct()
+    ids = sketches.select("doc_id", "digest").join(wanted, "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "cls", "digest").distinct()
     texts = written(_texts(docs, ids, k))
     spokes = written(compared(stars, texts, k, percent))
     linked = spokes.where("linked").select("a", "b")
@@ -204,26 +205,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     further = written(left.join(right, pair).select(F.col("l.b").alias("a"), F.col("r.b").alias("b")).distinct())
     comps = components(linked.union(further))
 
-    roots = classes.select("cls", "first_id").join(comps, classes["cls"] == comps["node"], "left").select("cls", "first_id", F.coalesce("comp", "cls").alias("comp"))
+    roots = classes.select("cls", "digest", "first_id").join(comps, classes["cls"] == comps["node"], "left").select("digest", "first_id", F.coalesce("comp", "cls").alias("comp"))
     names = roots.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = roots.join(names, "comp").select("cls", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    named = roots.join(names, "comp").select("digest", "component_id")
+    out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "cls")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.hex("digest").alias("cls"))
 
 
 def _class_of(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     """Keeps the rows whose text is of the class that is wanted."""
     shingle = Shingler(k)
     for batch in batches:
-        ok = [int.from_bytes(xxhash.xxh3_128_digest(shingle(t).tobytes())[:8], "little", signed=True) == c for t, c in zip(batch["text"], batch["cls"], strict=True)]
+        ok = [xxhash.xxh3_128_digest(shingle(t).tobytes()) == bytes(d) for t, d in zip(batch["text"], batch["digest"], strict=True)]
         yield batch.loc[ok, ["cls", "text"]]
 
 
 def _texts(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """cls, text: one text for each wanted class."""
     wanted = ids.withColumnRenamed("doc_id", "_id")
-    found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("cls", "text")
+    found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("cls", "digest", "text")
     return found.mapInPandas(partial(_class_of, k=k), "cls long, text string").groupBy("cls").agg(F.min("text").alias("text"))
 
 
