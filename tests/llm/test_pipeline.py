@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from casebook.llm import packing, pii
 from tests.llm.test_pairs import brute_components
-from tests.llm.test_text_ops import brute_spans, brute_templates
+from tests.llm.test_text_ops import brute_line_templates, brute_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,21 +15,10 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_pipeline_against_a_plain_version(spark):
     """Each stage by a plain loop; the spans that trees add are taken from the operator."""
-    from collections import Counter
-
-    from casebook.llm import line_templates as lt
-
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     docs = {k: t for k, t in docs.items() if t is not None and re.search(r"[^\W\d_]", t)}
-    own = {k: [brute_templates(x) for x in t.split("\n")] for k, t in docs.items()}
-    times = Counter(y for parts in own.values() for y in set().union(*parts))
-    for k, t in list(docs.items()):
-        hit = [bool(x) and max(times[y] for y in x) >= lt.MIN_DOCS for x in own[k]]
-        lines = t.split("\n")
-        lost = sum(len(x) for x, h in zip(lines, hit, strict=True) if h)
-        if any(hit) and lost <= lt.MAX_SHARE * sum(map(len, lines)):
-            docs[k] = "\n".join(x for x, h in zip(lines, hit, strict=True) if not h)
     ids = sorted(docs)
+    docs = {k: left for k, (left, _, _) in zip(ids, brute_line_templates([docs[k] for k in ids], ids), strict=True)}
     first, _ = brute_components([docs[k] for k in ids], 5, 80, ids)
     docs = {k: docs[k] for k, c in zip(ids, first, strict=True) if k == c}
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
