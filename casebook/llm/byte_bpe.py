@@ -17,7 +17,8 @@ Two forms of the fold give the same ids:
 Decoding (`decoded`) looks up the bytes of each id in a literal array and concatenates them, in Spark's
 higher-order functions. No text is shuffled.
 
-Defined cases: a null or empty text has no tokens, and decodes to no bytes. Rows are encoded each by itself.
+Defined cases: a null or empty text has no tokens, and decodes to no bytes. Rows are encoded each by itself, so ties and
+repeated rows need no rule; an empty table gives no rows. Only the id and text columns are read, so other columns' names cannot clash.
 Very long words (a run of one letter) take n log n steps in `encode`.
 """
 
@@ -39,6 +40,11 @@ from casebook.llm.common import documents
 OPEN, CLOSE, NEXT = "\ufffe", "\uffff", "\ufdd0"
 RANK_BUCKETS = 1 << 15
 KNOWN_WORDS = 300_000  # words whose ids a task keeps at hand
+#: Published split patterns of which every word is letters, digits or signs after at most one blank, a contraction, or white space.
+BLANK_LED = (
+    r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+)
 SHORT = 48  # bytes of words that are merged by plain search
 #: White space in the sense of the pattern's language; Java's own \s is ASCII only.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -159,14 +165,15 @@ def encode_words(df: DataFrame, path: str, pattern: str, text_col: str = "text")
 class Encoder:
     """Ids of texts, as text. Remembers the ids of words and of chunks (what stands between two blanks).
 
-    A token may start with a blank but holds none behind another character, so a text without two kinds of
-    white space in a row falls into chunks at its blanks; other texts are matched whole.
+    In `BLANK_LED` patterns a word may start with a blank but holds none behind another character, so a text without two kinds of
+    white space in a row falls into chunks at its blanks; other texts, and all texts under other patterns, are matched whole.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks, self.cut, self.uneven = load_ranks(path), regex.compile(pattern).findall, regex.compile(r" \s| $").search
+        self.ranks, self.cut = ranks, regex.compile(pattern).findall
+        self.uneven = regex.compile(r" \s| $" if pattern in BLANK_LED else "").search
         self.words: dict[str, str] = {}
         self.chunks: dict[str, str] = {}
 
@@ -204,10 +211,14 @@ class Encoder:
         return merge_short(word, self.ranks) if len(word) <= SHORT else merge_by_heap(word, self.ranks)
 
 
-@cache
-def encoder(path: str, pattern: str) -> Encoder:
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(name: str, pattern: str, ranks: Callable[[], dict[bytes, int]]) -> Encoder:
     """One for each process, so a worker's later tasks know the words of its earlier ones."""
-    return Encoder(path, pattern)
+    if (name, pattern) not in _ENCODERS:
+        _ENCODERS[name, pattern] = Encoder(ranks(), pattern)
+    return _ENCODERS[name, pattern]
 
 
 def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -258,9 +269,14 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (joined by blanks) of every row, by the ranks in the file ``path`` and the split ``pattern``."""
+    """doc_id, n_tokens, ids (joined by blanks) of every row, by the ranks in the file ``path`` and the split ``pattern``.
+
+    The driver alone reads the file; its ranks (as many as the vocabulary has, some MB) are broadcast.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(load_ranks(path))
+
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = encoder(path, pattern)
+        of = encoder(path, pattern, lambda: shared.value)
         for texts in batches:
             yield pd.Series([of(t) for t in texts], dtype=object)
 
