@@ -9,7 +9,8 @@ The rules are broadcast only while they are at most ``MAX_BROADCAST_RULES``; lon
 lists are joined by host instead (`_joined`), with the same results.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no
-rule and the default verdict. Repeated rows are judged each by itself. If the same
+rule and the default verdict. Very long URLs are walked whole. Repeated rows are judged each by itself; an empty table gives no rows. Only the
+id and URL columns are read, so other columns' names cannot clash. If the same
 (host, path) is listed twice with two verdicts, ``allow`` holds.
 """
 
@@ -47,7 +48,7 @@ def url_path(url: Column) -> Column:
 
 
 def build_trie(rules: Sequence[Rule]) -> dict:
-    """host label -> ... -> {END: {path segment -> ... -> {END: [(rest, rule name, verdict)]}}}."""
+    """host label -> ... -> {END: {path segment -> ... -> {END: {length of rest -> {rest: (rule name, verdict)}}}}}."""
     trie: dict = {}
     for rule in sorted(set(rules), key=lambda r: r.verdict == "allow"):
         node = trie
@@ -57,7 +58,7 @@ def build_trie(rules: Sequence[Rule]) -> dict:
         *whole, rest = rule.path.split("/")
         for segment in whole:
             node = node.setdefault("/" + segment, {})
-        node.setdefault(END, {})[rest] = (rule.name, rule.verdict)
+        node.setdefault(END, {}).setdefault(len(rest), {})[rest] = (rule.name, rule.verdict)
     return trie
 
 
@@ -74,8 +75,9 @@ def longest(trie: dict, host: str, path: str) -> tuple[str | None, str | None]:
         for k in range(len(segments)):
             if at is None:
                 break
-            for rest, (name, verdict) in at.get(END, {}).items():
-                if segments[k].startswith(rest) and len(name) >= best[0]:
+            for n, rests in at.get(END, {}).items():  # one look a length, however many rules end here
+                name, verdict = rests.get(segments[k][:n], (None, None))
+                if name is not None and len(name) >= best[0]:
                     best = (len(name), name, verdict)
             at = at.get("/" + segments[k])
     return best[1:]

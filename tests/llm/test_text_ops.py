@@ -261,10 +261,11 @@ def test_byte_bpe(spark, make, odd_texts):
     assert byte_bpe.encode(make([]), path, public_tokenizers.PATTERN).count() == 0
     for word in (b"a" * 500, b" " * 333, texts[0 - 1].encode() * 3, words(rng, 80).encode()):
         assert byte_bpe.merge_by_heap(word, ranks) == byte_bpe.merge_short(word, ranks) == byte_bpe.merge_all(word, ranks)
-    encoder = byte_bpe.Encoder(path, public_tokenizers.PATTERN)
-    for _ in range(2000):
-        text = "".join(rng.choice(" \t\n  ab'sé\u3000.1") for _ in range(rng.randint(0, 12)))
-        assert encoder(text) == " ".join(map(str, reference.encode_ordinary(text))), repr(text)
+    for pattern in (public_tokenizers.PATTERN, r"\S+ ?|\s+", r"[^\n]+|\n"):  # words of the last two hold blanks behind other characters
+        encoder, other = byte_bpe.Encoder(ranks, pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for _ in range(2000):
+            text = "".join(rng.choice(" \t\n  ab'sé\u3000.1") for _ in range(rng.randint(0, 12)))
+            assert encoder(text) == " ".join(map(str, other.encode_ordinary(text))), repr(text)
 
 
 def test_byte_bpe_by_higher_order_functions(spark, make, odd_texts):
@@ -307,6 +308,20 @@ def test_url_filter(spark, max_broadcast):
     assert {r.verdict for r in url_filter.judge(df, [], default="block").collect()} == {"block"}
 
 
+def test_many_rules_of_one_host_and_very_long_urls(spark):
+    import time
+
+    rules = [url_filter.Rule("a.org", f"/p{k}", "block") for k in range(50_000)] + [url_filter.Rule("a.org", "/p7/" + "x" * 5000, "allow")]
+    trie = url_filter.build_trie(rules)
+    began = time.time()
+    for k in range(5000):
+        assert url_filter.longest(trie, "w.a.org", f"/p{k}/index") == (f"a.org/p{k}", "block")
+    assert time.time() - began < 10
+    df = spark.createDataFrame([(0, "http://a.org/p7/" + "x" * 50_000), (1, "http://" + "b." * 20_000 + "a.org/p12"), (2, "http://a.org/" + "/" * 20_000)], "page_id long, url string")
+    got = {r.page_id: (r.rule and r.rule[:9], r.verdict) for r in url_filter.judge(df, rules).collect()}
+    assert got == {0: ("a.org/p7/", "allow"), 1: ("a.org/p12", "block"), 2: (None, "allow")}
+
+
 # ---- op8 -----------------------------------------------------------------------------------------
 
 
