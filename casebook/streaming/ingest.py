@@ -26,19 +26,23 @@ def payload_stream(spark: SparkSession, path: str, max_files: int = 1000) -> Dat
 
 
 def ingest(payloads: DataFrame, out: str, checkpoint: str, now: Callable[[], Column] = lambda: F.current_timestamp().cast("timestamp_ntz"), parser_id: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Events to ``out/events`` (by date), failed payloads and rejected rows to ``out/errors`` and ``out/rejected``.
+    """Events to ``out/events`` (by date), their payloads to ``out/raw``, failed payloads and rejected rows to ``out/errors`` and ``out/rejected``.
 
     Each batch is a folder of its own that is overwritten if the batch is run again, so a restart repeats nothing.
+    A batch is parsed once: the parsed rows are written, and what is kept, rejected or failed is read from there.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        df.persist()
-        parsed = parsers.parse(df, parser_id, now=now())
+        into = lambda kind: f"{out}/{kind}/batch={number}"
+        df.write.mode("overwrite").parquet(into("raw"))
+        raw = df.sparkSession.read.schema(df.schema).parquet(into("raw"))
+        rows = parsers.parse(raw, parser_id, now=now())
+        rows.write.mode("overwrite").parquet(into("parsed"))
+        parsed = df.sparkSession.read.schema(rows.schema).parquet(into("parsed"))
         good, bad = normalized(parsed.where("error is null"), now())
-        stored(good).write.mode("overwrite").partitionBy("occurred_date").parquet(f"{out}/events/batch={number}")
-        bad.select("raw_event_id", "ordinal", "rejected_because").write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
-        parsed.where("error is not null").select("raw_event_id", "ordinal", "error").write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
-        df.unpersist()
+        stored(good).write.mode("overwrite").partitionBy("occurred_date").parquet(into("events"))
+        bad.select("raw_event_id", "ordinal", "rejected_because").write.mode("overwrite").parquet(into("rejected"))
+        parsed.where("error is not null").select("raw_event_id", "ordinal", "error").write.mode("overwrite").parquet(into("errors"))
 
     writer = payloads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -1,8 +1,8 @@
 """Online sequence detection: a state machine for each actor, for patterns with ``same_actor``.
 
-Events must arrive in order for each actor; an event older than the last one seen is dropped. Unlike the batch
+Events must arrive in order for each actor; an event that is not after the last one seen is dropped. Unlike the batch
 operator, which tries again from every possible first event, the stream keeps the open attempts of an actor
-that can still be completed, and closes them when their time has passed.
+that can still be completed, and forgets the actor when the watermark has passed the pattern's whole time after the last event.
 """
 
 from __future__ import annotations
@@ -20,19 +20,20 @@ from casebook.operators.sequences import Pattern
 
 OUT = "pattern string, actor_id string, started_at timestamp, ended_at timestamp, event_ids string"
 STATE = "attempts string"
+SECOND = 1_000_000
 
 
-def advance(attempts: list[list], event: tuple[float, int, str], pattern: Pattern) -> list | None:
-    """Feed one event (seconds, id, type) to open attempts, in place; a completed attempt is returned and clears the others.
+def advance(attempts: list[list], event: tuple[int, int, str], pattern: Pattern) -> list | None:
+    """Feed one event (microseconds, id, type) to open attempts, in place; a completed attempt is returned and clears the others.
 
-    An attempt is a list of (seconds, id). Attempts are in order of their first event, so the first one completed
+    An attempt is a list of (microseconds, id). Attempts are in order of their first event, so the first one completed
     is the one that the batch operator reports.
     """
     at, event_id, kind = event
     steps, kept, done = pattern.steps, [], None
     for attempt in attempts:
         step = steps[len(attempt)]
-        if at - attempt[0][0] > pattern.max_total_duration_secs or (step.max_gap_secs is not None and at - attempt[-1][0] > step.max_gap_secs):
+        if at - attempt[0][0] > pattern.max_total_duration_secs * SECOND or (step.max_gap_secs is not None and at - attempt[-1][0] > step.max_gap_secs * SECOND):
             continue
         if glob_matches(step.event_type_pattern, kind):
             attempt = [*attempt, (at, event_id)]
@@ -47,8 +48,8 @@ def advance(attempts: list[list], event: tuple[float, int, str], pattern: Patter
     return done
 
 
-def detect(events: DataFrame, pattern: Pattern) -> DataFrame:
-    """Matches of a stream of events (event_id, event_type, occurred_at, actor_id)."""
+def detect(events: DataFrame, pattern: Pattern, late: str = "1 hour") -> DataFrame:
+    """Matches of a stream of events (event_id, event_type, occurred_at, actor_id); events more than ``late`` behind the newest are dropped."""
     import json
 
     if not pattern.same_actor or not pattern.steps:
@@ -58,16 +59,20 @@ def detect(events: DataFrame, pattern: Pattern) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        attempts = json.loads(state.get[0]) if state.exists else []
+        attempts, last = json.loads(state.get[0]) if state.exists else ([], [-(1 << 63), 0])
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         out = []
         for at, event_id, kind in zip(rows["at"], rows["event_id"], rows["event_type"], strict=True):
-            done = advance(attempts, (at.timestamp(), int(event_id), kind), pattern)
+            now = [at.value // 1000, int(event_id)]
+            if now <= last:
+                continue
+            last = now
+            done = advance(attempts, (*last, kind), pattern)
             if done:
-                out.append((pattern.name, key[0], pd.Timestamp(done[0][0], unit="s"), pd.Timestamp(done[-1][0], unit="s"), ",".join(str(i) for _, i in done)))
-        state.update((json.dumps(attempts),))
-        state.setTimeoutDuration(1000 * max(1, pattern.max_total_duration_secs))
+                out.append((pattern.name, key[0], pd.Timestamp(done[0][0], unit="us"), pd.Timestamp(done[-1][0], unit="us"), ",".join(str(i) for _, i in done)))
+        state.update((json.dumps((attempts, last)),))
+        state.setTimeoutTimestamp(last[0] // 1000 + 1000 * max(1, pattern.max_total_duration_secs) + 1)
         yield pd.DataFrame(out, columns=["pattern", "actor_id", "started_at", "ended_at", "event_ids"])
 
-    rows = events.select("event_id", "event_type", F.col("occurred_at").cast("timestamp").alias("at"), present("actor_id").alias("actor_id")).where("actor_id is not null")
-    return rows.groupBy("actor_id").applyInPandasWithState(fold, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select("event_id", "event_type", F.col("occurred_at").cast("timestamp").alias("at"), present("actor_id").alias("actor_id")).where("actor_id is not null").withWatermark("at", late)
+    return rows.groupBy("actor_id").applyInPandasWithState(fold, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
