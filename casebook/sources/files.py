@@ -55,11 +55,11 @@ def write_raw(raw: DataFrame, path: str) -> None:
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Appends, one set of files a day, rows in time order within files so that their statistics prune."""
+    """Appends by date; ranges of (date, time) make the tasks, so a full day has many, and rows are in time order so that statistics prune."""
     from casebook.operators.normalize import stored
 
     rows = stored(events)
-    rows.repartition("occurred_date").sortWithinPartitions("occurred_date", "occurred_at", "event_id").write.mode("append").partitionBy("occurred_date").parquet(path)
+    rows.repartitionByRange("occurred_date", "occurred_at", "event_id").sortWithinPartitions("occurred_date", "occurred_at", "event_id").write.mode("append").partitionBy("occurred_date").parquet(path)
 
 
 def raw_by_id(raw: DataFrame, raw_event_id: object) -> DataFrame:

@@ -49,6 +49,11 @@ CSV_HEADERS = {
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
+def _carried(df: DataFrame) -> list[str]:
+    """What parsed rows keep of their payload's row: not the payload, or one of n lines would cost its square."""
+    return [c for c in df.columns if c != "payload"]
+
+
 def _finished(df: DataFrame, carried: list[str], **columns: Column) -> DataFrame:
     """The parsed columns in order; those not given are null, tags empty and hints empty."""
     empty = {"tags": F.array().cast("array<string>"), "hints": F.array().cast(HINTS)}
@@ -67,7 +72,7 @@ def _opened(df: DataFrame, items: Column, whole: Column, check: Callable[[Column
 
     Items are checked before they are exploded, so a payload fails as a whole without a shuffle. ``none`` stands for an item where there is none.
     """
-    carried = df.columns
+    carried = _carried(df)
     rows = df.withColumns({"_whole": whole, "_items": items})
     rows = rows.withColumn("_bad", F.when(F.col("_whole").isNull(), F.array_position(F.transform("_items", lambda x: check(x).isNotNull()), True)))
     kept = F.when(F.col("_whole").isNotNull(), F.array(none)).when(F.col("_bad") > 0, F.slice("_items", F.col("_bad").cast("int"), F.lit(1))).otherwise(F.col("_items"))
@@ -99,7 +104,7 @@ def _not_text(item: Column, path: str) -> Column:
 
 def parse_json(df: DataFrame, now: Column | None = None) -> DataFrame:
     """One object or an array of objects; unknown top-level fields become ``custom_fields``."""
-    carried = df.columns
+    carried = _carried(df)
     body = trimmed("payload")
     document = F.try_parse_json(body)
     is_list = F.startswith(body, F.lit("["))
@@ -157,13 +162,13 @@ def _csv_rows(batches: Iterator[pd.DataFrame], carried: list[str]) -> Iterator[p
                         (found if column else custom)[column or header] = cell
                 out.append((at, k, None, *(found.get(c) for c in CSV_HEADERS), json.dumps(custom, sort_keys=True, separators=(",", ":"), ensure_ascii=False)))
         rows = pd.DataFrame(out, columns=["at", "ordinal", "error", *names])
-        yield pd.concat([batch.loc[rows["at"]].reset_index(drop=True), rows.drop(columns="at").add_prefix("_")], axis=1)
+        yield pd.concat([batch.loc[rows["at"], carried].reset_index(drop=True), rows.drop(columns="at").add_prefix("_")], axis=1)
 
 
 def parse_csv(df: DataFrame, now: Column | None = None) -> DataFrame:
     """First row headers. A time that is missing or malformed is ``now``; the default type is csv.event."""
-    carried = df.columns
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", _ordinal int, _error string, " + ", ".join(f"_{c} string" for c in (*CSV_HEADERS, "custom_fields"))
+    carried = _carried(df)
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in carried) + ", _ordinal int, _error string, " + ", ".join(f"_{c} string" for c in (*CSV_HEADERS, "custom_fields"))
     rows = df.mapInPandas(partial(_csv_rows, carried=carried), shape).withColumnsRenamed({"_ordinal": "ordinal", "_error": "error"})
     cell = {c: F.col(f"_{c}") for c in (*CSV_HEADERS, "custom_fields")}
     now = (F.current_timestamp() if now is None else now).cast("timestamp_ntz")
@@ -183,7 +188,7 @@ APP = r"^([A-Za-z0-9_.-]+)(?:\[[^:]*(?:: ?[^ :][^:]*)*)?: (.*)$"
 
 def parse_syslog(df: DataFrame, now: Column | None = None, year: Column | None = None) -> DataFrame:
     """One message a line, RFC 5424 or BSD or a bare priority; BSD dates lie in ``year`` (the current one by default)."""
-    carried = df.columns
+    carried = _carried(df)
     now = (F.current_timestamp() if now is None else now).cast("timestamp_ntz")
     year = F.year(now) if year is None else year
     kept = F.filter(F.transform(F.split("payload", r"\r?\n"), trimmed), lambda x: x != "")
@@ -222,7 +227,7 @@ def parse_syslog(df: DataFrame, now: Column | None = None, year: Column | None =
 
 def parse_webhook(df: DataFrame, now: Column | None = None) -> DataFrame:
     """Template for webhook payloads: times in several forms, severity from the type's words."""
-    carried = df.columns
+    carried = _carried(df)
     body = trimmed("payload")
     document = F.try_parse_json(body)
     is_list = F.startswith(body, F.lit("["))
@@ -290,7 +295,7 @@ def parse(df: DataFrame, parser_id: str | None = None, registry: tuple[Parser, .
     marked = df.withColumn("parser_id", detected(F.col("payload"), F.col("content_type"), registry))
     parts = [p.parse(marked.where(F.col("parser_id") == p.id), now=now) for p in registry]
     lost = marked.where("parser_id is null").select("*", F.lit(0).alias("ordinal"), F.lit("no parser found").alias("error"))
-    return reduce(DataFrame.unionByName, parts, _finished(lost, marked.columns))
+    return reduce(DataFrame.unionByName, parts, _finished(lost, _carried(marked)))
 
 
 def raise_errors(parsed: DataFrame) -> None:
