@@ -20,22 +20,28 @@ from casebook.plans.storage import cut
 from casebook.schema import CHAIN_DEPTH, CHAIN_WINDOW_SECONDS
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """(type, id, near_type, near_id) for each edge in both directions, each pair once."""
-    a, b = ("source_type", "source"), ("target_type", "target")
-    names = ("type", "id", "near_type", "near_id")
-    return edges.select(*(F.col(c).alias(n) for c, n in zip((*a, *b), names, strict=True))).union(edges.select(*(F.col(c).alias(n) for c, n in zip((*b, *a), names, strict=True)))).distinct()
+def _from(edges: DataFrame, frontier: DataFrame, side: str, other: str) -> DataFrame:
+    """The ends at ``other`` of the edges whose ``side`` is in the frontier."""
+    at = frontier.select(F.col("entity_type").alias(f"{side}_type"), F.col("identifier").alias(side))
+    return edges.join(at, [f"{side}_type", side], "left_semi").select(F.col(f"{other}_type").alias("entity_type"), F.col(other).alias("identifier"))
 
 
 def neighbourhood(edges: DataFrame, entity_type: str, identifier: str, depth: int = 1) -> DataFrame:
-    """entity_type, identifier, depth of all entities within ``depth`` steps, the centre not included."""
+    """entity_type, identifier, depth of all entities within ``depth`` steps, the centre not included.
+
+    The first level filters the edges by the centre, which reaches their scan; later levels meet them by the frontier
+    alone. Nothing is written but the levels, so edges that are derived and not stored are best written once before.
+    """
     if not 1 <= depth <= CHAIN_DEPTH:
         raise ValidationError(f"depth must be between 1 and {CHAIN_DEPTH}")
-    steps = cut(both_ways(edges))
     reached = frontier = edges.sparkSession.createDataFrame([(entity_type, identifier, 0)], "entity_type string, identifier string, depth int")
+    ends = (("source", "target"), ("target", "source"))
     for level in range(1, depth + 1):
-        near = steps.join(frontier, (steps["type"] == frontier["entity_type"]) & (steps["id"] == frontier["identifier"])).select(F.col("near_type").alias("entity_type"), F.col("near_id").alias("identifier")).distinct()
-        frontier = cut(near.join(reached, ["entity_type", "identifier"], "left_anti").withColumn("depth", F.lit(level)))
+        near = []
+        for side, other in ends:
+            centre = (F.col(f"{side}_type") == entity_type) & (F.col(side) == identifier)
+            near.append(edges.where(centre).select(F.col(f"{other}_type").alias("entity_type"), F.col(other).alias("identifier")) if level == 1 else _from(edges, frontier, side, other))
+        frontier = cut(near[0].union(near[1]).distinct().join(reached, ["entity_type", "identifier"], "left_anti").withColumn("depth", F.lit(level)))
         reached = reached.unionByName(frontier)
     return reached.where("depth > 0")
 
@@ -73,7 +79,11 @@ def chain(events: DataFrame, seed_id: object, depth: int = 1, window_seconds: in
         near = in_window(events, first - around, last + around)
         seen = observations(near).select("event_id", "occurred_at", "entity_type", "identifier")
         probes = frontier.select(F.col("event_id").alias("from_id"), F.col("occurred_at").alias("at")).join(seen.select(F.col("event_id").alias("from_id"), "entity_type", "identifier"), "from_id")
-        met = seen.join(probes, ["entity_type", "identifier"]).where((F.col("occurred_at") >= F.col("at") - half) & (F.col("occurred_at") < F.col("at") + half))
+        # buckets of half the window: an event's partners lie in its own bucket or one beside it, so a hot entity meets only what is near in time
+        slot = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / int(around.total_seconds() * 1_000_000))
+        near_slots = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: slot("at") + k)).alias("slot")
+        probes = probes.select("*", near_slots)
+        met = seen.withColumn("slot", slot("occurred_at")).join(probes, ["entity_type", "identifier", "slot"]).where((F.col("occurred_at") >= F.col("at") - half) & (F.col("occurred_at") < F.col("at") + half))
         if per_entity is not None:
             earliest = W.partitionBy("from_id", "entity_type", "identifier").orderBy("occurred_at", "event_id")
             met = met.withColumn("n", F.row_number().over(earliest)).where(F.col("n") <= per_entity)
