@@ -66,6 +66,11 @@ class Cases:
             raise ValidationError(f"event {event_id} is attached already")
         self.attached.append([(case_id, event_id, pinned, annotation, added_by, at)])
 
+    def attach_all(self, rows: DataFrame) -> None:
+        """Attaches many events in one write (the columns of `ATTACHED`); those that are attached already stay as they are."""
+        now = self.attached.read()
+        self.attached.write(now.unionByName(rows.join(now.select("case_id", "event_id"), ["case_id", "event_id"], "left_anti").select(*now.columns)))
+
     def _own(self, case_id: str, event_id: int):
         own = (F.col("case_id") == case_id) & (F.col("event_id") == event_id)
         if self.attached.read().where(own).first() is None:

@@ -74,10 +74,13 @@ def pinned_lines(attached: DataFrame) -> DataFrame:
 
 
 def json_entries(attached: DataFrame) -> DataFrame:
-    """case_id, n, entry: one JSON object of the attachment and the event."""
+    """case_id, n, entry: one JSON object of the attachment and the event, times to the microsecond."""
+    attached = attached.withColumn("n", _place(attached))
+    times = {f.name: rfc3339_text(f.name) for f in attached.schema if f.dataType.typeName().startswith("timestamp")}
+    attached = attached.withColumns(times)
     own = ("case_id", "event_id", "pinned", "annotation", "added_at")
-    event = [c for c in attached.columns if c not in own or c == "event_id"]
-    return attached.select("case_id", _place(attached).alias("n"), F.to_json(F.struct(F.struct(*own).alias("case_event"), F.struct(*event).alias("event"))).alias("entry"))
+    event = [c for c in attached.columns if c not in (*own, "n") or c == "event_id"]
+    return attached.select("case_id", "n", F.to_json(F.struct(F.struct(*own).alias("case_event"), F.struct(*event).alias("event"))).alias("entry"))
 
 
 def _lines(df: DataFrame, column: str = "line") -> list[str]:

@@ -47,6 +47,13 @@ def encode_cursor(occurred_at: datetime, event_id: object) -> str:
     return base64.urlsafe_b64encode(raw).decode().rstrip("=")
 
 
+def cursor_of(occurred_at: Column | str, event_id: Column | str) -> Column:
+    """`encode_cursor` as a column, times to the microsecond."""
+    raw = F.concat(F.date_format(occurred_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00,"), F.col(event_id).cast("string") if isinstance(event_id, str) else event_id.cast("string"))
+    plain = F.replace(F.base64(F.encode(raw, "UTF-8")), F.lit("\r\n"), F.lit(""))
+    return F.rtrim(F.translate(plain, "+/", "-_"), F.lit("="))
+
+
 def decode_cursor(cursor: str) -> tuple[datetime, str]:
     try:
         raw = base64.b64decode(cursor + "=" * (-len(cursor) % 4), altchars=b"-_", validate=True).decode()
@@ -58,7 +65,7 @@ def decode_cursor(cursor: str) -> tuple[datetime, str]:
 
 def in_window(df: DataFrame, start: datetime | None, end: datetime | None, closed: bool = False) -> DataFrame:
     """Rows of [start, end), or [start, end] if ``closed``."""
-    if start is not None and end is not None and not start < end:
+    if start is not None and end is not None and not (start < end or closed and start == end):
         raise ValidationError("start must be before end")
     tests = [F.col("occurred_at") >= _stamp(start)] if start is not None else []
     if end is not None:

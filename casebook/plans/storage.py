@@ -7,12 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casebook.errors import ValidationError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where it is unset (tests)."""
+    """spark.checkpoint.dir; a folder of this machine only where it is unset and executors run in this process (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="casebook-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not context.master.startswith("local"):
+            raise ValidationError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="casebook-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
