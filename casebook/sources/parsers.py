@@ -111,28 +111,32 @@ def parse_json(df: DataFrame, now: Column | None = None) -> DataFrame:
     items = F.when(is_list, F.try_variant_get(document, "$", "array<variant>")).otherwise(F.array(document))
     whole = F.when(F.coalesce(body, F.lit("")) == "", "empty input").when(document.isNull() | (~is_list & ~F.startswith(_kind(document), F.lit("OBJECT"))), "invalid JSON")
     texts = ["$.severity", "$.observed_at", *(f"$.{p}.{k}" for p, fields in PARTS.items() for k in fields if not k.endswith("_port"))]
+    names = "|".join(sorted({t.rsplit(".", 1)[1] for t in texts}))
+    # one look at the item's schema: only if a field of such a name, anywhere, is no text do the fields themselves have to be looked at
+    doubtful = lambda item: F.coalesce(F.rlike(_kind(item), F.lit(f"(?:^|[<, ])(?:{names}): (?!STRING|VOID)")), F.lit(True))
 
     def check(item: Column) -> Column:
-        observed = _text(item, "$.observed_at")
+        observed = F.try_variant_get(item, "$.observed_at", "string")
         return (
             F.when(~F.startswith(_kind(item), F.lit("OBJECT")), "not an object")
             .when(_text(item, "$.event_type").isNull(), "missing field event_type")
             .when(rfc3339(_text(item, "$.occurred_at")).isNull(), "missing or invalid occurred_at")
+            .when(doubtful(item) & reduce(Column.__or__, (_not_text(item, p) for p in texts)), "a field has the wrong type")
             .when(observed.isNotNull() & rfc3339(observed).isNull(), "invalid observed_at")
-            .when(reduce(Column.__or__, (_not_text(item, p) for p in texts)), "a field has the wrong type")
         )
 
     # an empty array has no rows
     rows = _opened(df, items, whole, check, F.try_parse_json(F.lit("{}")))
     item = F.col("_item")
-    found = {column: (F.try_variant_get(item, f"$.{p}.{k}", "int") if k.endswith("_port") else _text(item, f"$.{p}.{k}")) for p, fields in PARTS.items() for k, column in fields.items()}
+    # a text that is none has failed the check
+    found = {column: F.try_variant_get(item, f"$.{p}.{k}", "int" if k.endswith("_port") else "string") for p, fields in PARTS.items() for k, column in fields.items()}
+    top = lambda k: F.try_variant_get(item, f"$.{k}", "string")
     extra = F.map_filter(F.try_variant_get(item, "$", "map<string,variant>"), lambda k, _: ~k.isin(*TOP))
     sorted_extra = F.map_from_entries(F.array_sort(F.transform(F.map_entries(extra), lambda e: F.struct(e["key"], F.to_json(e["value"]).alias("value")))))
     custom = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(sorted_extra), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
     hints = _hints(identity=found["actor_id"], ip=found["src_ip"], device=found["device_id"], host=found["hostname"])
     return _finished(
-        rows, carried, event_type=_text(item, "$.event_type"), severity=severity_of_name(_text(item, "$.severity")), occurred_at=rfc3339(_text(item, "$.occurred_at")),
-        observed_at=rfc3339(_text(item, "$.observed_at")), tags=F.coalesce(F.try_variant_get(item, "$.tags", "array<string>"), F.array().cast("array<string>")), custom_fields=custom, hints=hints, **found,
+        rows, carried, event_type=top("event_type"), severity=severity_of_name(top("severity")), occurred_at=rfc3339(top("occurred_at")), observed_at=rfc3339(top("observed_at")), tags=F.coalesce(F.try_variant_get(item, "$.tags", "array<string>"), F.array().cast("array<string>")), custom_fields=custom, hints=hints, **found,
     )
 
 
