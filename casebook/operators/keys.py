@@ -66,7 +66,8 @@ def related(keys: DataFrame, events: DataFrame, event_id: object, limit: int = 5
     the limit applies to the different events found.
     """
     own = keys.where(F.col("event_id") == event_id).select(F.col("ord").alias("probe"), "key_type", "key_value")
-    met = keys.select("event_id", "occurred_at", "key_type", "key_value").join(F.broadcast(own.limit(16)), ["key_type", "key_value"])
+    own = keys.sparkSession.createDataFrame(own.collect(), own.schema)  # one event's keys: a local table of known size, so the planner broadcasts it if it may
+    met = keys.select("event_id", "occurred_at", "key_type", "key_value").join(own, ["key_type", "key_value"])
     if exact:
         newest = W.partitionBy("probe").orderBy(F.desc("occurred_at"), F.desc("event_id"))
         met = met.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= limit)

@@ -266,3 +266,16 @@ def test_addresses(spark, given, expected):
 def test_json_merge(spark):
     df = spark.createDataFrame([('{"a":1,"b":[2]}', '{"a":{"c":null}}'), (None, '{"x\\"":1}'), ("[1]", None)], "a string, b string")
     assert [json.loads(r[0]) for r in df.select(text.json_merged("a", "b")).collect()] == [{"a": {"c": None}, "b": [2]}, {'x"': 1}, {}]
+
+
+def test_written_tables_are_released(spark):
+    import glob
+    import os
+
+    from casebook.plans import storage
+
+    storage.cut(spark.range(3))
+    (path,) = (p for p in storage._WRITTEN[-1:])
+    assert os.path.isdir(path.removeprefix("file:"))
+    storage.release(spark)
+    assert not glob.glob(path.removeprefix("file:")) and not storage._WRITTEN
