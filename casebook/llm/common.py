@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what `written` has written in this session; for when results are stored elsewhere and nothing derived from it is read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    while _WRITTEN:
+        at = path(_WRITTEN.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
 
@@ -38,6 +49,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/casebook-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -51,8 +51,8 @@ ORACLE_SQL = {
     "op7_permutation_index": r"""
         with taken as (
             select vec_id, cast(embedding as double[]) as v from embeddings
-            where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
-              and len(list_filter(embedding, x -> x <> 0)) > 0),
+            where embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0
+              and len([x for x in embedding if x <> 0]) > 0),
         near as (
             select q.vec_id as query_id, r.vec_id, list_distance(q.v, r.v) as score
             from taken q join taken r on q.vec_id <> r.vec_id and len(q.v) = len(r.v) where q.vec_id % 100 = 0)
