@@ -12,11 +12,9 @@ large, is one class and costs one row.
 * Stars: in a bucket one class, that with the most bucket mates overall, is the centre, and
   edges go from it to the others, so edges grow as the members, not as their square.
   Edges are confirmed on the whole sets.
-* What stars leave open: two members of a bucket that are not in one component yet. The star
-  has told in which shingles each differs from the centre, and the sets of two members differ
-  in exactly the symmetric difference of these (small) sets, so a join within the bucket
-  finds the links among them, and only those, without a text. Members of one component need
-  no further edge, so large groups of near copies stay cheap.
+* What stars leave open: two spokes of a centre that are not in one component yet. The star
+  has told in which shingles each differs from the centre; `_rarest_edits` and `_met` join them on the rarest of these, without a text, and
+  loses no link. Members of one component need no further edge, so large groups of near copies stay cheap.
 
 Components come from all confirmed links (`graph.components`).
 
@@ -158,6 +156,49 @@ def compared(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return edges.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(partial(_compared, k=k, percent=percent), COMPARED)
 
 
+def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """``rows`` with the component of their ``b``."""
+    return rows.join(comps.withColumnsRenamed({"node": "b", "comp": "found"}), "b", "left").withColumn("comp", F.coalesce("found", "b")).drop("found")
+
+
+def _rarest_edits(spokes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """The rarest edits (a, edit) of the spokes b of each centre a whose spokes are in different components yet, with n and all edits.
+
+    Two members x and y of a bucket are spokes of its centre, and their sets differ in exactly those shingles in which one of them, and not the
+    other, differs from the centre (its edits), in D say. D bounds how much the numbers of their edits differ, so at most D of
+    either's edits are not the other's. With each spoke's edits in one order, rarest first, two linked spokes
+    share one of their first D + 1, and D is bounded by either's size. Only spokes that do so need to meet, so members of a
+    bucket that have the bucket's common text alone in common are never paired.
+    """
+    at = _labelled(spokes.select("a", "b", "n", "edits"), comps)
+    open_ = at.groupBy("a").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("a")
+    waiting = written(at.join(open_, "a").select("a", "b", "n", "edits"))
+    each = waiting.select("a", "b", "n", F.explode("edits").alias("edit"))
+    times = each.groupBy("a", "edit").agg(F.count("*").alias("times")).where("times > 1")
+    # an edit that no other spoke has comes first and takes a place, but leads nowhere
+    rarest = each.join(times, ["a", "edit"], "left").groupBy("a", "b", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "edit"))).alias("ranked"))
+    first = F.floor(F.col("n") * (100 - percent) / percent).cast("int") + 2  # D is at most (1 - t) / (1 + t) of both sizes, of which the other is at most 1 / t of this one
+    shared = F.transform(F.filter(F.slice("ranked", F.lit(1), first), lambda x: x["times"] > 1), lambda x: x["edit"])
+    return rarest.select("a", "b", F.explode(shared).alias("edit")).join(waiting, ["a", "b"]).select("a", "edit", "b", "n", "edits")
+
+
+def _met(probes: DataFrame, comps: DataFrame, percent: int, star: bool) -> DataFrame:
+    """The links (a, b) between probes of one edit that are in different components: to the first of them alone (``star``), or all."""
+    rows = _labelled(probes, comps)
+    left, right = rows, rows.select(*(F.col(c).alias(c) for c in rows.columns)).alias("r")
+    if star:
+        left = rows.groupBy("a", "edit").agg(F.min(F.struct("b", "n", "comp", "edits")).alias("c")).select("a", "edit", "c.b", "c.n", "c.comp", "c.edits")
+    left = left.alias("l")
+    n = F.col("l.n") + F.col("r.n")
+    enough = lambda apart: 100 * (n - apart) >= percent * (n + apart)
+    differ = F.size("l.edits") + F.size("r.edits") - 2 * F.size(F.array_intersect("l.edits", "r.edits"))
+    pair = (
+        (F.col("l.a") == F.col("r.a")) & (F.col("l.edit") == F.col("r.edit")) & (F.col("l.b") < F.col("r.b")) & (F.col("l.comp") != F.col("r.comp"))
+        & enough(F.abs(F.size("l.edits") - F.size("r.edits"))) & enough(differ)
+    )
+    return left.join(right, pair).select(F.col("l.b").alias("a"), F.col("r.b").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the component), kept, cls for every row.
 
@@ -190,20 +231,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = spokes.where("linked").select("a", "b")
     comps = components(linked)
 
-    at = members.join(comps, members["cls"] == comps["node"], "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    open_keys = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    waiting = at.join(open_keys, "key").join(centres, "key").withColumnRenamed("cls", "b").join(spokes.select("a", "b", "n", "edits"), ["a", "b"])
-    waiting = written(waiting.select("key", "b", "comp", "n", "edits", F.size("edits").alias("e")))
-    left, right = waiting.alias("l"), waiting.alias("r")
-    n = F.col("l.n") + F.col("r.n")
-    differ = F.col("l.e") + F.col("r.e") - 2 * F.size(F.array_intersect("l.edits", "r.edits"))
-    enough = lambda apart: 100 * (n - apart) >= percent * (n + apart)
-    pair = (
-        (F.col("l.key") == F.col("r.key")) & (F.col("l.b") < F.col("r.b")) & (F.col("l.comp") != F.col("r.comp"))
-        & enough(F.abs(F.col("l.e") - F.col("r.e"))) & enough(differ)
-    )
-    further = written(left.join(right, pair).select(F.col("l.b").alias("a"), F.col("r.b").alias("b")).distinct())
-    comps = components(linked.union(further))
+    probes = written(_rarest_edits(spokes, comps, percent))
+    # stars of the probes first, so that a group of near copies far from its centre is one component before all that is left is compared
+    for star in (True, False):
+        further = written(_met(probes, comps, percent, star))
+        if not further.isEmpty():
+            linked = linked.union(further)
+            comps = components(linked)
 
     roots = classes.select("cls", "digest", "first_id").join(comps, classes["cls"] == comps["node"], "left").select("digest", "first_id", F.coalesce("comp", "cls").alias("comp"))
     names = roots.groupBy("comp").agg(F.min("first_id").alias("component_id"))
