@@ -9,8 +9,8 @@ levels are the leading tokens, and a leaf holds the different masked lines that
 * A template is recurring if it occurs in at least ``min_docs`` different documents. Documents whose lines all take the same paths through the tree
   are copies of each other and count as one.
 * The lines of recurring templates are dropped, save in the first document (the smallest id, nulls last) that holds the template, and its copies.
-  A document of which recurring lines hold ``COPY_SHARE`` of the characters or more is nothing but copied text and
-  stays whole, for document-level dedup to decide. A template without a fixed token is none.
+  A document of which recurring lines hold ``COPY_SHARE`` of the characters or more is a near copy and not one with a passage in it; it
+  stays whole, for document-level dedup to decide (cut down to its edits it would be found by nothing). A template without a fixed token is none.
 
 Only hashes of lines and tokens are shuffled. Lines of a leaf are counted with map-side partial sums, each line meets only the
 centres of its leaf and halves, and the joins are equi-joins that can be split, so a template in a third of all documents is no hot group.
@@ -32,7 +32,7 @@ DEPTH = 3
 MIN_DOCS = 5
 MIN_TOKENS = 1
 SIMILAR = 0.75
-COPY_SHARE = 0.9
+COPY_SHARE = 0.75
 FIELD = "<*>"
 #: A token with a digit; the possessive runs keep it linear on long texts without blanks.
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
