@@ -60,6 +60,19 @@ def test_near_duplicates(spark, make, odd_texts, k, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_near_duplicates_of_one_template(spark, make):
+    """Many documents share half of their text and are not linked; some of them have a near copy, far from the star's centre."""
+    rng = random.Random(6)
+    shared, texts = words(rng, 60), []
+    for _ in range(80):
+        texts.append(f"{shared} {words(rng, rng.randint(10, 40))}")
+    texts += [edited(rng, rng.choice(texts[:80]), 1) for _ in range(40)] + [edited(rng, shared, 2) for _ in range(10)]
+    ids = rng.sample(range(10_000), len(texts))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(make(texts, ids=ids), k=3, percent=85).collect()}
+    expected, _ = brute_components(texts, 3, 85, ids)
+    assert [got[i] for i in ids] == expected and 20 < len(set(expected)) < 110
+
+
 def test_near_duplicates_edges(spark, make, odd_texts):
     twice = minhash.near_duplicates(make([odd_texts[9]] * 3 + [None], ids=[5, 5, 3, None])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in twice) == [("3", "3"), ("5", "3"), ("5", "3"), ("None", "None")]
