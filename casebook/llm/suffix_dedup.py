@@ -44,8 +44,8 @@ from casebook.llm.minhash import mixed
 LENGTH, GRAM = 100, 32
 BASE = 0x9E3779B97F4A7C15 | 1
 NO_ID = -(1 << 63)
-FLUSH = 1_500_000  # rows that a task holds before it combines and emits them
-BUCKET = 100_000
+FLUSH = 1_000_000  # rows that a task holds before it combines and emits them
+BUCKET = 25_000
 LOW = (1 << 7) - 1
 RIGHT, LEFT = 104, 72  # a span has at most 100 bytes from its anchor on, and 68 before it
 CHUNK = 20_000  # rows whose bytes are compared at a time
