@@ -59,4 +59,14 @@ ORACLE_SQL = {
         select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as integer) as rank, vec_id, score
         from near qualify rank <= 10
     """,
+    "op13_warc": r"""
+        with taken as (
+            select page_id, coalesce(encode(html), ''::blob) as payload from pages),
+        digested as (select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest from taken),
+        firsts as (select *, min(page_id) over (partition by payload_digest) as first from digested)
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes >= 100 and (page_id is null or page_id <> first) and first is not null then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and (page_id is null or page_id <> first) then first end as refers_to
+        from firsts
+    """,
 }

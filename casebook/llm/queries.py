@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import byte_bpe, langid, line_templates, minhash, packing, permutation_index, pii, quality, suffix_dedup, url_filter
-from casebook.llm.common import table
+from casebook.llm import (
+    alignment, byte_bpe, langid, line_templates, minhash, packing, permutation_index, pii, quality, suffix_dedup, url_filter, warc, whitening,
+)
+from casebook.llm.common import shared_dir, table
 
 RULES = (
     url_filter.Rule("net", "/", "block"),
@@ -68,10 +71,28 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_recurring", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/casebook-{uuid.uuid4().hex}.warc"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path, payloads=False)
+    return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash, op2_quality_rules, op3_suffix_dedup, op4_pii, op5_byte_bpe,
         op6_url_filter, op7_permutation_index, op8_best_fit_packing, op9_language_id, op10_line_templates,
+        op11_alignment, op12_whitening, op13_warc,
     )
 }
