@@ -257,7 +257,7 @@ def align(
     if counts.count() <= broadcast_pairs:
         met = links.join(F.broadcast(counts), "pair")
     else:
-        spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        spread = counts.withColumn("salt", F.explode(F.array(*(F.lit(k).cast("long") for k in range(salts)))))
         met = links.withColumn("salt", F.pmod("row", F.lit(salts)).cast("long")).join(spread, ["pair", "salt"])
     sums = met.groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"))
     return docs.drop("pairs", "times").join(sums, "row", "left").select(

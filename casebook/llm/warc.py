@@ -46,6 +46,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 EMPTY_END = SKIPPABLE_MAGIC + struct.pack("<I", 1)  # a skippable frame of one byte, the line feed that follows
 SHAPE = "archive string, offset long, record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, problem string"
+HEADER_NAME = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -67,7 +68,10 @@ def decided(df: DataFrame, id_col: str, url_col: str, payload_col: str, least_by
 def train(df: DataFrame, payload_col: str, rows: int = SAMPLE_ROWS, cut: int = SAMPLE_BYTES, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary from a bounded sample, which depends on the payloads alone; empty where it cannot be trained."""
     start = F.substring(F.col(payload_col).cast("binary"), 1, cut)
-    some = df.where(F.length(payload_col) > 0).select(start.alias("start")).orderBy(F.xxhash64("start"), "start").limit(rows)
+    hashed = df.where(F.length(payload_col) > 0).select(start.alias("start")).withColumn("hash", F.xxhash64("start"))
+    # hashes first, so that no task sends more than its part of the sample to the driver
+    least = [r["hash"] for r in hashed.select("hash").distinct().orderBy("hash").limit(rows).collect()]
+    some = hashed.where(F.col("hash").isin(least)).groupBy("hash").agg(F.min("start").alias("start")).orderBy("hash") if least else hashed.limit(0)
     try:
         return zstandard.train_dictionary(size, [bytes(r["start"]) for r in some.collect()]).as_bytes()
     except zstandard.ZstdError:
@@ -178,13 +182,19 @@ def leading_dictionary(data: memoryview) -> tuple[zstandard.ZstdCompressionDict
     return zstandard.ZstdCompressionDict(content), end
 
 
-def parsed_headers(lines: list[bytes]) -> dict[str, str]:
+def parsed_headers(lines: list[bytes], strict: bool = True) -> dict[str, str]:
+    """Names in lower case; a line that starts with a blank continues the one before it. Not ``strict``: malformed lines are passed over."""
     out: dict[str, str] = {}
+    last = None
     for line in lines:
         name, colon, value = line.partition(b":")
-        if not colon or not name or name != name.strip():
+        if line[:1] in (b" ", b"\t") and last:
+            out[last] += " " + line.strip().decode("utf-8", "replace")
+        elif colon and HEADER_NAME.fullmatch(name):
+            last = name.decode().lower()
+            out[last] = value.strip().decode("utf-8", "replace")
+        elif strict:
             raise Broken("malformed header")
-        out[name.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
     return out
 
 
@@ -216,7 +226,7 @@ def parsed(raw: bytes) -> tuple[dict, bytes | None]:
         http, gap, payload = block.partition(b"\r\n\r\n")
         if not gap:
             raise Broken("no end of response headers")
-        told = parsed_headers(http.split(b"\r\n")[1:]).get("content-length")
+        told = parsed_headers(http.split(b"\r\n")[1:], strict=False).get("content-length")
         size = int(told) if told is not None and told.isdecimal() else len(payload)
         if kind != "revisit" and size != len(payload):
             raise Broken("payload length differs")
