@@ -92,6 +92,16 @@ def search_text(query: str, max_bytes: int) -> str:
     return query.strip().encode("utf-8")[:max_bytes].decode("utf-8", "ignore")
 
 
+def search_text_of(c: Column | str, max_bytes: int) -> Column:
+    """`search_text` as a column."""
+    trimmed = F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    raw = F.encode(trimmed, "UTF-8")
+    # bytes as characters: what stands behind the cut tells whether it is in the middle of a character
+    cut, behind = (F.decode(F.substring(raw, at, n), "ISO-8859-1") for at, n in ((1, max_bytes), (max_bytes + 1, 1)))
+    whole = F.when(behind.rlike("[\x80-\xbf]"), F.regexp_replace(cut, "[\xc0-\xff][\x80-\xbf]*$", "")).otherwise(cut)
+    return F.when(F.octet_length(trimmed) <= max_bytes, trimmed).otherwise(F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8"))
+
+
 def globbed(c: Column | str, pattern: str) -> Column:
     """``*`` stands for any text, everything else for itself."""
     return col(c).like(pattern.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%"))

@@ -58,6 +58,46 @@ def relationships(seen: DataFrame) -> DataFrame:
     )
 
 
+def partial_entities(seen: DataFrame) -> DataFrame:
+    """What `entities` needs of a part of the events, in a form that `merged_entities` can add up with other parts."""
+    named = F.when(F.col("display_name").isNotNull(), F.struct("event_id", "display_name"))
+    return seen.groupBy("entity_type", "identifier").agg(
+        F.max(named).alias("latest"), F.min(F.struct("event_id", "occurred_at")).alias("arrived"),
+        F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen"), F.count("*").alias("event_count"),
+    )
+
+
+def merged_entities(parts: DataFrame, first_by_ingest: bool = False) -> DataFrame:
+    """`entities` of all events together; parts may come in any order."""
+    first = F.min("arrived")["occurred_at"] if first_by_ingest else F.min("first_seen")
+    return parts.groupBy("entity_type", "identifier").agg(
+        F.max("latest")["display_name"].alias("display_name"), first.alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("event_count").alias("event_count")
+    )
+
+
+def partial_adjacency(seen: DataFrame) -> DataFrame:
+    """`relationships` of a part of the events, once from each end: end_type, end, other_type, other, relationship, outgoing and the aggregates."""
+    found = relationships(seen)
+    sides = [("source", "target", True), ("target", "source", False)]
+    both = F.array(*(F.struct(F.col(f"{a}_type").alias("end_type"), F.col(a).alias("end"), F.col(f"{b}_type").alias("other_type"), F.col(b).alias("other"), F.lit(out).alias("outgoing")) for a, b, out in sides))
+    rows = found.select(F.explode(both).alias("x"), "relationship", "first_seen", "last_seen", "event_count", "sample_event_id")
+    return rows.select("x.*", "relationship", "first_seen", "last_seen", "event_count", "sample_event_id")
+
+
+def merged_relationships(parts: DataFrame) -> DataFrame:
+    """`relationships` from adjacency rows of one direction or both; a relationship that is there from both ends counts once."""
+    out = F.col("outgoing")
+    way = lambda a, b: F.when(out, F.col(a)).otherwise(F.col(b))
+    named = parts.select(
+        way("end_type", "other_type").alias("source_type"), way("end", "other").alias("source"), "relationship", way("other_type", "end_type").alias("target_type"), way("other", "end").alias("target"),
+        "outgoing", "first_seen", "last_seen", "event_count", "sample_event_id",
+    )
+    counted = lambda side: F.sum(F.when(side, F.col("event_count")))
+    return named.groupBy("source_type", "source", "relationship", "target_type", "target").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.coalesce(counted(out), counted(~out)).alias("event_count"), F.max("sample_event_id").alias("sample_event_id")
+    )
+
+
 def _newest(df: DataFrame, limit: int | None, *ties: str) -> DataFrame:
     return df if limit is None else df.orderBy(F.desc("last_seen"), *ties).limit(limit)
 

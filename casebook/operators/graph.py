@@ -9,15 +9,16 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casebook.errors import ValidationError
-from casebook.operators.entities import observations
+from casebook.operators.entities import merged_relationships, observations
 from casebook.operators.timeline import in_window
 from casebook.plans.storage import cut
 from casebook.schema import CHAIN_DEPTH, CHAIN_WINDOW_SECONDS
+from casebook.sources.stored import MAX_LITERALS, StoredTable
 
 
 def _from(edges: DataFrame, frontier: DataFrame, side: str, other: str) -> DataFrame:
@@ -56,6 +57,34 @@ def induced_edges(edges: DataFrame, entity_type: str, identifier: str, depth: in
     return edges
 
 
+def _ends(adjacency: StoredTable, frontier: DataFrame) -> DataFrame:
+    """Adjacency rows of a frontier: only its buckets are read where it is small enough for a filter, else it is joined, and the adjacency is not shuffled."""
+    spark = frontier.sparkSession
+    some = [r["identifier"] for r in frontier.select("identifier").distinct().limit(MAX_LITERALS + 1).collect()]
+    rows = adjacency.of(spark, some) if len(some) <= MAX_LITERALS else adjacency.read(spark)
+    return rows.join(frontier.select(F.col("entity_type").alias("end_type"), F.col("identifier").alias("end")), ["end_type", "end"], "left_semi")
+
+
+def stored_neighbourhood(adjacency: StoredTable, spark: SparkSession, entity_type: str, identifier: str, depth: int = 1) -> DataFrame:
+    """`neighbourhood` on a stored adjacency: each level reads the frontier's buckets, and no edge is aggregated."""
+    if not 1 <= depth <= CHAIN_DEPTH:
+        raise ValidationError(f"depth must be between 1 and {CHAIN_DEPTH}")
+    reached = frontier = spark.createDataFrame([(entity_type, identifier, 0)], "entity_type string, identifier string, depth int")
+    for level in range(1, depth + 1):
+        near = _ends(adjacency, frontier).select(F.col("other_type").alias("entity_type"), F.col("other").alias("identifier")).distinct()
+        frontier = cut(near.join(reached, ["entity_type", "identifier"], "left_anti").withColumn("depth", F.lit(level)))
+        reached = reached.unionByName(frontier)
+    return reached.where("depth > 0")
+
+
+def stored_edges(adjacency: StoredTable, spark: SparkSession, entity_type: str, identifier: str, depth: int = 1) -> DataFrame:
+    """`induced_edges` on a stored adjacency: only rows of the neighbourhood are merged to relationships."""
+    near = stored_neighbourhood(adjacency, spark, entity_type, identifier, depth).select("entity_type", "identifier")
+    inside = cut(near.union(spark.createDataFrame([(entity_type, identifier)], near.schema)))
+    rows = _ends(adjacency, inside).where("outgoing").join(inside.withColumnsRenamed({"entity_type": "other_type", "identifier": "other"}), ["other_type", "other"], "left_semi")
+    return merged_relationships(rows)
+
+
 def chain(events: DataFrame, seed_id: object, depth: int = 1, window_seconds: int = 3600, per_entity: int | None = None, limit: int | None = None) -> DataFrame:
     """event_id, occurred_at, depth of the events a seed leads to through shared entities.
 

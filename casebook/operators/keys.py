@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casebook.functions.text import present
+from casebook.operators import timeline
+from casebook.sources.stored import StoredTable
 
 LABELS = {"identity": "identity", "session": "session", "token": "token", "ip": "IP address", "device": "device", "host": "hostname"}
 KEY = "struct<key_type:string,key_value:string>"
@@ -59,14 +61,28 @@ def lookup(keys: DataFrame, events: DataFrame, key_type: str, key_value: str, li
     return out if limit is None else out.orderBy(F.desc("occurred_at"), F.desc("event_id")).limit(limit)
 
 
-def related(keys: DataFrame, events: DataFrame, event_id: object, limit: int = 50, exact: bool = False) -> DataFrame:
+def stored_lookup(table: StoredTable, events: DataFrame, key_type: str, key_value: str, limit: int = 50) -> DataFrame:
+    """`lookup` on a stored key table: one bucket gives the newest ids, and only these events are read."""
+    hit = table.of(events.sparkSession, [key_value]).where(F.col("key_type") == key_type).select("event_id", "occurred_at").distinct()
+    return timeline.picked(events, hit.orderBy(F.desc("occurred_at"), F.desc("event_id")).limit(limit))
+
+
+def stored_related(table: StoredTable, events: DataFrame, event_id: object, limit: int = 50, exact: bool = False) -> DataFrame:
+    """`related` on a stored key table: the event's own keys come from the event, and only their buckets are read."""
+    own = key_table(events.where(F.col("event_id") == event_id), with_hints=True).select(F.col("ord").alias("probe"), "key_type", "key_value")
+    rows = own.collect()
+    return related(table.of(events.sparkSession, sorted({r["key_value"] for r in rows})), events, event_id, limit, exact, events.sparkSession.createDataFrame(rows, own.schema))
+
+
+def related(keys: DataFrame, events: DataFrame, event_id: object, limit: int = 50, exact: bool = False, own: DataFrame | None = None) -> DataFrame:
     """Events that share a key with ``event_id``: event_id, occurred_at, ord (the first key that led there).
 
     ``exact`` takes at most ``limit`` rows of each key before the event itself and repeats are dropped; else
-    the limit applies to the different events found.
+    the limit applies to the different events found. ``own``: the event's keys (probe, key_type, key_value), if they are known.
     """
-    own = keys.where(F.col("event_id") == event_id).select(F.col("ord").alias("probe"), "key_type", "key_value")
-    own = keys.sparkSession.createDataFrame(own.collect(), own.schema)  # one event's keys: a local table of known size, so the planner broadcasts it if it may
+    if own is None:
+        own = keys.where(F.col("event_id") == event_id).select(F.col("ord").alias("probe"), "key_type", "key_value")
+        own = keys.sparkSession.createDataFrame(own.collect(), own.schema)  # one event's keys: a local table of known size, so the planner broadcasts it if it may
     met = keys.select("event_id", "occurred_at", "key_type", "key_value").join(own, ["key_type", "key_value"])
     if exact:
         newest = W.partitionBy("probe").orderBy(F.desc("occurred_at"), F.desc("event_id"))

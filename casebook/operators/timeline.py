@@ -134,6 +134,15 @@ def fetch_page(df: DataFrame, by: Filters = Filters(), limit: int = TIMELINE_LIM
     return rows, encode_cursor(rows[-1]["occurred_at"], rows[-1]["event_id"]) if more else None
 
 
+def picked(df: DataFrame, page: DataFrame) -> DataFrame:
+    """The events of a page of ids (event_id, occurred_at; as many as a limit allows): their ids and times reach the scan as filters."""
+    rows = page.select("event_id", "occurred_at").collect()
+    if not rows:
+        return df.limit(0)
+    times = [r["occurred_at"] for r in rows]
+    return in_window(df, min(times), max(times), closed=True).where(F.col("event_id").isin([r["event_id"] for r in rows]))
+
+
 def event_by_id(df: DataFrame, event_id: object) -> DataFrame:
     return df.where(F.col("event_id") == event_id)
 

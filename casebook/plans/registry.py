@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -15,8 +16,10 @@ from casebook.operators import bundle, cases, entities, export, graph, holds, ke
 from casebook.operators.sequences import BUILT_IN, Pattern, Step
 from casebook.operators.timeline import Filters
 from casebook.plans.adapter import VIEW_SQL, forensic_view, full_events
-from casebook.plans.storage import cut
+from casebook.plans.storage import cut, shared_dir
 from casebook.sources import files, parsers
+from casebook.sources.indexes import Indexes
+from casebook.sources.stored import fingerprint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,11 +43,25 @@ def on_view(body: str, *tables: str) -> str:
 
 ev = forensic_view
 START, END = datetime(2024, 1, 5), datetime(2024, 1, 12)
+INDEX_BUCKETS = 16
 WINDOW = "occurred_at >= timestamp '2024-01-05' and occurred_at < timestamp '2024-01-12'"
 SHOWN = ("event_id", "event_type", "severity", "occurred_at", "actor_id", "source_id")
 SHOWN_SQL = "event_id, event_type, severity, occurred_at, actor_id, source_id"
 
 
+_BUILT: dict[tuple[str, str], Indexes] = {}
+
+
+def _indexes(spark: SparkSession, sf_dir: str) -> Indexes:
+    """The stored indexes of the events of a folder: written once a session, in the shared folder, for the files as they are."""
+    key = spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/events.parquet")
+    if key not in _BUILT:
+        made = Indexes(f"{shared_dir(spark)}/indexes-{key[1]}-{uuid.uuid4().hex}", buckets=INDEX_BUCKETS)
+        made.update(ev(spark, sf_dir), 0)
+        _BUILT[key] = made
+    return _BUILT[key]
+
+
 # ---- filters and pages ---------------------------------------------------------------------------
 
 
@@ -94,12 +111,28 @@ def event_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(on_view(f"select count(*) as total from ev where list_has_all({_WORDS}, ['user', 'file.access'])"))
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.total(ev(spark, sf_dir), "  File.Access USER ")
+    return search.indexed_total(_indexes(spark, sf_dir).postings, spark, "  File.Access USER ")
 
 
 @query(on_view(f"select {SHOWN_SQL} from ev where list_has_all({_WORDS}, ['user', 'file.access']) order by occurred_at desc, event_id desc limit 20 offset 40"))
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.page(ev(spark, sf_dir), "file.access user", offset=40).select(*SHOWN)
+    return search.indexed_page(_indexes(spark, sf_dir).postings, ev(spark, sf_dir), "file.access user", offset=40).select(*SHOWN)
+
+
+@query(on_view(f"select count(*) as total from ev where {WINDOW} and list_has_all({_WORDS}, ['user', 'file.access', 'host-3'])"))
+def search_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.total(ev(spark, sf_dir), "host-3 file.access user", START, END)
+
+
+@query(on_view(f"select event_id, occurred_at from ev where {WINDOW} and list_has_all({_WORDS}, ['user', 'file.access', 'host-3'])"))
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.indexed_hits(_indexes(spark, sf_dir).postings, spark, "host-3 file.access user", START, END)
+
+
+@query(on_view(f"select lexeme, count(*) as n_events, min(occurred_at) as first_at, max(occurred_at) as last_at from (select event_id, occurred_at, unnest({_WORDS}) as lexeme from ev) where lexeme <> '' group by lexeme"))
+def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _indexes(spark, sf_dir).postings.read(spark).select("lexeme", F.explode("ids").alias("x"))
+    return ids.groupBy("lexeme").agg(F.count("*").alias("n_events"), F.min("x.at").alias("first_at"), F.max("x.at").alias("last_at"))
 
 
 @query(on_view(f"select lexeme, count(*) as n_events from (select event_id, unnest({_WORDS}) as lexeme from ev) where lexeme <> '' group by lexeme"))
@@ -181,6 +214,20 @@ def raw_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).select("raw_event_id", blake3(F.col("content")).alias("blake3"))
 
 
+#: BLAKE3 of each event type.
+_TYPE_HASHES = {
+    "auth.login": "2808350c9057f38db28ace09a9c01267c8ba2af0000ab980f52c4842281ec763", "auth.login_failed": "cdebb1668137b0bf6db9b14abc1636157bf6588106ee73085263f8c7c122caa7",
+    "data.export": "be47d9a439e32017640b7b1ec0474c67157f9b30dba8a497daee23bda8b428f8", "deploy.release": "0e968c3fc8db09255f449aa1f225bcd45547703e4c1506be7228948c09b5c1dd",
+    "error.app": "9551dc76af2643ea234afb1dfff51cb5df965297c3c07469e7758ba0672fb3d6", "file.access": "160914b3cd3f8c369f6b3013c3c1126e847909b32927f4fd68ead369dbc37eac",
+    "ui.click": "e5c05326631ab4557cdc534bc0926bc45a1711550e60310c06aa613840b13f83",
+}
+
+
+@query(on_view(f"select event_id, case event_type {' '.join(f"when '{k}' then '{v}'" for k, v in _TYPE_HASHES.items())} end as type_hash from ev"))
+def type_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev(spark, sf_dir).select("event_id", blake3(F.encode("event_type", "UTF-8")).alias("type_hash"))
+
+
 def _json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.struct(
         "event_type", _iso().alias("occurred_at"), F.upper(T.severity_label("severity")).alias("severity"), F.struct(F.col("actor_id").alias("id"), F.col("actor_name").alias("name")).alias("actor"),
@@ -285,15 +332,18 @@ def corr_keys_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(on_view("select ev.event_id, ev.event_type, ev.occurred_at from ks join ev using (event_id, occurred_at) where key_type = 'ip' and key_value = '10.0.3.5' order by occurred_at desc, event_id desc limit 50", _KEYS_SQL))
 def corr_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = ev(spark, sf_dir)
-    return keys.lookup(keys.key_table(events), events, "ip", "10.0.3.5").select("event_id", "event_type", "occurred_at")
+    return keys.stored_lookup(_indexes(spark, sf_dir).keys, ev(spark, sf_dir), "ip", "10.0.3.5").select("event_id", "event_type", "occurred_at")
 
 
 @query(on_view("""select k.event_id, k.occurred_at, min(o.ord) as ord from ks o join ks k using (key_type, key_value) where o.event_id = 100 and k.event_id <> 100 group by all
     order by ord, occurred_at desc, event_id desc limit 50""", _KEYS_SQL))
 def corr_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = ev(spark, sf_dir)
-    return keys.related(keys.key_table(events), events, 100)
+    return keys.stored_related(_indexes(spark, sf_dir).keys, ev(spark, sf_dir), 100)
+
+
+@query(on_view("select event_id, occurred_at, ord, key_type, key_value from ks", _KEYS_SQL))
+def corr_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexes(spark, sf_dir).keys.read(spark).drop("batch")
 
 
 @query(on_view("select event_id, key_type, key_value, count(*) over (partition by key_type, key_value) - 1 as n_related from ks", _KEYS_SQL))
@@ -395,13 +445,56 @@ _STEPS_SQL = """steps as (select source_type as t, source as i, target_type as n
 
 @query(on_view("select t as entity_type, i as identifier, depth from near", _RELS_SQL, _STEPS_SQL))
 def entity_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighbourhood(_rels(spark, sf_dir), "host", "host-3", 2)
+    return graph.stored_neighbourhood(_indexes(spark, sf_dir).adjacency, spark, "host", "host-3", 2)
 
 
 @query(on_view("""select source_type, source, relationship, target_type, target, event_count from rels where (source_type, source) in (select (t, i) from l1 union all select ('host', 'host-3'))
     and (target_type, target) in (select (t, i) from l1 union all select ('host', 'host-3'))""", _RELS_SQL, _STEPS_SQL))
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.induced_edges(_rels(spark, sf_dir), "host", "host-3", 1).select("source_type", "source", "relationship", "target_type", "target", "event_count")
+    return graph.stored_edges(_indexes(spark, sf_dir).adjacency, spark, "host", "host-3", 1).select("source_type", "source", "relationship", "target_type", "target", "event_count")
+
+
+@query(on_view("select t as entity_type, i as identifier, depth from near", _RELS_SQL, _STEPS_SQL))
+def entity_graph_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbourhood(cut(_rels(spark, sf_dir)), "host", "host-3", 2)
+
+
+@query(on_view("select * from rels where (source_type = 'ip' and source = '10.0.3.5') or (target_type = 'ip' and target = '10.0.3.5') order by last_seen desc, source_type, source, relationship, target_type, target limit 500", _RELS_SQL))
+def entity_rels_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexes(spark, sf_dir).relationships_of(spark, "ip", "10.0.3.5")
+
+
+@query(on_view("select * from ents where entity_type = 'ip' and identifier = '10.0.3.5'", _SEEN_SQL, _ENTITIES_SQL))
+def entity_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexes(spark, sf_dir).entity(spark, "ip", "10.0.3.5")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> Indexes:
+    """Indexes of the events as a stream of three batches, of which the second is then run again and the first two are made one."""
+    made = Indexes(f"{shared_dir(spark)}/indexes-{uuid.uuid4().hex}", buckets=4)
+    events, folder = ev(spark, sf_dir), f"{made.path}-events"
+    third = lambda k: events.where(F.col("event_id") % 3 == k)
+    for k in range(3):
+        third(k).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = made.stream(stream, f"{made.path}-checkpoint")
+    query.awaitTermination()
+    numbers = made.entities.batches(spark)
+    again = made.keys.read(spark).where(F.col("batch") == numbers[1]).select("event_id")
+    made.update(cut(events.join(again.distinct(), "event_id", "left_semi")), numbers[1])
+    return made.compact(spark, numbers[1])
+
+
+@query(on_view("select e.*, f.first_ingested from ents e join (select entity_type, identifier, arg_min(occurred_at, event_id) as first_ingested from seen group by all) f using (entity_type, identifier)", _SEEN_SQL, _ENTITIES_SQL))
+def entity_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _streamed(spark, sf_dir)
+    arrived = made.entity_table(spark, first_by_ingest=True).select("entity_type", "identifier", F.col("first_seen").alias("first_ingested"))
+    return made.entity_table(spark).join(arrived, ["entity_type", "identifier"])
+
+
+@query(on_view("select * from rels", _RELS_SQL))
+def relationships_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir).relationships(spark)
 
 
 _CHAIN_SQL = """c0 as (select event_id, occurred_at from ev where event_id = 500),
@@ -420,6 +513,7 @@ def corr_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WEEK = 7 * 86_400
 EXFIL, BRUTE, DEPLOY = BUILT_IN
+RELEASED = Pattern("login_before_release", (Step("auth.login"), Step("deploy.*")), 2 * 86_400, False)
 CUSTOM = Pattern("slow_export", (Step("auth.*"), Step("file.access", 172_800), Step("data.export", 86_400)), 4 * 86_400)
 
 
@@ -468,6 +562,12 @@ _sequence("seq_bad_deploy", DEPLOY)
 _sequence("seq_custom", CUSTOM)
 
 
+@query(_sequence_sql(RELEASED))
+def seq_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stretch over the whole table, by pointer jumping."""
+    return _flat(sequences.detect(ev(spark, sf_dir), RELEASED, fold_limit=64))
+
+
 _SCAN_SQL = " union all ".join(f"select * from ({_sequence_sql(p)})" for p in (*BUILT_IN, CUSTOM))
 
 
@@ -487,9 +587,16 @@ def seq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.summary(events, sequences.scan(events))
 
 
-@query("select * from (values ('bad_deploy', 3, 1800, false), ('brute_force_success', 3, 600, true), ('data_exfiltration', 3, 3600, true)) t(name, n_steps, max_total_duration_secs, same_actor)")
+_FOUND_SQL = " union all ".join(f"select * from ({_sequence_sql(p)})" for p in BUILT_IN)
+
+
+@query(f"""select name, n_steps, max_total_duration_secs, same_actor, coalesce(n_detections, 0) as n_detections, first_at, last_at
+    from (values ('bad_deploy', 3, 1800, false), ('brute_force_success', 3, 600, true), ('data_exfiltration', 3, 3600, true)) t(name, n_steps, max_total_duration_secs, same_actor)
+    left join (select pattern as name, count(*) as n_detections, min(started_at) as first_at, max(ended_at) as last_at from ({_FOUND_SQL}) group by pattern) d using (name)""")
 def seq_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.pattern_table(spark).select("name", "n_steps", "max_total_duration_secs", "same_actor")
+    """The pattern table with what a scan stores for each pattern."""
+    table = sequences.pattern_table(spark).select("name", "n_steps", "max_total_duration_secs", "same_actor")
+    return sequences.with_detections(table, sequences.scan(ev(spark, sf_dir)))
 
 
 # ---- replay, cases, holds, bundles ---------------------------------------------------------------
@@ -609,6 +716,22 @@ def bundle_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.verify_cases(case_events, events, raw, records, signed, ed25519.public_key(seed))
 
 
+_TAMPERED_SQL = """shown as (select case_id, count(*) as n_events, sum(case when event_id % 20 = 0 then 1 else 0 end) as n_events_changed, sum(case when raw_event_id % 3 = 0 then 1 else 0 end) as n_raw_changed from files join raw using (raw_event_id) group by case_id)"""
+
+
+@query(on_view("""select case_id, n_events, 2 * n_events as n_files, cast(n_events_changed + n_raw_changed as bigint) as n_mismatched, n_events_changed + n_raw_changed = 0 as integrity_valid, n_events_changed + n_raw_changed = 0 as chain_valid, true as signature_valid
+    from shown""", _CASE_SQL, _RAW_SQL, _FILES_SQL, _TAMPERED_SQL))
+def bundle_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and payloads that changed after a case was sealed are found, and counted."""
+    case_events, events, raw = _bundled(spark, sf_dir)
+    seed = bytes(range(32))
+    records = cut(bundle.integrity(case_events, events, raw))
+    signed = bundle.sign_cases(bundle.sealed(case_events, records), seed)
+    events = events.withColumn("severity", F.when(F.col("event_id") % 20 == 0, 0).otherwise(F.col("severity")))
+    raw = raw.withColumn("content", F.when(F.col("raw_event_id") % 3 == 0, F.encode(F.lit("changed"), "UTF-8")).otherwise(F.col("content")))
+    return bundle.verify_cases(case_events, events, raw, records, signed, ed25519.public_key(seed))
+
+
 @query(on_view("select occurred_at, event_type as action, trim(actor_id) as actor, cast(event_id as varchar) as resource_id from ev where event_type = 'deploy.release' order by occurred_at desc, action, resource_id limit 50 offset 10"))
 def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casebook.operators import audit

@@ -22,9 +22,10 @@ from casebook.plans import registry as R
 from casebook.plans.adapter import full_events
 from casebook.plans.registry import ev, on_view, query
 from casebook.plans.storage import shared_dir
-from casebook.schema import ENTITY_TYPES
+from casebook.plans.session import table
+from casebook.schema import ENTITY_TYPES, SEARCH_BYTES
 from casebook.sources import files, parsers
-from casebook.streaming import ingest, online
+from casebook.streaming import ingest, online, slots
 from casebook.workspace import Workspace
 
 DAY = datetime(2025, 3, 1)
@@ -193,28 +194,35 @@ def export_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- holds ---------------------------------------------------------------------------------------
 
 
-def _holds(spark: SparkSession) -> tuple[Holds, list[str]]:
-    made = Holds(spark, _folder(spark))
-    kinds = (("week", "time_range", {"start": "2024-01-05", "end": "2024-01-12"}), ("box", "entity", {"entity_type": "device", "identifier": "dev-7"}), ("exports", "query", {"min_severity": 3}))
-    return made, [made.create(n, k, c, "gate", DAY + timedelta(hours=h)) for h, (n, k, c) in enumerate(kinds)]
+def _held(spark: SparkSession, sf_dir: str) -> tuple[Workspace, dict[str, str]]:
+    """A workspace of all events with three holds that are created and materialised: of a week, of a device, of a query. Names and ids of the holds."""
+    w = Workspace(spark, _folder(spark))
+    files.write_events(full_events(ev(spark, sf_dir)), f"{w.path}/events")
+    kinds = (("week", "time_range", {"start": R.START.isoformat(), "end": R.END.isoformat()}), ("box", "entity", {"entity_type": "device", "identifier": "dev-7"}), ("grave", "query", {"min_severity": 3}))
+    made = {name: w.holds.create(name, kind, criteria, "gate", DAY + timedelta(hours=h)) for h, (name, kind, criteria) in enumerate(kinds)}
+    for hold in made.values():
+        w.materialise(hold)
+    return w, made
 
 
-_HOLDS_SQL = """h(name, hold_type, criteria, status, created_at) as (values
-    ('week', 'time_range', '{"end": "2024-01-12", "start": "2024-01-05"}', 'active', timestamp '2025-03-01 00:00:00'),
-    ('box', 'entity', '{"entity_type": "device", "identifier": "dev-7"}', 'active', timestamp '2025-03-01 01:00:00'),
-    ('exports', 'query', '{"min_severity": 3}', 'active', timestamp '2025-03-01 02:00:00'))"""
+_HELD_SQL = f"""held as (select 'week' as name, event_id from ev where {R.WINDOW.replace(' < ', ' <= ')} union all select distinct 'box', event_id from seen where entity_type = 'device' and identifier = 'dev-7'
+    union all select 'grave', event_id from ev where severity >= 3)"""
 
 
-@query(f"with {_HOLDS_SQL} select * from h order by created_at desc limit 2")
+@query(on_view("""select name, hold_type, 'active' as status, created_at, count(event_id) as n_events from held join (values ('week', 'time_range', timestamp '2025-03-01 00:00:00'), ('box', 'entity', timestamp '2025-03-01 01:00:00'),
+    ('grave', 'query', timestamp '2025-03-01 02:00:00')) t(name, hold_type, created_at) using (name) group by all""", R._SEEN_SQL, _HELD_SQL))
 def hold_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _holds(spark)[0].listed("active", 2).select("name", "hold_type", "criteria", "status", "created_at")
+    """Holds from their creation to the events they hold."""
+    w, _ = _held(spark, sf_dir)
+    return w.holds.listed("active").join(holds.counts(w.hold_events()), "hold_id").select("name", "hold_type", "status", "created_at", "n_events")
 
 
-@query(f"with {_HOLDS_SQL} select name, case name when 'box' then 'released' else status end as status, case name when 'box' then timestamp '2025-03-02' end as released_at from h")
+@query(on_view("select event_id, occurred_at, severity from ev where event_id in (select event_id from held where name <> 'grave')", R._SEEN_SQL, _HELD_SQL))
 def hold_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, ids = _holds(spark)
-    made.release(ids[1], datetime(2025, 3, 2))
-    return made.holds.read().select("name", "status", "released_at")
+    """What is still held once one of the holds is released."""
+    w, made = _held(spark, sf_dir)
+    w.holds.release(made["grave"], datetime(2025, 3, 2))
+    return holds.held_events(w.events(), w.hold_events(), w.holds.holds.read()).select("event_id", "occurred_at", "severity")
 
 
 @query(on_view(f"select 'week' as hold_id, event_id from ev where {R.WINDOW.replace(' < ', ' <= ')} and event_id % 3 <> 0"))
@@ -248,10 +256,12 @@ def entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("select * from (values (0, 'user'), (1, 'a b'), (2, repeat('é', 250)), (3, 'x' || repeat('é', 249)), (4, repeat('漢', 166)), (5, '')) t(k, cleaned)")
+@query("""with trimmed as (select doc_id, regexp_replace(text, '^[\\s\\v]+|[\\s\\v]+$', '', 'g') as t from documents),
+    sized as (select doc_id, t, max(k) as n from trimmed, range(0, 501) r(k) where strlen(left(t, cast(k as bigint))) <= 500 group by all)
+    select doc_id, left(t, cast(n as bigint)) as cleaned from sized""")
 def search_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = ("  user \t", "a b\n", "é" * 300, "x" + "é" * 300, "漢" * 200, "   ")
-    return spark.createDataFrame([(k, T.search_text(q, 500)) for k, q in enumerate(asked)], "k int, cleaned string")
+    """Every document's text as a search query: trimmed, and cut to the limit of bytes at a character."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.search_text_of("text", SEARCH_BYTES).alias("cleaned"))
 
 
 def _met_sql(level: int, before: str) -> str:
@@ -294,6 +304,59 @@ def stream_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(online.OUT).parquet(f"{path}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")})
 
 
+def _stream_of(spark: SparkSession, events: DataFrame, path: str) -> DataFrame:
+    """The events as a stream of five files: thirds of their time, and two later events that close what waits for the watermark."""
+    lo, hi = events.agg(F.min("occurred_at"), F.max("occurred_at")).first()
+    third = F.when(F.col("occurred_at") < lo + (hi - lo) / 3, 0).when(F.col("occurred_at") < lo + (hi - lo) * 2 / 3, 1).otherwise(2)
+    for k in range(3):
+        events.where(third == k).coalesce(1).write.mode("append").parquet(path)
+    for days in (30, 31):
+        last = {c: F.lit(None).cast(t) for c, t in events.dtypes} | {"event_id": F.lit(-days).cast("long"), "event_type": F.lit("stream.closed"), "occurred_at": F.lit(hi + timedelta(days=days)).cast("timestamp_ntz")}
+        if "actor_id" in last:
+            last["actor_id"] = F.lit("closing")
+        spark.range(1).select(*(last[c].alias(c) for c in events.columns)).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(R._sequence_sql(R.DEPLOY))
+def stream_deploys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern over all actors, online: state by time slot."""
+    path = _folder(spark)
+    rows = _stream_of(spark, ev(spark, sf_dir).select("event_id", "event_type", "occurred_at", "actor_id"), f"{path}/in")
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", slots.PROVIDER)
+    try:
+        slots.collect(slots.candidates(rows, R.DEPLOY), f"{path}/out", f"{path}/state").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    return R._flat(slots.matches(spark, f"{path}/out", R.DEPLOY))
+
+
+_SESSIONS_SQL = """timed as (select trim(actor_id) as actor_id, occurred_at, event_id, lag(occurred_at) over (partition by trim(actor_id) order by occurred_at, event_id) as before from ev where trim(actor_id) <> ''),
+    marked as (select *, sum(case when before is null or occurred_at - before > interval 6 hour then 1 else 0 end) over (partition by actor_id order by occurred_at, event_id) as n from timed)"""
+
+
+@query(on_view("select actor_id, min(occurred_at) as started_at, max(occurred_at) as ended_at, count(*) as n_events from marked group by actor_id, n", _SESSIONS_SQL))
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session windows by actor over a bounded stream."""
+    path = _folder(spark)
+    rows = _stream_of(spark, ev(spark, sf_dir).select("event_id", "event_type", "occurred_at", "actor_id"), f"{path}/in")
+    found = ingest.sessions(rows, "6 hours")
+    found.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/out").where("actor_id <> 'closing'")
+
+
+@query(on_view("""select distinct r.event_id as from_id, s.event_id, s.entity_type, s.identifier from ev r join seen o on o.event_id = r.event_id join seen s using (entity_type, identifier)
+    where r.event_type = 'deploy.release' and s.event_id <> r.event_id and s.occurred_at >= r.occurred_at - interval 600 second and s.occurred_at < r.occurred_at + interval 600 second""", R._SEEN_SQL))
+def stream_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What shares an entity with a release within ten minutes before and after it, by a join of two streams."""
+    path = _folder(spark)
+    rows = _stream_of(spark, ev(spark, sf_dir), f"{path}/in")
+    found = ingest.linked(rows, rows.where("event_type = 'deploy.release' or event_type = 'stream.closed'"), 1200)
+    found.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/out").where("from_id >= 0 and event_id >= 0")
+
+
 # ---- fixed values: published test vectors --------------------------------------------------------
 
 

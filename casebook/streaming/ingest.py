@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from casebook.functions.text import present
+from casebook.operators.entities import observations
 from casebook.operators.normalize import normalized, stored
 from casebook.sources import parsers
 from casebook.sources.files import content_type
@@ -58,3 +60,32 @@ def counted(events: DataFrame, window: str = "5 minutes", late: str = "10 minute
     """Events a window and type; with a watermark, so that state is bounded on a stream."""
     timed = events.withColumn("at", F.col("occurred_at").cast("timestamp")).withWatermark("at", late)
     return timed.groupBy(F.window("at", window), "event_type").agg(F.count("*").alias("n_events")).select("window.start", "window.end", "event_type", "n_events")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """actor_id, started_at, ended_at, n_events of each run of an actor's events with less than ``gap`` between neighbours.
+
+    On a stream a session is given out once the watermark has passed its last event by the gap; an event further behind than ``late`` is dropped, and counted (`late_rows`).
+    """
+    timed = events.select(present("actor_id").alias("actor_id"), F.col("occurred_at").cast("timestamp").alias("at")).where("actor_id is not null").withWatermark("at", late)
+    found = timed.groupBy("actor_id", F.session_window("at", gap).alias("w")).agg(F.min("at").alias("started_at"), F.max("at").alias("ended_at"), F.count("*").alias("n_events"))
+    return found.select("actor_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "ended_at")), "n_events")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows a query's operators have dropped, over all batches it still reports, because they came behind the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def linked(events: DataFrame, seeds: DataFrame, window_seconds: int, late: str = "1 hour") -> DataFrame:
+    """from_id, event_id, entity_type, identifier: what `graph.chain` finds one level from each of the seeds (events of the same stream or another), as both arrive.
+
+    Both sides have a watermark and the condition bounds the time between them, so each side's state is that of a window and the lateness, whatever the stream's length.
+    """
+    half = f"interval {window_seconds / 2:f} seconds"
+    sides = []
+    for df, id_name, at in ((events, "event_id", "at"), (seeds, "from_id", "from_at")):
+        seen = observations(df).select(F.col("event_id").alias(id_name), F.col("entity_type").alias(f"{at}_type"), F.col("identifier").alias(f"{at}_identifier"), F.col("occurred_at").cast("timestamp").alias(at))
+        sides.append(seen.withWatermark(at, late))
+    near = F.expr(f"at_type = from_at_type and at_identifier = from_at_identifier and event_id <> from_id and at >= from_at - {half} and at < from_at + {half}")
+    return sides[0].join(sides[1], near).select("from_id", "event_id", F.col("at_type").alias("entity_type"), F.col("at_identifier").alias("identifier"))

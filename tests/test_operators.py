@@ -10,6 +10,9 @@ from casebook.functions import ed25519, hashing, text
 from casebook.operators import bundle, cases, entities, export, graph, holds, keys, normalize, replay, search, sequences, timeline
 from casebook.operators.sequences import BUILT_IN, Pattern, Step
 from casebook.operators.timeline import Filters
+from casebook.sources.indexes import Indexes
+from casebook.sources.stored import StoredTable
+from tests.plain import blake3_plain, greedy
 
 T0 = datetime(2026, 1, 1)
 EVENT = "event_id long, raw_event_id long, event_type string, severity int, occurred_at timestamp_ntz, actor_id string, actor_name string, src_ip string, dst_ip string, device_id string, hostname string, source_id string, tags array<string>, custom_fields string"
@@ -65,8 +68,22 @@ def test_sequences_match_the_greedy_search(spark, same_actor):
         p = Pattern("p", tuple(Step(rng.choice(["x", "y", "z*", "*"]), rng.choice([None, 5, 40])) for _ in range(rng.randint(1, 4))), rng.choice([0, 10, 60, 1000]), same_actor)
         ordered = sorted(((r["occurred_at"], k, r["event_type"], (r["actor_id"] or "").strip()) for k, r in enumerate(rows, 1)))
         groups = sorted({x[3] for x in ordered} - {""}) if same_actor else [None]
-        expected = sorted(m for g in groups for m in sequences.greedy([x[:3] for x in ordered if g is None or x[3] == g], p))
-        assert sorted(r.event_ids for r in sequences.detect(df, p).collect()) == expected, (trial, p)
+        expected = sorted(m for g in groups for m in greedy([x[:3] for x in ordered if g is None or x[3] == g], p))
+        for limit in (4096, 3):  # by folds, and by pointer jumping
+            assert sorted(r.event_ids for r in sequences.detect(df, p, limit).collect()) == expected, (trial, p, limit)
+
+
+def test_one_long_stretch(spark):
+    """Every event starts a candidate that overlaps the next ones, over many slots: pointers are followed in log rounds."""
+    rng = random.Random(4)
+    rows = [dict(event_type=rng.choice("xy"), occurred_at=T0 + timedelta(seconds=k * 3 + rng.randint(0, 2))) for k in range(1500)]
+    p = Pattern("p", (Step("*"), Step("x"), Step("y")), 60, False)
+    ordered = sorted((r["occurred_at"], k, r["event_type"]) for k, r in enumerate(rows, 1))
+    found = sequences.detect(events(spark, *rows), p, 10)
+    expected = greedy(ordered, p)
+    assert sorted(r.event_ids for r in found.collect()) == sorted(expected) and len(expected) > 200
+    stretch = sequences._stretches(sequences.candidates(events(spark, *rows), p).select("actor_id", "slot", "chain", F.col("chain")[0].alias("start"), F.element_at("chain", -1).alias("end")))
+    assert stretch.agg(F.max("n_part")).first()[0] > 1000
 
 
 def test_sequence_details(spark):
@@ -141,9 +158,14 @@ def test_normalized(spark):
     assert parts.actor is None and parts.network.src_ip == "10.0.0.1"
 
 
-def test_hashes():
+def test_hashes(spark):
     # known answers of the published specifications
     assert hashing.blake3_hex(b"") == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
+    sizes = [0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3072, 3073, 4096, 5121, 7 * 1024, 31 * 1024 + 5, 100_000]
+    items = [bytes((i * 7 + n) % 251 for i in range(n)) for n in sizes * 2]
+    assert hashing.blake3_many(items) == [blake3_plain(x) for x in items] and hashing.blake3_many([]) == []
+    rows = spark.createDataFrame([(None,), (bytearray(b"abc"),), (bytearray(),)], "b binary")
+    assert [r[0] for r in rows.select(hashing.blake3(F.col("b"))).collect()] == [None, hashing.blake3_hex(b"abc"), hashing.blake3_hex(b"")]
     assert hashing.blake3_hex(bytes(i % 251 for i in range(2049))).startswith("5f4d72f40d7a5f82")
     seed = bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60")
     assert ed25519.public_key(seed).hex() == "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a"
@@ -279,3 +301,134 @@ def test_written_tables_are_released(spark):
     assert os.path.isdir(path.removeprefix("file:"))
     storage.release(spark)
     assert not glob.glob(path.removeprefix("file:")) and not storage._WRITTEN
+
+
+# ---- stored indexes ------------------------------------------------------------------------------
+
+
+def random_events(spark, n, seed=1):
+    rng = random.Random(seed)
+    pick = lambda *values: rng.choice(values)
+    rows = [
+        dict(
+            event_type=pick("auth.login", "file.access"), occurred_at=T0 + timedelta(minutes=rng.randint(0, 600)), actor_id=pick(None, " a", "b", "C c"), actor_name=pick(None, "Ann", "Bo Li"), src_ip=pick(None, "1.1.1.1", "2.2.2.2"),
+            dst_ip=pick(None, "1.1.1.1"), device_id=pick(None, "d1", "d2"), hostname=pick("", "h 1", "h2"), custom_fields=pick("{}", '{"session": "b"}'),
+        )
+        for _ in range(n)
+    ]
+    return events(spark, *rows)
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
+    df = random_events(spark, 300).cache()
+    made = Indexes(str(tmp_path_factory.mktemp("indexes")), buckets=4)
+    for k in range(3):
+        made.update(df.where(F.col("event_id") % 3 == k), k)
+    return df, made
+
+
+def same(a, b):
+    return sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+
+def test_indexed_search(spark, indexed, monkeypatch):
+    df, made = indexed
+    for query in ("auth.login", "c AUTH.login", "bo li file.access h2", "nowhere", "s", "c c C"):
+        for start, end in ((None, None), (T0 + timedelta(minutes=90), T0 + timedelta(minutes=400))):
+            plain = search.found(df, query, start, end)
+            assert same(search.indexed_hits(made.postings, spark, query, start, end), plain)
+            assert same(search.indexed_total(made.postings, spark, query, start, end), search.total(df, query, start, end))
+            assert [r.event_id for r in search.indexed_page(made.postings, df, query, 5, 3, start, end).collect()] == [r.event_id for r in search.page(df, query, 5, 3, start, end).collect()]
+    with pytest.raises(ValidationError):
+        search.indexed_hits(made.postings, spark, "  ")
+    with pytest.raises(ValidationError):
+        search.indexed_page(made.postings, df, "s", 1, -1)
+    monkeypatch.setattr(search, "BLOCK", 7)
+    blocks = search.posting_lists(df)
+    assert blocks.agg(F.max("parts")).first()[0] > 1 and blocks.where("n <> size(ids)").count() == 0
+
+
+def test_index_of_small_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 5)
+    df = random_events(spark, 200, 7)
+    made = Indexes(str(tmp_path), buckets=2)
+    made.update(df.where("event_id <= 150"), 4)
+    made.update(df.where("event_id > 150"), 9)
+    made = made.compact(spark, 9)  # batches with different numbers of parts in one
+    assert made.postings.batches(spark) == [9]
+    assert same(search.indexed_hits(made.postings, spark, "s auth.login bo"), search.found(df, "s auth.login bo"))
+
+
+def scan_of(df):
+    """The file scans of a plan, with what they select."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in text.splitlines() if "FileScan" in line], text
+
+
+def test_lookups_read_their_buckets(spark, indexed):
+    df, made = indexed
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    # where nothing is gained from the order of buckets Spark reads their files as any others (so a large bucket is many tasks), but only those of the bucket
+    files = lambda rows: {r[0].rpartition("_")[2][:5] for r in rows.select(F.input_file_name()).distinct().collect()}
+    assert len(files(made.postings.of(spark, ["auth.login"]))) == 1 and len(files(made.postings.read(spark))) > 1
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        scans, _ = scan_of(search.indexed_hits(made.postings, spark, "auth.login"))
+        assert len(scans) == 1 and "SelectedBucketsCount: 1 out of 4" in scans[0]
+        scans, plan = scan_of(made.keys.of(spark, ["1.1.1.1"]).where("key_type = 'ip'").select("event_id", "occurred_at"))
+        assert "SelectedBucketsCount: 1 out of 4" in scans[0] and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    _, plan = scan_of(made.entity_table(spark))
+    assert "Exchange" not in plan  # parts of one entity share a bucket
+    got = {(r.event_id, r.ord) for r in keys.stored_related(made.keys, df, 5, 1000).collect()}
+    assert got == {(r.event_id, r.ord) for r in keys.related(keys.key_table(df), df, 5, 1000).collect()} and got
+    assert {r.event_id for r in keys.stored_related(made.keys, df, 5, 1, exact=True).collect()} <= {e for e, _ in got}
+    assert keys.stored_related(made.keys, df, 999_999).count() == 0
+    assert [r.event_id for r in keys.stored_lookup(made.keys, df, "ip", "1.1.1.1", 7).orderBy(F.desc("occurred_at"), F.desc("event_id")).collect()] == [r.event_id for r in keys.lookup(keys.key_table(df), df, "ip", "1.1.1.1", 7).collect()]
+
+
+def test_incremental_entities(spark, indexed):
+    """Any batches, one of them twice, and compacted ones give what all events give at once."""
+    df, made = indexed
+    seen, rels = entities.observations(df), entities.relationships(entities.relation_observations(df))
+    made.update(df.where("event_id % 3 = 1"), 1)
+    after = made.compact(spark, 1)
+    assert after.entities.batches(spark) == [1, 2] and after.entities.read(spark).where("batch = 1").groupBy("identifier", "entity_type").count().where("count > 1").count() == 0
+    for indexes in (made, after):
+        for by_ingest in (False, True):
+            assert same(indexes.entity_table(spark, by_ingest), entities.entities(seen, by_ingest))
+        assert same(indexes.relationships(spark), rels)
+        assert same(indexes.entity(spark, "ip", "1.1.1.1"), entities.one(entities.entities(seen), "ip", "1.1.1.1"))
+        assert same(indexes.relationships_of(spark, "ip", "1.1.1.1"), entities.relationships_of(rels, "ip", "1.1.1.1"))
+        assert same(entities.merged_relationships(indexes.adjacency.read(spark)), rels)
+
+
+def test_stored_graph(spark, indexed, monkeypatch):
+    df, made = indexed
+    rels = entities.relationships(entities.relation_observations(df))
+    for limit in (10_000, 1):  # by a filter, and by a join that does not shuffle the adjacency
+        monkeypatch.setattr(graph, "MAX_LITERALS", limit)
+        for depth in (1, 2, 3):
+            assert same(graph.stored_neighbourhood(made.adjacency, spark, "host", "h 1", depth), graph.neighbourhood(rels, "host", "h 1", depth))
+            assert same(graph.stored_edges(made.adjacency, spark, "host", "h 1", depth), graph.induced_edges(rels, "host", "h 1", depth))
+    assert graph.stored_neighbourhood(made.adjacency, spark, "host", "none", 2).count() == 0
+    with pytest.raises(ValidationError):
+        graph.stored_neighbourhood(made.adjacency, spark, "host", "h 1", 4)
+
+
+def test_stored_table(spark, tmp_path):
+    table = StoredTable(str(tmp_path / "t"), "k string, v long", "k", ("v",), 2)
+    assert table.read(spark).count() == 0 and table.batches(spark) == []
+    row = lambda *values: spark.createDataFrame([(v, n) for n, v in enumerate(values)], "k string, v long")
+    table.write(row("a", None, "b"), 3)
+    table.write(row("a"), 1)
+    table.write(row("c", "a"), 3)
+    assert sorted((str(r.k), r.batch) for r in table.read(spark).collect()) == [("a", 1), ("a", 3), ("c", 3)]
+    spark.sql(f"drop table {table.name}")  # another session knows only the folder
+    assert table.of(spark, ["a", "zz"]).count() == 2
+    with pytest.raises(ValidationError):
+        table.of(spark, ["x"] * 10_001)
+    assert "Exchange" not in table.read(spark).groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
