@@ -57,11 +57,11 @@ def induced_edges(edges: DataFrame, entity_type: str, identifier: str, depth: in
     return edges
 
 
-def _ends(adjacency: StoredTable, frontier: DataFrame) -> DataFrame:
-    """Adjacency rows of a frontier: only its buckets are read where it is small enough for a filter, else it is joined, and the adjacency is not shuffled."""
+def _ends(adjacency: StoredTable, frontier: DataFrame, known: list[str] | None = None) -> DataFrame:
+    """Adjacency rows of a frontier: only its buckets are read where it is small enough for a filter, else it is joined, and the adjacency is not shuffled. ``known``: its identifiers, if they are at hand."""
     spark = frontier.sparkSession
-    some = [r["identifier"] for r in frontier.select("identifier").distinct().limit(MAX_LITERALS + 1).collect()]
-    rows = adjacency.of(spark, some) if len(some) <= MAX_LITERALS else adjacency.read(spark)
+    some = known or [r["identifier"] for r in frontier.select("identifier").limit(MAX_LITERALS + 1).collect()]
+    rows = adjacency.of(spark, sorted(set(some))) if len(some) <= MAX_LITERALS else adjacency.read(spark)
     return rows.join(frontier.select(F.col("entity_type").alias("end_type"), F.col("identifier").alias("end")), ["end_type", "end"], "left_semi")
 
 
@@ -71,8 +71,11 @@ def stored_neighbourhood(adjacency: StoredTable, spark: SparkSession, entity_typ
         raise ValidationError(f"depth must be between 1 and {CHAIN_DEPTH}")
     reached = frontier = spark.createDataFrame([(entity_type, identifier, 0)], "entity_type string, identifier string, depth int")
     for level in range(1, depth + 1):
-        near = _ends(adjacency, frontier).select(F.col("other_type").alias("entity_type"), F.col("other").alias("identifier")).distinct()
-        frontier = cut(near.join(reached, ["entity_type", "identifier"], "left_anti").withColumn("depth", F.lit(level)))
+        rows = adjacency.of(spark, [identifier]).where(F.col("end_type") == entity_type) if level == 1 else _ends(adjacency, frontier)
+        near = rows.select(F.col("other_type").alias("entity_type"), F.col("other").alias("identifier")).distinct()
+        frontier = near.join(reached, ["entity_type", "identifier"], "left_anti").withColumn("depth", F.lit(level))
+        if level < depth:  # the last level is read once
+            frontier = cut(frontier)
         reached = reached.unionByName(frontier)
     return reached.where("depth > 0")
 

@@ -57,6 +57,12 @@ class Indexes:
         self.entities.write(entities.partial_entities(entities.observations(events)), batch)
         self.adjacency.write(entities.partial_adjacency(entities.relation_observations(events)), batch)
 
+    def rebuilt(self, spark: SparkSession, events: DataFrame) -> Indexes:
+        """New tables that hold ``events`` alone."""
+        new = Indexes(self.path, self.buckets, self.version + 1)
+        new.update(events, 0, with_hints=True)
+        return new
+
     def stream(self, events: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """Keeps the tables up to date with a stream of events; the stream's batch numbers are the tables'."""
         writer = events.writeStream.foreachBatch(lambda df, number: self.update(df, number)).option("checkpointLocation", checkpoint)

@@ -11,9 +11,9 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,6 +46,7 @@ CSV_HEADERS = {
     "src_ip": ("src_ip", "source_ip", "ip"), "dst_ip": ("dst_ip", "dest_ip", "destination_ip"),
     "hostname": ("hostname", "host"), "severity": ("severity", "level"),
 }
+FIELD_END, LINE_END = "\ufdd0", "\ufdd1"  # no characters of any text
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
@@ -148,36 +149,51 @@ def _quoted(text: Column) -> Column:
 # ---- CSV -----------------------------------------------------------------------------------------
 
 
-def _csv_rows(batches: Iterator[pd.DataFrame], carried: list[str]) -> Iterator[pd.DataFrame]:
-    column_of = {h: c for c, headers in CSV_HEADERS.items() for h in headers}
-    names = [*CSV_HEADERS, "custom_fields"]
-    for batch in batches:
-        out = []
-        for at, payload in zip(batch.index, batch["payload"], strict=True):
-            lines = list(csv.reader(io.StringIO(payload or "", newline=""), strict=False)) if payload else []
-            lines = [x for x in lines if x]
-            if not lines:
-                out.append((at, 0, "empty CSV input", *[None] * len(names)))
-            for k, line in enumerate(lines[1:]):
-                found, custom = {}, {}
-                for header, cell in zip(lines[0], line, strict=False):
-                    if cell := cell.strip():
-                        column = column_of.get(header.lower().strip())
-                        (found if column else custom)[column or header] = cell
-                out.append((at, k, None, *(found.get(c) for c in CSV_HEADERS), json.dumps(custom, sort_keys=True, separators=(",", ":"), ensure_ascii=False)))
-        rows = pd.DataFrame(out, columns=["at", "ordinal", "error", *names])
-        yield pd.concat([batch.loc[rows["at"], carried].reset_index(drop=True), rows.drop(columns="at").add_prefix("_")], axis=1)
+def _read_odd(payload: pd.Series) -> pd.Series:
+    """Records of payloads in which quotes stand elsewhere than around fields, by the standard reader; null for null."""
+    return payload.map(lambda p: None if p is None else [r for r in csv.reader(io.StringIO(p, newline=""), strict=False) if r])
+
+
+def csv_records(payload: Column) -> Column:
+    """array<array<string>>: the cells of all lines that are not empty, without their quotes.
+
+    Between quotes a comma or a line end is text. Split at its quotes, a payload has what is outside them at every other place, if every quote opens or closes a
+    field (or is doubled in one): separators are marked there, and the whole is split at the marks. The few payloads of other forms are read by `_read_odd`.
+    """
+    parts = F.split(payload, '"')
+    outside = F.filter(parts, lambda _, i: i % 2 == 0)
+    last = F.size(outside) - 1
+    middle = F.forall(F.transform(outside, lambda x, i: (x == "") | ((i == 0) | x.rlike(r"^[,\r\n]")) & ((i == last) | x.rlike(r"[,\r\n]\z"))), lambda ok: ok)
+    plain = (F.size(parts) % 2 == 1) & middle & ~payload.rlike(f"[{FIELD_END}{LINE_END}]")
+    marked = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, F.translate(x, ",\n\r", FIELD_END + LINE_END + LINE_END)).otherwise(x)), '"')
+    bare = lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    records = F.transform(F.filter(F.split(marked, LINE_END), lambda r: r != ""), lambda r: F.transform(F.split(r, FIELD_END), bare))
+    odd = F.pandas_udf(_read_odd, "array<array<string>>")(F.when(~plain, payload))
+    return F.when(plain, records).otherwise(odd)
 
 
 def parse_csv(df: DataFrame, now: Column | None = None) -> DataFrame:
-    """First row headers. A time that is missing or malformed is ``now``; the default type is csv.event."""
+    """First row headers. A time that is missing or malformed is ``now``; the default type is csv.event. Of columns for one field the last that is not blank counts."""
     carried = _carried(df)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in carried) + ", _ordinal int, _error string, " + ", ".join(f"_{c} string" for c in (*CSV_HEADERS, "custom_fields"))
-    rows = df.mapInPandas(partial(_csv_rows, carried=carried), shape).withColumnsRenamed({"_ordinal": "ordinal", "_error": "error"})
-    cell = {c: F.col(f"_{c}") for c in (*CSV_HEADERS, "custom_fields")}
+    rows = df.withColumn("_records", F.coalesce(csv_records(F.coalesce("payload", F.lit(""))), F.array().cast("array<array<string>>")))
+    rows = rows.withColumns({"_headers": F.coalesce(F.get("_records", F.lit(0)), F.array().cast("array<string>")), "_rest": F.slice("_records", F.lit(2), F.greatest(F.size("_records") - 1, F.lit(0)))})
+    # where each field's cells are is found once a payload
+    names = F.transform("_headers", lambda h: F.lower(trimmed(h)))
+    places = lambda test: F.filter(F.transform(names, lambda h, i: F.when(test(h), i)), lambda i: i.isNotNull())
+    at = {f"_at_{c}": places(lambda h, known=known: h.isin(*known)) for c, known in CSV_HEADERS.items()}
+    at["_at_custom"] = places(lambda h: ~h.isin(*(x for known in CSV_HEADERS.values() for x in known)))
+    none = F.col("_records") == F.array().cast("array<array<string>>")
+    rows = rows.withColumns(at).select(*carried, "_headers", *at, none.alias("_none"), F.posexplode(F.when(none, F.array(F.array().cast("array<string>"))).otherwise(F.col("_rest"))).alias("ordinal", "_cells"))
+    rows = rows.withColumns({"_cells": F.transform("_cells", trimmed), "error": F.when(F.col("_none"), "no line in the CSV payload")})
+    filled = lambda c: F.get(F.reverse(F.filter(F.transform(f"_at_{c}", lambda i: F.get(F.col("_cells"), i)), lambda x: x != "")), F.lit(0))
+    entries = F.filter(F.transform("_at_custom", lambda i: F.struct(F.get(F.col("_headers"), i).alias("k"), i.alias("i"), F.get(F.col("_cells"), i).alias("v"))), lambda e: e["v"] != "")
+    ordered = rows.withColumn("_entries", F.array_sort(entries))
+    kept = F.filter("_entries", lambda e, i: ~F.coalesce(F.get(F.col("_entries"), i + 1)["k"] == e["k"], F.lit(False)))
+    custom = F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda e: F.concat(_quoted(e["k"]), F.lit(":"), _quoted(e["v"]))), ","), F.lit("}"))
+    cell = {c: filled(c) for c in CSV_HEADERS} | {"custom_fields": custom}
     now = (F.current_timestamp() if now is None else now).cast("timestamp_ntz")
     return _finished(
-        rows, carried, **{c: v for c, v in cell.items() if c not in ("event_type", "occurred_at", "severity")}, event_type=F.coalesce(cell["event_type"], F.lit("csv.event")),
+        ordered, carried, **{c: v for c, v in cell.items() if c not in ("event_type", "occurred_at", "severity")}, event_type=F.coalesce(cell["event_type"], F.lit("csv.event")),
         occurred_at=F.coalesce(rfc3339(cell["occurred_at"]), now), severity=severity_of_name(cell["severity"]), hints=_hints(identity=cell["actor_id"], ip=cell["src_ip"], host=cell["hostname"]),
     )
 

@@ -17,6 +17,7 @@ from casebook.operators.entities import observations
 from casebook.operators.normalize import normalized, stored
 from casebook.sources import parsers
 from casebook.sources.files import content_type
+from casebook.sources.indexes import Indexes
 
 PAYLOAD = "path string, modificationTime timestamp, length long, content binary"
 
@@ -27,11 +28,11 @@ def payload_stream(spark: SparkSession, path: str, max_files: int = 1000) -> Dat
     return files.select("path", F.decode("content", "UTF-8").alias("payload"), content_type(F.col("path")).alias("content_type"), F.abs(F.xxhash64("path", "content")).alias("raw_event_id"))
 
 
-def ingest(payloads: DataFrame, out: str, checkpoint: str, now: Callable[[], Column] = lambda: F.current_timestamp().cast("timestamp_ntz"), parser_id: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+def ingest(payloads: DataFrame, out: str, checkpoint: str, now: Callable[[], Column] = lambda: F.current_timestamp().cast("timestamp_ntz"), parser_id: str | None = None, trigger: dict | None = None, indexes: Indexes | None = None) -> StreamingQuery:
     """Events to ``out/events`` (by date), their payloads to ``out/raw``, failed payloads and rejected rows to ``out/errors`` and ``out/rejected``.
 
     Each batch is a folder of its own that is overwritten if the batch is run again, so a restart repeats nothing.
-    A batch is parsed once: the parsed rows are written, and what is kept, rejected or failed is read from there.
+    A batch is parsed once: the parsed rows are written, and what is kept, rejected or failed is read from there. ``indexes`` are kept up to date with the events, by the same batch numbers.
     """
 
     def batch(df: DataFrame, number: int) -> None:
@@ -43,6 +44,8 @@ def ingest(payloads: DataFrame, out: str, checkpoint: str, now: Callable[[], Col
         parsed = df.sparkSession.read.schema(rows.schema).parquet(into("parsed"))
         good, bad = normalized(parsed.where("error is null"), now())
         stored(good).write.mode("overwrite").partitionBy("occurred_date").parquet(into("events"))
+        if indexes is not None:
+            indexes.update(df.sparkSession.read.schema(stored(good).schema).parquet(into("events")), number, with_hints=True)
         bad.select("raw_event_id", "ordinal", "rejected_because").write.mode("overwrite").parquet(into("rejected"))
         parsed.where("error is not null").select("raw_event_id", "ordinal", "error").write.mode("overwrite").parquet(into("errors"))
 

@@ -4,13 +4,15 @@
     w.ingest([b'{"event_type": ...}'], "application/json", source_id="idp")
     w.timeline(Filters(min_severity=3))
 
-Events and raw payloads are append-only tables partitioned by date; entities, relationships and keys are derived from
-the events when asked for. Every change is noted in the audit trail.
+Events and raw payloads are append-only tables partitioned by date. Entities, relationships, keys and search are derived from
+the events when asked for, or, with ``indexed=True``, answered from stored indexes that each ingest adds a batch to (`index` makes them for events that are there already).
+Every change is noted in the audit trail.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -27,6 +29,7 @@ from casebook.plans.state import StateTable
 from casebook.plans.storage import cut
 from casebook.schema import EVENT_COLUMNS
 from casebook.sources import files, parsers
+from casebook.sources.indexes import Indexes
 
 RAW = {
     "raw_event_id": "long", "content": "binary", "content_hash": "string", "content_type": "string", "byte_size": "int", "parser_id": "string",
@@ -47,8 +50,9 @@ def _now() -> datetime:
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, path: str, actor: str = "system"):
-        self.spark, self.path, self.actor = spark, path, actor
+    def __init__(self, spark: SparkSession, path: str, actor: str = "system", indexed: bool = False):
+        self.spark, self.path, self.actor, self.indexed = spark, path, actor, indexed
+        self.indexes = Indexes(f"{path}/indexes", buckets=16)
         self.cases, self.holds = Cases(spark, f"{path}/state"), Holds(spark, f"{path}/state")
         self.stored_patterns = StateTable(spark, f"{path}/state/patterns", PATTERN)
 
@@ -76,10 +80,20 @@ class Workspace:
     def observations(self) -> DataFrame:
         return entities.observations(self.events())
 
+    def index(self) -> None:
+        """Makes the stored indexes of all events, as one batch in the place of all others."""
+        self.indexes = self.indexes.rebuilt(self.spark, self.events())
+        self.indexed = True
+        self._noted("index", "events", self.indexes.version)
+
     def entity_table(self) -> DataFrame:
+        if self.indexed:
+            return self.indexes.entity_table(self.spark)
         return entities.entities(self.observations())
 
     def relationships(self) -> DataFrame:
+        if self.indexed:
+            return self.indexes.relationships(self.spark)
         return entities.relationships(entities.relation_observations(self.events()))
 
     # ---- ingest
@@ -101,6 +115,8 @@ class Workspace:
         good = cut(good)
         files.write_raw(raw.select(*(c for c in RAW if c != "received_date")), f"{self.path}/raw")
         files.write_events(good, f"{self.path}/events")
+        if self.indexed:
+            self.indexes.update(good, time.time_ns(), with_hints=True)
         self._noted("ingest", "source", source_id, content_type=parser_id)
         return good
 
@@ -120,10 +136,14 @@ class Workspace:
 
     def correlated(self, event_id: int, limit: int = 50) -> DataFrame:
         self.event(event_id)
+        if self.indexed:
+            return keys.stored_related(self.indexes.keys, self.events(), event_id, limit)
         return keys.related(self.keys(), self.events(), event_id, limit)
 
     def search(self, query: str, limit: int = 0, offset: int = 0) -> tuple[int, list]:
         found = self.events()
+        if self.indexed:
+            return search.indexed_total(self.indexes.postings, self.spark, query).first()["total"], search.indexed_page(self.indexes.postings, found, query, limit, offset).collect()
         return search.total(found, query).first()["total"], search.page(found, query, limit, offset).collect()
 
     def replay(self, start: datetime, end: datetime, speed: float = 1.0, source_id: str | None = None, entity: tuple[str, str] | None = None) -> Iterator[tuple]:
@@ -133,9 +153,11 @@ class Workspace:
     # ---- entities, chains, sequences
 
     def entity(self, entity_type: str, identifier: str) -> tuple[object, list]:
-        row = entities.one(self.entity_table(), entity_type, identifier).first()
+        row = (self.indexes.entity(self.spark, entity_type, identifier) if self.indexed else entities.one(self.entity_table(), entity_type, identifier)).first()
         if row is None:
             raise NotFoundError(f"entity {entity_type} {identifier!r} not found")
+        if self.indexed:
+            return row, self.indexes.relationships_of(self.spark, entity_type, identifier).collect()
         return row, entities.relationships_of(self.relationships(), entity_type, identifier).collect()
 
     def list_entities(self, entity_type: str | None = None, limit: int = 50) -> DataFrame:
@@ -148,6 +170,9 @@ class Workspace:
         return entities.timeline(self.observations(), self.events(), entity_type, identifier, start, end, limit)
 
     def entity_graph(self, entity_type: str, identifier: str, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+        if self.indexed:
+            asked = (self.indexes.adjacency, self.spark, entity_type, identifier, depth)
+            return graph.stored_neighbourhood(*asked), graph.stored_edges(*asked)
         edges = cut(self.relationships())
         return graph.neighbourhood(edges, entity_type, identifier, depth), graph.induced_edges(edges, entity_type, identifier, depth)
 

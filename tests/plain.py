@@ -67,3 +67,28 @@ def tree(data: bytes, counter: int, root: int) -> tuple:
 
 def blake3_plain(data: bytes) -> str:
     return struct.pack("<8I", *tree(data, 0, ROOT)).hex()
+
+
+# ---- CSV, line by line ---------------------------------------------------------------------------
+
+
+def csv_plain(payload):
+    """(found, custom) of each line but the headers; None for a payload without lines."""
+    import csv
+    import io
+
+    from casebook.sources.parsers import CSV_HEADERS
+
+    column_of = {h: c for c, headers in CSV_HEADERS.items() for h in headers}
+    lines = [x for x in csv.reader(io.StringIO(payload or "", newline=""), strict=False) if x]
+    if not lines:
+        return None
+    out = []
+    for line in lines[1:]:
+        found, custom = {}, {}
+        for header, cell in zip(lines[0], line, strict=False):
+            if cell := cell.strip():
+                column = column_of.get(header.lower().strip())
+                (found if column else custom)[column or header] = cell
+        out.append((found, custom))
+    return out

@@ -303,6 +303,33 @@ def test_written_tables_are_released(spark):
     assert not glob.glob(path.removeprefix("file:")) and not storage._WRITTEN
 
 
+def rows_scanned(df):
+    """How many rows the scan of a plan has given out, after running it."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_point_lookups_pass_over_row_groups(spark, tmp_path):
+    from casebook.sources import files
+
+    # ids in no order, so that their ranges exclude nothing
+    df = spark.range(20_000).select((F.pmod(F.col("id") * 7919, F.lit(20_011)) * 1_000_003).alias("event_id"), "id")
+    many = df.select("event_id", F.lit(1).cast("long").alias("raw_event_id"), F.lit("a").alias("event_type"), (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id"))).alias("occurred_at"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
+    spark.conf.set("parquet.block.size", "65536")
+    try:
+        files.write_events(many, str(tmp_path / "events"))
+        files.write_raw(many.select("raw_event_id", "content_hash", F.lit(T0).cast("timestamp_ntz").alias("received_at")), str(tmp_path / "raw"))
+    finally:
+        spark.conf.unset("parquet.block.size")
+    wanted = many.where(F.col("content_hash") == F.sha2(F.lit("12345"), 256)).first()
+    found = timeline.event_by_id(spark.read.parquet(str(tmp_path / "events")), wanted.event_id)
+    assert found.count() == 1 and rows_scanned(found) < 20_000 / 3
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    assert rows_scanned(raw.where(F.col("content_hash") == wanted.content_hash)) < 20_000 / 3
+    assert rows_scanned(raw.where("content_hash = 'none'")) == 0
+
+
 # ---- stored indexes ------------------------------------------------------------------------------
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casebook.errors import ParseError
 from casebook.sources import parsers
+from tests.plain import csv_plain
 
 NOW = datetime(2030, 1, 1)
 
@@ -98,3 +100,34 @@ def test_registry(spark):
     with pytest.raises(ParseError):
         parsers.raise_errors(parsers.parse(df))
     assert parsers.parse(df, registry=()).where("error is null").count() == 0
+
+
+def test_csv_against_the_standard_reader(spark):
+    """Quoted separators and line ends, doubled and misplaced quotes, short and long lines, repeated headers."""
+    rng = random.Random(9)
+    heads = ["type", " User", "user_id", "IP", "host", "note", "note", "other \"x\"", "", "é,ü"]
+    cells = ["", " ", "a", " b c ", "x,y", "two\nlines", 'say "hi"', '""', "10.0.0.1", "ß漢", "a\r\nb"]
+
+    def quoted(c):
+        return '"' + c.replace('"', '""') + '"' if rng.random() < 0.3 or set(c) & set(',"\r\n') else c
+
+    texts = ["", "\n\n", "type\n", "\n\ntype\r\na\r\n\r\nb", '"type"\n"a', 'type,x\na"b,c\n"d"e,f', 'a"', "﷐,type\n1,2", '"a""', "type,type\na,\n,b\n , "]
+    for _ in range(300):
+        n = rng.randint(1, 6)
+        lines = [[rng.choice(heads) for _ in range(n)]] + [[rng.choice(cells) for _ in range(rng.randint(1, 7))] for _ in range(rng.randint(0, 5))]
+        texts.append(rng.choice(["\n", "\r\n"]).join(",".join(quoted(c) for c in line) for line in lines) + rng.choice(["", "\n"]))
+        texts.append("".join(rng.choice('ab,"\n ') for _ in range(rng.randint(1, 25))))
+    df = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "k int, payload string")
+    got = {}
+    for r in parsers.parse_csv(df, now=F.lit(NOW).cast("timestamp_ntz")).orderBy("k", "ordinal").collect():
+        got.setdefault(r.k, []).append(r)
+    for k, text in enumerate([*texts, None]):
+        expected = csv_plain(text)
+        if expected is None:
+            assert [r.error is None for r in got[k]] == [False], text
+            continue
+        rows = got.get(k, [])
+        assert [r.ordinal for r in rows] == list(range(len(expected))) and all(r.error is None for r in rows), text
+        for r, (found, custom) in zip(rows, expected, strict=True):
+            assert (r.event_type, r.actor_id, r.src_ip, r.hostname) == (found.get("event_type", "csv.event"), found.get("actor_id"), found.get("src_ip"), found.get("hostname")), text
+            assert json.loads(r.custom_fields) == custom, text
