@@ -154,46 +154,55 @@ def _read_odd(payload: pd.Series) -> pd.Series:
     return payload.map(lambda p: None if p is None else [r for r in csv.reader(io.StringIO(p, newline=""), strict=False) if r])
 
 
-def csv_records(payload: Column) -> Column:
-    """array<array<string>>: the cells of all lines that are not empty, without their quotes.
+def _with(df: DataFrame, **columns: str) -> DataFrame:
+    """Adds columns written in SQL: long expressions are parsed at once, not built piece by piece."""
+    return df.selectExpr("*", *(f"{text} as {name}" for name, text in columns.items()))
+
+
+def csv_records(df: DataFrame) -> DataFrame:
+    """``df`` (with _p, a payload) with _records: the cells of all lines that are not empty, without their quotes.
 
     Between quotes a comma or a line end is text. Split at its quotes, a payload has what is outside them at every other place, if every quote opens or closes a
     field (or is doubled in one): separators are marked there, and the whole is split at the marks. The few payloads of other forms are read by `_read_odd`.
     """
-    parts = F.split(payload, '"')
-    outside = F.filter(parts, lambda _, i: i % 2 == 0)
-    last = F.size(outside) - 1
-    middle = F.forall(F.transform(outside, lambda x, i: (x == "") | ((i == 0) | x.rlike(r"^[,\r\n]")) & ((i == last) | x.rlike(r"[,\r\n]\z"))), lambda ok: ok)
-    plain = (F.size(parts) % 2 == 1) & middle & ~payload.rlike(f"[{FIELD_END}{LINE_END}]")
-    marked = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, F.translate(x, ",\n\r", FIELD_END + LINE_END + LINE_END)).otherwise(x)), '"')
-    bare = lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
-    records = F.transform(F.filter(F.split(marked, LINE_END), lambda r: r != ""), lambda r: F.transform(F.split(r, FIELD_END), bare))
-    odd = F.pandas_udf(_read_odd, "array<array<string>>")(F.when(~plain, payload))
-    return F.when(plain, records).otherwise(odd)
+    rows = _with(df, _parts="""split(_p, '"')""")
+    rows = _with(rows, _outside="filter(_parts, (x, i) -> i % 2 = 0)")
+    apart = r"forall(transform(_outside, (x, i) -> x = '' or ((i = 0 or x rlike r'^[,\r\n]') and (i = size(_outside) - 1 or x rlike r'[,\r\n]\z'))), ok -> ok)"
+    rows = _with(rows, _plain=f"size(_parts) % 2 = 1 and {apart} and not _p rlike '[{FIELD_END}{LINE_END}]'")
+    rows = _with(rows, _marked=f"""array_join(transform(_parts, (x, i) -> if(i % 2 = 0, translate(x, ',\\n\\r', '{FIELD_END}{LINE_END}{LINE_END}'), x)), '"')""")
+    bare = """if(startswith(c, '"'), replace(substring(c, 2, length(c) - 2), '""', '"'), c)"""
+    rows = rows.withColumn("_odd", F.pandas_udf(_read_odd, "array<array<string>>")(F.expr("if(_plain, null, _p)")))
+    found = f"if(_plain, transform(filter(split(_marked, '{LINE_END}'), r -> r <> ''), r -> transform(split(r, '{FIELD_END}'), c -> {bare})), _odd)"
+    return _with(rows, _records=found).drop("_parts", "_outside", "_plain", "_marked", "_odd")
 
 
 def parse_csv(df: DataFrame, now: Column | None = None) -> DataFrame:
     """First row headers. A time that is missing or malformed is ``now``; the default type is csv.event. Of columns for one field the last that is not blank counts."""
     carried = _carried(df)
-    rows = df.withColumn("_records", F.coalesce(csv_records(F.coalesce("payload", F.lit(""))), F.array().cast("array<array<string>>")))
-    rows = rows.withColumns({"_headers": F.coalesce(F.get("_records", F.lit(0)), F.array().cast("array<string>")), "_rest": F.slice("_records", F.lit(2), F.greatest(F.size("_records") - 1, F.lit(0)))})
+    trim = lambda text: f"regexp_replace({text}, r'(?U)^\\s+|\\s+$', '')"
+    listed = lambda names: ", ".join(f"'{n}'" for n in names)
+    rows = csv_records(df.select(*carried, F.coalesce("payload", F.lit("")).alias("_p"))).drop("_p")
+    rows = _with(rows, _headers="coalesce(get(_records, 0), cast(array() as array<string>))", _none="size(_records) = 0", _rest="slice(_records, 2, greatest(size(_records) - 1, 0))")
+    rows = _with(rows, _names=f"transform(_headers, h -> lower({trim('h')}))")
     # where each field's cells are is found once a payload
-    names = F.transform("_headers", lambda h: F.lower(trimmed(h)))
-    places = lambda test: F.filter(F.transform(names, lambda h, i: F.when(test(h), i)), lambda i: i.isNotNull())
-    at = {f"_at_{c}": places(lambda h, known=known: h.isin(*known)) for c, known in CSV_HEADERS.items()}
-    at["_at_custom"] = places(lambda h: ~h.isin(*(x for known in CSV_HEADERS.values() for x in known)))
-    none = F.col("_records") == F.array().cast("array<array<string>>")
-    rows = rows.withColumns(at).select(*carried, "_headers", *at, none.alias("_none"), F.posexplode(F.when(none, F.array(F.array().cast("array<string>"))).otherwise(F.col("_rest"))).alias("ordinal", "_cells"))
-    rows = rows.withColumns({"_cells": F.transform("_cells", trimmed), "error": F.when(F.col("_none"), "no line in the CSV payload")})
-    filled = lambda c: F.get(F.reverse(F.filter(F.transform(f"_at_{c}", lambda i: F.get(F.col("_cells"), i)), lambda x: x != "")), F.lit(0))
-    entries = F.filter(F.transform("_at_custom", lambda i: F.struct(F.get(F.col("_headers"), i).alias("k"), i.alias("i"), F.get(F.col("_cells"), i).alias("v"))), lambda e: e["v"] != "")
-    ordered = rows.withColumn("_entries", F.array_sort(entries))
-    kept = F.filter("_entries", lambda e, i: ~F.coalesce(F.get(F.col("_entries"), i + 1)["k"] == e["k"], F.lit(False)))
-    custom = F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda e: F.concat(_quoted(e["k"]), F.lit(":"), _quoted(e["v"]))), ","), F.lit("}"))
-    cell = {c: filled(c) for c in CSV_HEADERS} | {"custom_fields": custom}
+    places = lambda test: f"filter(transform(_names, (h, i) -> if({test}, i, null)), i -> i is not null)"
+    at = {f"_at_{c}": places(f"h in ({listed(known)})") for c, known in CSV_HEADERS.items()}
+    at["_at_custom"] = places(f"h not in ({listed(x for known in CSV_HEADERS.values() for x in known)})")
+    rows = _with(rows, **at, _lines="if(_none, array(cast(array() as array<string>)), _rest)")
+    rows = rows.select(*carried, "_headers", *at, "_none", F.posexplode("_lines").alias("ordinal", "_line"))
+    rows = _with(rows, _cells=f"transform(_line, c -> {trim('c')})", error="if(_none, 'no line in the CSV payload', null)")
+    # sorted by header and place: of equal headers the last stays
+    rows = _with(rows, _entries="array_sort(filter(transform(_at_custom, i -> struct(get(_headers, i) as k, i as i, get(_cells, i) as v)), e -> e.v <> ''))")
+    rows = _with(rows, _kept="filter(_entries, (e, i) -> not coalesce(get(_entries, i + 1).k = e.k, false))")
+    quoted = lambda text: f"""regexp_extract(to_json(struct({text} as x)), r'(?s)^\\{{"x":(.*)\\}}$', 1)"""
+    cell = {c: F.col(f"_{c}") for c in (*CSV_HEADERS, "custom_fields")}
+    rows = _with(
+        rows, **{f"_{c}": f"get(reverse(filter(transform(_at_{c}, i -> get(_cells, i)), x -> x <> '')), 0)" for c in CSV_HEADERS},
+        _custom_fields=f"concat('{{', array_join(transform(_kept, e -> concat({quoted('e.k')}, ':', {quoted('e.v')})), ','), '}}')",
+    )
     now = (F.current_timestamp() if now is None else now).cast("timestamp_ntz")
     return _finished(
-        ordered, carried, **{c: v for c, v in cell.items() if c not in ("event_type", "occurred_at", "severity")}, event_type=F.coalesce(cell["event_type"], F.lit("csv.event")),
+        rows, carried, **{c: v for c, v in cell.items() if c not in ("event_type", "occurred_at", "severity")}, event_type=F.coalesce(cell["event_type"], F.lit("csv.event")),
         occurred_at=F.coalesce(rfc3339(cell["occurred_at"]), now), severity=severity_of_name(cell["severity"]), hints=_hints(identity=cell["actor_id"], ip=cell["src_ip"], host=cell["hostname"]),
     )
 

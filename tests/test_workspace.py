@@ -14,9 +14,8 @@ def event(kind, second, **more):
     return json.dumps({"event_type": kind, "occurred_at": f"2026-01-01T00:00:{second:02d}Z", "actor": {"id": "u"}, "network": {"src_ip": "10.0.0.1"}} | more).encode()
 
 
-@pytest.mark.parametrize("indexed", [False, True])
-def test_an_investigation(spark, tmp_path, indexed):
-    w = Workspace(spark, str(tmp_path), "ann", indexed)
+def test_an_investigation(spark, tmp_path):
+    w = Workspace(spark, str(tmp_path), "ann")
     assert w.timeline() == ([], None) and w.entity_table().count() == 0 and w.scan_sequences() == 0
     w.ingest([event("auth.login", 1), event("file.access", 2), event("data.export", 3, severity="high")], "application/json", "idp")
     w.ingest([b"<35>1 2026-01-01T00:00:09Z gw sshd 1 - denied"], "text/syslog", "gw")
@@ -75,6 +74,6 @@ def test_indexes_of_events_that_are_there(spark, tmp_path):
     w.ingest([event("data.export", 3, actor={"id": " u "})], "application/json", "idp")
     found = w.timeline(Filters(event_types=["data.export"]))[0][0]
     assert w.search("idp")[0] == 3 and w.search("data.export")[1][0].event_id == found.event_id and w.entity("user", "u")[0].event_count == 3
-    assert w.correlated(found.event_id).count() == 2
+    assert w.correlated(found.event_id).count() == 2 and [x.count() for x in w.entity_graph("user", "u")] == [1, 1] and w.relationships().first().event_count == 3
     w.index()
     assert w.search("idp")[0] == 3 and w.entity_table().where("identifier = 'u'").first().event_count == 3
