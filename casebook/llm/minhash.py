@@ -13,8 +13,8 @@ large, is one class and costs one row.
   edges go from it to the others, so edges grow as the members, not as their square.
   Edges are confirmed on the whole sets.
 * What stars leave open: two spokes of a centre that are not in one component yet. The star
-  has told in which shingles each differs from the centre; `_rarest_edits` and `_met` join them on the rarest of these, without a text, and
-  loses no link. Members of one component need no further edge, so large groups of near copies stay cheap.
+  has told in which shingles each differs from the centre; `_meeting` and `_met` join them on the rarest of these, without a text, which
+  loses no link and lets spokes that share the centre's text alone never meet. Members of one component need no further edge, so large groups of near copies stay cheap.
 
 Components come from all confirmed links (`graph.components`).
 
@@ -131,7 +131,7 @@ def rows_of_band(percent: int) -> int:
     return max(1, max((r for r in range(1, ROWS + 1) if (1 - (percent / 100) ** r) ** BANDS < 1e-5), default=1))
 
 
-COMPARED = "a long, b long, linked boolean, n long, edits array<long>"
+COMPARED = "a long, b long, linked boolean, n long, own array<long>, lost array<long>"
 
 
 def _compared(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
@@ -143,14 +143,14 @@ def _compared(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator
             if a != last:
                 last, left = a, shingle(ta)
             right = shingle(tb)
-            edits = np.setxor1d(left, right, assume_unique=True)
-            n = len(left) + len(right)
-            out.append((a, b, 100 * (n - len(edits)) >= percent * (n + len(edits)), len(right), edits.view(np.int64)))
-        yield pd.DataFrame(out, columns=["a", "b", "linked", "n", "edits"])
+            own, lost = np.setdiff1d(right, left, assume_unique=True), np.setdiff1d(left, right, assume_unique=True)
+            n, apart = len(left) + len(right), len(own) + len(lost)
+            out.append((a, b, 100 * (n - apart) >= percent * (n + apart), len(right), own.view(np.int64), lost.view(np.int64)))
+        yield pd.DataFrame(out, columns=["a", "b", "linked", "n", "own", "lost"])
 
 
 def compared(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Whether the sets of the classes of each edge (a, b) are similar enough; b's size; in which shingles they differ."""
+    """Whether the sets of the classes of each edge (a, b) are similar enough; b's size; the shingles of b alone and those of a alone."""
     right = texts.withColumnsRenamed({"cls": "b", "text": "text_b"})
     left = texts.withColumnsRenamed({"cls": "a", "text": "text_a"})
     return edges.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(partial(_compared, k=k, percent=percent), COMPARED)
@@ -161,42 +161,57 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.withColumnsRenamed({"node": "b", "comp": "found"}), "b", "left").withColumn("comp", F.coalesce("found", "b")).drop("found")
 
 
-def _rarest_edits(spokes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """The rarest edits (a, edit) of the spokes b of each centre a whose spokes are in different components yet, with n and all edits.
+def _waiting(spokes: DataFrame, comps: DataFrame) -> DataFrame:
+    """The spokes of centres whose spokes are in different components yet."""
+    at = _labelled(spokes.select("a", "b", "n", "own", "lost"), comps)
+    open_ = at.groupBy("a").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("a")
+    return at.join(open_, "a").select("a", "b", "n", "own", "lost")
+
+
+def _meeting(waiting: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, kind, edit, asks, b, n): under which of their edits spokes b of one centre a meet.
 
     Two members x and y of a bucket are spokes of its centre, and their sets differ in exactly those shingles in which one of them, and not the
-    other, differs from the centre (its edits), in D say. D bounds how much the numbers of their edits differ, so at most D of
-    either's edits are not the other's. With each spoke's edits in one order, rarest first, two linked spokes
-    share one of their first D + 1, and D is bounded by either's size. Only spokes that do so need to meet, so members of a
-    bucket that have the bucket's common text alone in common are never paired.
+    other, differs from the centre (its edits: its own shingles, and those of the centre that it lost). Of a pair the smaller set, x, asks, and the other offers. To be linked
+    they must share m = 2 t |x| / (1 + t) shingles or more. Of what x has from the centre y can share no more than that, so the rest, r = m - |x| + own, is
+    among x's own shingles, which the centre lacks:
+
+    * If r is at least 1 (kind 0), x asks for the own - r + 1 rarest of its own shingles, of which y has one, and y offers all of its own. Members that have
+      the bucket's common text alone in common, however many, never meet: what the centre has is no key here.
+    * Else (kind 1) x is nearly a part of the centre, and asks and is offered by the rarest of all edits: x and y differ in D shingles at most, so at most D of either's edits are
+      not the other's, and linked ones share one of their first D + 1. D is bounded by either's size.
     """
-    at = _labelled(spokes.select("a", "b", "n", "edits"), comps)
-    open_ = at.groupBy("a").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("a")
-    waiting = written(at.join(open_, "a").select("a", "b", "n", "edits"))
-    each = waiting.select("a", "b", "n", F.explode("edits").alias("edit"))
+    flagged = lambda c, mine: F.transform(c, lambda e: F.struct(e.alias("edit"), F.lit(mine).alias("mine")))
+    each = waiting.select("a", "b", F.explode(F.concat(flagged("own", True), flagged("lost", False))).alias("x")).select("a", "b", "x.*")
     times = each.groupBy("a", "edit").agg(F.count("*").alias("times")).where("times > 1")
     # an edit that no other spoke has comes first and takes a place, but leads nowhere
-    rarest = each.join(times, ["a", "edit"], "left").groupBy("a", "b", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "edit"))).alias("ranked"))
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "edit", "mine")))
+    ranked = each.join(times, ["a", "edit"], "left").groupBy("a", "b").agg(order.alias("ranked"))
+    least = F.ceil(2 * percent * F.col("n") / (100 + percent) - 1e-9) - F.col("n") + F.size("own")
     first = F.floor(F.col("n") * (100 - percent) / percent).cast("int") + 2  # D is at most (1 - t) / (1 + t) of both sizes, of which the other is at most 1 / t of this one
-    shared = F.transform(F.filter(F.slice("ranked", F.lit(1), first), lambda x: x["times"] > 1), lambda x: x["edit"])
-    return rarest.select("a", "b", F.explode(shared).alias("edit")).join(waiting, ["a", "b"]).select("a", "edit", "b", "n", "edits")
-
-
-def _met(probes: DataFrame, comps: DataFrame, percent: int, star: bool) -> DataFrame:
-    """The links (a, b) between probes of one edit that are in different components: to the first of them alone (``star``), or all."""
-    rows = _labelled(probes, comps)
-    left, right = rows, rows.select(*(F.col(c).alias(c) for c in rows.columns)).alias("r")
+    rows = waiting.join(ranked, ["a", "b"]).select("a", "b", "n", least.cast("int").alias("r"), first.alias("first"), "ranked", F.filter("ranked", lambda x: x["mine"]).alias("own"))
+    rarest = F.slice("ranked", F.lit(1), F.col("first"))
+    asked = F.when(F.col("r") >= 1, F.slice("own", F.lit(1), F.greatest(F.size("own") - F.col("r") + 1, F.lit(0)))).otherwise(rarest)
+    keys = lambda xs, kind, asks: F.transform(F.filter(xs, lambda x: x["times"] > 1), lambda x: F.struct(kind.alias("kind"), x["edit"].alias("edit"), F.lit(asks).alias("asks")))
+    every = F.concat(keys(asked, F.when(F.col("r") >= 1, 0).otherwise(1), True), keys(F.col("own"), F.lit(0), False), keys(rarest, F.lit(1), False))
+    return rows.select("a", "b", "n", F.explode(every).alias("x")).select("a", "x.*", "b", "n")
+
+
+def _met(meeting: DataFrame, waiting: DataFrame, comps: DataFrame, percent: int, star: bool) -> DataFrame:
+    """The links (a, b) between spokes that meet and are in different components: of who asks with the first at its edit alone (``star``), or with all who offer it."""
+    rows = _labelled(meeting, comps)
+    x = rows.where("asks").select("a", "kind", "edit", F.col("b").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("comp_x"))
+    other = rows.where("not asks").select("a", "kind", "edit", F.col("b").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("comp_y"))
     if star:
-        left = rows.groupBy("a", "edit").agg(F.min(F.struct("b", "n", "comp", "edits")).alias("c")).select("a", "edit", "c.b", "c.n", "c.comp", "c.edits")
-    left = left.alias("l")
-    n = F.col("l.n") + F.col("r.n")
-    enough = lambda apart: 100 * (n - apart) >= percent * (n + apart)
-    differ = F.size("l.edits") + F.size("r.edits") - 2 * F.size(F.array_intersect("l.edits", "r.edits"))
-    pair = (
-        (F.col("l.a") == F.col("r.a")) & (F.col("l.edit") == F.col("r.edit")) & (F.col("l.b") < F.col("r.b")) & (F.col("l.comp") != F.col("r.comp"))
-        & enough(F.abs(F.size("l.edits") - F.size("r.edits"))) & enough(differ)
-    )
-    return left.join(right, pair).select(F.col("l.b").alias("a"), F.col("r.b").alias("b")).distinct()
+        other = other.groupBy("a", "kind", "edit").agg(F.min(F.struct("y", "n_y", "comp_y")).alias("c")).select("a", "kind", "edit", "c.*")
+    near = F.col("comp_x") != F.col("comp_y")
+    near = near & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) if star else near & (F.col("n_x") <= F.col("n_y")) & (100 * F.col("n_x") >= percent * F.col("n_y"))
+    pairs = x.join(other, ["a", "kind", "edit"]).where(near).select("a", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    of = lambda side: waiting.select("a", F.col("b").alias(side), F.col("n").alias(f"n_{side}"), F.concat("own", "lost").alias(f"edits_{side}"))
+    n = F.col("n_x") + F.col("n_y")
+    apart = F.size("edits_x") + F.size("edits_y") - 2 * F.size(F.array_intersect("edits_x", "edits_y"))
+    found = pairs.join(of("x"), ["a", "x"]).join(of("y"), ["a", "y"]).where(100 * (n - apart) >= percent * (n + apart))
+    return found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -231,10 +246,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = spokes.where("linked").select("a", "b")
     comps = components(linked)
 
-    probes = written(_rarest_edits(spokes, comps, percent))
-    # stars of the probes first, so that a group of near copies far from its centre is one component before all that is left is compared
+    waiting = written(_waiting(spokes, comps))
+    meeting = written(_meeting(waiting, percent))
+    # stars first, so that a group of near copies far from its centre is one component before all that is left is compared
     for star in (True, False):
-        further = written(_met(probes, comps, percent, star))
+        further = written(_met(meeting, waiting, comps, percent, star))
         if not further.isEmpty():
             linked = linked.union(further)
             comps = components(linked)

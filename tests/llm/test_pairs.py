@@ -73,6 +73,23 @@ def test_near_duplicates_of_one_template(spark, make):
     assert [got[i] for i in ids] == expected and 20 < len(set(expected)) < 110
 
 
+@pytest.mark.parametrize(("own", "many"), [(10, 400), (14, 400)])
+def test_documents_of_one_template_do_not_meet(spark, make, own, many):
+    """Pairs grow as the documents: 80 common words, some own ones, nothing linked, one star."""
+    rng = random.Random(own)
+    shared = words(rng, 80)
+    met = {}
+    for n in (many // 2, many):
+        docs = make([f"{shared} {words(rng, own)}" for _ in range(n)])
+        texts = docs.select(F.col("doc_id").alias("cls"), "text")
+        stars = spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        spokes = minhash.compared(stars, texts, 3, 85)
+        meeting = minhash._meeting(minhash._waiting(spokes, spark.createDataFrame([], "node long, comp long")), 85)
+        pairs = meeting.where("asks").alias("x").join(meeting.where("not asks").alias("y"), ["a", "kind", "edit"]).where("x.b <> y.b")
+        met[n] = pairs.count()
+    assert met[many] <= 10 * many and met[many] <= 3 * max(met[many // 2], many)
+
+
 def test_near_duplicates_edges(spark, make, odd_texts):
     twice = minhash.near_duplicates(make([odd_texts[9]] * 3 + [None], ids=[5, 5, 3, None])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in twice) == [("3", "3"), ("5", "3"), ("5", "3"), ("None", "None")]
