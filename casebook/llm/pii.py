@@ -55,7 +55,7 @@ GENERATORS = {
     "national_phone": r"(?<![0-9])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "assigned": r"(?i)(?<![A-Za-z0-9_])[A-Za-z0-9_]{0,32}(?:key|token|secret|passw[o0]rd|pwd|auth)[A-Za-z0-9_]{0,16} ?[=:] ?[\"']?[^\s\"']{6,}+[\"']?",
+    "assigned": r"(?i)(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]*?(?:key|token|secret|passw[o0]rd|pwd|auth))[A-Za-z0-9_]++ ?[=:] ?[\"']?[^\s\"']{6,}+[\"']?",
     "long_token": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])",
 }
 KINDS = (*BASE, *GENERATORS)
