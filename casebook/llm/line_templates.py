@@ -6,7 +6,7 @@ levels are the leading tokens, and a leaf holds the different masked lines that
 * In a leaf the commonest line is the centre, and so is the commonest line among those that agree in all even, or in all odd, tokens.
 * Similarity step: a line belongs to a centre's template if at least ``SIMILAR`` of its tokens are the centre's; where they differ the
   template has ``<*>``. A line may belong to several templates, and its own masked form is always one.
-* A template is recurring if it occurs in at least ``min_docs`` different documents. Documents whose lines all take the same paths through the tree
+* A template is recurring if it occurs in at least ``min_docs`` different documents. Documents with the same masked lines
   are copies of each other and count as one.
 * The lines of recurring templates are dropped, save in the first document (the smallest id, nulls last) that holds the template, and its copies.
   A document of which recurring lines hold ``COPY_SHARE`` of the characters or more is a near copy and not one with a passage in it; it
@@ -55,10 +55,10 @@ def path(line: Column, min_tokens: int = MIN_TOKENS) -> Column:
 
 
 def parsed(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, _text_hash, copy (the same for documents of the same paths), lines (`path` of each) of every row with a text."""
+    """doc_id, _text_hash, copy (the same for documents of the same masked lines), lines (`path` of each) of every row with a text."""
     lines = F.split(masked(F.col("text")), "\n", -1)
     trees = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_text_hash"), F.transform(lines, lambda x: path(x, min_tokens)).alias("lines"))
-    return trees.select("*", F.xxhash64(F.transform("lines", lambda x: x["leaf"])).alias("copy"))
+    return trees.select("*", F.xxhash64(F.transform("lines", lambda x: x["exact"])).alias("copy"))
 
 
 def centred(lines: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:

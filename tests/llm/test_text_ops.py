@@ -228,6 +228,14 @@ def test_long_secrets_are_redacted_whole(spark, make):
     assert [clean[k] for k in range(12)] == ["here [LONG_TOKEN] there"] * 6 + ["word [ASSIGNED] word"] * 6
 
 
+def test_secrets_with_long_names(spark, make):
+    value = "q7Rk2mZp9Wv4Lx8Tn3Bd6Hs1"
+    names = ["my_service_production_environment_eu_west_token", "secret_for_the_production_database_cluster", "token_abcdefghijklmnopqrst", "a" * 5000 + "_key"]
+    texts = [f"here {n} = {value} there" for n in names] + ["word " * 20 + "x" * 30_000]
+    got = {r.doc_id: [s.kind for s in r.added] for r in pii.detect(make(texts)).collect()}
+    assert all("assigned" in got[k] for k in range(4)) and got[4] == []
+
+
 def test_pii_is_calibrated():
     model, made = pii.fit(), pii.labelled(1200, seed=99)
     import numpy as np
@@ -517,7 +525,7 @@ def brute_line_templates(texts, ids=None, min_docs=None):
     lines = [[tuple(x for x in re.split(r"[ \t\n\x0b\f\r]+", re.sub(r"(?<!\S)[^\s0-9]*[0-9]\S*", "<*>", line, flags=re.A)) if x) for line in (t or "").split("\n")] for t in texts]
     lines = [[x if any(y != "<*>" for y in x) else None for x in own] for own in lines]
     leaf = lambda x: x and (len(x), x[: lt.DEPTH])
-    copy = [tuple(map(leaf, own)) for own in lines]
+    copy = [tuple(own) for own in lines]
     times, keys = Counter(x for own in lines for x in own if x), {}
     for x in times:
         for key in (leaf(x), (leaf(x), 0, x[::2]), (leaf(x), 1, x[1::2])):
@@ -564,6 +572,15 @@ def test_line_templates(spark, make, odd_texts):
     assert line_templates.clean(make([])).count() == 0
 
 
+def test_documents_of_the_same_paths_are_no_copies(spark, make):
+    """One boilerplate line in all, and an own line that starts alike and is as long: the boilerplate goes from all but one."""
+    rng = random.Random(3)
+    shared = words(rng, 15)
+    texts = [f"{shared}\non this day {words(rng, 40)}" for _ in range(30)]
+    got = [r.n_dropped for r in line_templates.drop_recurring(make(texts)).collect()]
+    assert sorted(got) == [0] + [1] * 29
+
+
 def test_line_templates_on_a_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = docs.collect()
