@@ -20,6 +20,11 @@ CSV_HEADER = "event_type,occurred_at,actor_id,source_id,severity,annotation"
 FORMATS = {"json": "json", "csv": "csv", "markdown": "markdown", "md": "markdown"}
 
 
+# Headings and notes of a Markdown report.
+TITLE, ABOUT, EVENTS, PINNED = "Investigation Report", "Description", "Event Timeline", "Pinned Events"
+NO_DESCRIPTION, NO_EVENTS, NO_NOTE = "_No description provided._", "_No events attached to this case._", "_No annotation_"
+
+
 @dataclass(frozen=True)
 class CaseHead:
     case_id: str
@@ -68,7 +73,7 @@ def markdown_lines(attached: DataFrame) -> DataFrame:
 
 
 def pinned_lines(attached: DataFrame) -> DataFrame:
-    note = F.coalesce(F.nullif(F.col("annotation"), F.lit("")), F.lit("_No annotation_"))
+    note = F.coalesce(F.nullif(F.col("annotation"), F.lit("")), F.lit(NO_NOTE))
     line = F.concat(F.lit("- **"), "event_type", F.lit("** ("), rfc3339_text("occurred_at"), F.lit("): "), note)
     return attached.withColumn("n", _place(attached)).where("pinned").select("case_id", "n", line.alias("line"))
 
@@ -98,13 +103,13 @@ def render(head: CaseHead, attached: DataFrame, name: str, exported_at: str) ->
         return json.dumps({"case": head.__dict__, "events": entries, "exported_at": exported_at}, indent=2)
     table, pinned = _lines(markdown_lines(attached)), _lines(pinned_lines(attached))
     out = [
-        f"# Investigation Report: {head.name}\n", f"**Status:** {head.status.capitalize()}  ", f"**Created by:** {head.created_by}  ",
-        f"**Created at:** {head.created_at}  ", f"**Exported at:** {exported_at}  \n", "## Description\n",
-        (head.description or "_No description provided._") + "\n", "## Event Timeline\n",
+        f"# {TITLE}: {head.name}\n", f"**Status:** {head.status.capitalize()}  ", f"**Created by:** {head.created_by}  ",
+        f"**Created at:** {head.created_at}  ", f"**Exported at:** {exported_at}  \n", f"## {ABOUT}\n",
+        (head.description or NO_DESCRIPTION) + "\n", f"## {EVENTS}\n",
     ]
     columns = ("#", "Event Type", "Occurred At", "Actor", "Source", "Severity", "Pinned", "Annotation")
     rows = [f"| {' | '.join(columns)} |", "|" + "|".join("-" * (len(c) + 2) for c in columns) + "|", *table]
-    out += ["\n".join(rows) + "\n"] if table else ["_No events attached to this case._\n"]
+    out += ["\n".join(rows) + "\n"] if table else [NO_EVENTS + "\n"]
     if pinned:
-        out += ["## Pinned Events\n", "\n".join(pinned) + "\n"]
+        out += [f"## {PINNED}\n", "\n".join(pinned) + "\n"]
     return "\n".join(out) + "\n"

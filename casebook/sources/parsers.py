@@ -110,7 +110,7 @@ def parse_json(df: DataFrame, now: Column | None = None) -> DataFrame:
     document = F.try_parse_json(body)
     is_list = F.startswith(body, F.lit("["))
     items = F.when(is_list, F.try_variant_get(document, "$", "array<variant>")).otherwise(F.array(document))
-    whole = F.when(F.coalesce(body, F.lit("")) == "", "empty input").when(document.isNull() | (~is_list & ~F.startswith(_kind(document), F.lit("OBJECT"))), "invalid JSON")
+    whole = F.when(F.coalesce(body, F.lit("")) == "", "the payload is blank").when(document.isNull() | (~is_list & ~F.startswith(_kind(document), F.lit("OBJECT"))), "invalid JSON")
     texts = ["$.severity", "$.observed_at", *(f"$.{p}.{k}" for p, fields in PARTS.items() for k in fields if not k.endswith("_port"))]
     names = "|".join(sorted({t.rsplit(".", 1)[1] for t in texts}))
     # one look at the item's schema: only if a field of such a name, anywhere, is no text do the fields themselves have to be looked at
@@ -223,8 +223,8 @@ def parse_syslog(df: DataFrame, now: Column | None = None, year: Column | None =
     kept = F.filter(F.transform(F.split("payload", r"\r?\n"), trimmed), lambda x: x != "")
     lines = F.coalesce(kept, F.array().cast("array<string>"))
     priority = lambda line: F.nullif(F.regexp_extract(line, PRIORITY, 1), F.lit("")).cast("int")
-    check = lambda line: F.when(priority(line).isNull() | (priority(line) > 191), "missing syslog priority")
-    rows = _opened(df, lines, F.when(F.size(lines) == 0, "no valid syslog messages found"), check, F.lit(""))
+    check = lambda line: F.when(priority(line).isNull() | (priority(line) > 191), "a line has no priority")
+    rows = _opened(df, lines, F.when(F.size(lines) == 0, "no line to parse"), check, F.lit(""))
     rows = rows.withColumnRenamed("_item", "_line").withColumn("_pri", priority(F.col("_line")))
     rows = rows.withColumn("_rest", F.regexp_replace("_line", PRIORITY, "")).withColumn("_body", F.ltrim("_rest"))
     rows = rows.withColumns({"_words": F.split("_body", " ", 7), "_is5424": F.rlike("_body", F.lit(RFC5424)), "_isbsd": F.rlike("_body", F.lit(BSD))})
@@ -261,7 +261,7 @@ def parse_webhook(df: DataFrame, now: Column | None = None) -> DataFrame:
     document = F.try_parse_json(body)
     is_list = F.startswith(body, F.lit("["))
     items = F.when(is_list, F.try_variant_get(document, "$", "array<variant>")).otherwise(F.array(document))
-    whole = F.when(F.coalesce(body, F.lit("")) == "", "empty input").when(document.isNull(), "invalid JSON")
+    whole = F.when(F.coalesce(body, F.lit("")) == "", "the payload is blank").when(document.isNull(), "invalid JSON")
 
     def moment(item: Column) -> Column:
         kind = _kind(_at(item, "$.timestamp"))
