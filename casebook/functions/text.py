@@ -102,6 +102,16 @@ def search_text_of(c: Column | str, max_bytes: int) -> Column:
     return F.when(F.octet_length(trimmed) <= max_bytes, trimmed).otherwise(F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8"))
 
 
+def comma_list(c: Column | str) -> Column:
+    """The items of a comma list, trimmed, without blank ones."""
+    return F.filter(F.transform(F.split(col(c), ","), trimmed), lambda x: x != "")
+
+
+def comma_items(text: str) -> list[str]:
+    """`comma_list` of one text on the driver."""
+    return [x.strip() for x in text.split(",") if x.strip()]
+
+
 def globbed(c: Column | str, pattern: str) -> Column:
     """``*`` stands for any text, everything else for itself."""
     return col(c).like(pattern.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%"))

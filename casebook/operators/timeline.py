@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.errors import NotFoundError, ValidationError
-from casebook.functions.text import canonical_ip, lexemes
+from casebook.functions.text import canonical_ip, comma_items, lexemes
 from casebook.schema import TIMELINE_LIMIT, TIMELINE_MAX
 
 SEARCHED = ("event_type", "source_id", "actor_id", "actor_name", "subject_id", "subject_name", "object_id", "object_name", "source_name", "hostname")
@@ -41,6 +41,11 @@ class Filters:
     search: str = ""
     tags: list[str] = field(default_factory=list)
 
+    @staticmethod
+    def of_text(event_types: str = "", tags: str = "", **more: object) -> Filters:
+        """Filters whose lists are written with commas."""
+        return Filters(event_types=comma_items(event_types), tags=comma_items(tags), **more)
+
 
 def encode_cursor(occurred_at: datetime, event_id: object) -> str:
     raw = f"{occurred_at.replace(tzinfo=occurred_at.tzinfo or UTC).isoformat()},{event_id}".encode()

@@ -88,6 +88,17 @@ _timeline(
 )
 
 
+@query(on_view(f"select {SHOWN_SQL} from ev where event_type in ('auth.login', 'data.export') and list_has_all(tags, ['hot', 'even'])"))
+def tl_comma_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.filtered(ev(spark, sf_dir), Filters.of_text(" auth.login,,data.export ", "hot, even,")).select(*SHOWN)
+
+
+@query(on_view("select event_id, source_id || '|' || event_type || '|' || array_to_string(tags, '|') as items from ev"))
+def comma_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = F.concat(F.lit(" "), "source_id", F.lit(" ,, "), "event_type", F.lit(","), F.array_join("tags", " , "), F.lit(","))
+    return ev(spark, sf_dir).select("event_id", F.array_join(T.comma_list(listed), "|").alias("items"))
+
+
 @query(on_view(f"select {SHOWN_SQL} from ev where {WINDOW} order by occurred_at, event_id limit 101"))
 def tl_page1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.page(ev(spark, sf_dir), Filters(start=START, end=END)).select(*SHOWN)
