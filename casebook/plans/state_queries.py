@@ -351,9 +351,15 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What shares an entity with a release within ten minutes before and after it, by a join of two streams."""
     path = _folder(spark)
-    rows = _stream_of(spark, ev(spark, sf_dir), f"{path}/in")
+    rows = _stream_of(spark, ev(spark, sf_dir).select("event_id", "event_type", "occurred_at", "actor_id", "actor_name", "src_ip", "dst_ip", "device_id", "hostname"), f"{path}/in")
     found = ingest.linked(rows, rows.where("event_type = 'deploy.release' or event_type = 'stream.closed'"), 1200)
-    found.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    # a join keeps four state stores a partition and writes each in every batch, so there are as many partitions as the cluster runs tasks
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    try:
+        found.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
     return spark.read.schema(found.schema).parquet(f"{path}/out").where("from_id >= 0 and event_id >= 0")
 
 

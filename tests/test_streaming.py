@@ -92,3 +92,20 @@ def test_late_events_are_counted(spark, tmp_path):
     assert q.awaitTermination(120)
     got = {(r.actor_id, r.started_at, r.ended_at, r.n_events) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("u", at(0), at(20), 2), ("v", at(600), at(610), 2)} and ingest.late_rows(q) == 1
+
+
+def test_linked_rows_meet_near_in_time(spark):
+    """The join has a time slot among its keys, so a hot host meets only what is near, and gives what the plain definition gives."""
+    import re
+
+    rng = random.Random(8)
+    schema = "event_id long, event_type string, occurred_at timestamp_ntz, actor_id string, actor_name string, src_ip string, dst_ip string, device_id string, hostname string"
+    rows = [(k, rng.choice("rx"), T0 + timedelta(seconds=rng.randint(-3600, 3600)), None, None, None, None, None, rng.choice("gh")) for k in range(150)]
+    rows += [(200 + k, "rx"[k % 2], T0 + timedelta(seconds=s), None, None, None, None, None, "g") for k, s in enumerate((0, 300, 600, -300, -600))]
+    events = spark.createDataFrame(rows, schema)
+    found = ingest.linked(events, events.where("event_type = 'r'"), 600)
+    half = timedelta(seconds=300)
+    want = sorted((r[0], s[0]) for r in rows for s in rows if r[1] == "r" and r[8] == s[8] and r[0] != s[0] and r[2] - half <= s[2] < r[2] + half)
+    assert sorted((r.from_id, r.event_id) for r in found.collect()) == want
+    keys = re.search(r"Join \[([^\]]*)\]", found._jdf.queryExecution().executedPlan().toString()).group(1)
+    assert "slot" in keys
