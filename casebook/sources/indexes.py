@@ -11,6 +11,7 @@ Entities and relationships are merged when they are read, without a shuffle of t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from casebook.operators import entities, keys, search
 from casebook.sources.stored import StoredTable
 
+TABLES = ("postings", "keys", "entities", "adjacency")
 SPREAD = 16  # tasks that write one bucket, where a key may have very many rows
 
 
@@ -50,12 +52,16 @@ class Indexes:
         columns = "end string, end_type string, other_type string, other string, relationship string, outgoing boolean, first_seen timestamp_ntz, last_seen timestamp_ntz, event_count long, sample_event_id long"
         return self._table("adjacency", columns, "end", "end_type", "other", spread=f"pmod(xxhash64(other), {SPREAD})")
 
-    def update(self, events: DataFrame, batch: int, with_hints: bool = False) -> None:
-        """Makes ``events`` what the tables hold of a batch."""
-        self.postings.write(search.posting_lists(events), batch)
-        self.keys.write(keys.key_table(events, with_hints), batch)
-        self.entities.write(entities.partial_entities(entities.observations(events)), batch)
-        self.adjacency.write(entities.partial_adjacency(entities.relation_observations(events)), batch)
+    def update(self, events: DataFrame, batch: int, with_hints: bool = False, tables: Sequence[str] = TABLES) -> None:
+        """Makes ``events`` what the tables (or some of them) hold of a batch."""
+        rows = {
+            "postings": lambda: search.posting_lists(events),
+            "keys": lambda: keys.key_table(events, with_hints),
+            "entities": lambda: entities.partial_entities(entities.observations(events)),
+            "adjacency": lambda: entities.partial_adjacency(entities.relation_observations(events)),
+        }
+        for name in tables:
+            getattr(self, name).write(rows[name](), batch)
 
     def rebuilt(self, spark: SparkSession, events: DataFrame) -> Indexes:
         """New tables that hold ``events`` alone."""
@@ -63,9 +69,9 @@ class Indexes:
         new.update(events, 0, with_hints=True)
         return new
 
-    def stream(self, events: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-        """Keeps the tables up to date with a stream of events; the stream's batch numbers are the tables'."""
-        writer = events.writeStream.foreachBatch(lambda df, number: self.update(df, number)).option("checkpointLocation", checkpoint)
+    def stream(self, events: DataFrame, checkpoint: str, trigger: dict | None = None, tables: Sequence[str] = TABLES) -> StreamingQuery:
+        """Keeps the tables (or some of them) up to date with a stream of events; the stream's batch numbers are the tables'."""
+        writer = events.writeStream.foreachBatch(lambda df, number: self.update(df, number, tables=tables)).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
     def entity_table(self, spark: SparkSession, first_by_ingest: bool = False) -> DataFrame:
@@ -83,16 +89,18 @@ class Indexes:
         rows = self.adjacency.of(spark, [identifier]).where(F.col("end_type") == entity_type)
         return entities.relationships_of(entities.merged_relationships(rows), entity_type, identifier, limit)
 
-    def compact(self, spark: SparkSession, upto: int) -> Indexes:
+    def compact(self, spark: SparkSession, upto: int, tables: Sequence[str] = TABLES) -> Indexes:
         """New tables in which the batches up to ``upto`` are one, with one row an entity and an edge; the old ones stay for their readers."""
         new = Indexes(self.path, self.buckets, self.version + 1)
         old = lambda table: table.read(spark).where(F.col("batch") <= upto)
-        parts = old(self.entities).groupBy("entity_type", "identifier").agg(
-            F.max("latest").alias("latest"), F.min("arrived").alias("arrived"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("event_count").alias("event_count")
-        )
-        edges = old(self.adjacency).groupBy("end_type", "end", "other_type", "other", "relationship", "outgoing").agg(
-            F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("event_count").alias("event_count"), F.max("sample_event_id").alias("sample_event_id")
-        )
-        for name, merged in (("postings", None), ("keys", None), ("entities", parts), ("adjacency", edges)):
-            getattr(self, name).compact(spark, getattr(new, name).path, upto, merged)
+        merged = {
+            "entities": lambda: old(self.entities).groupBy("entity_type", "identifier").agg(
+                F.max("latest").alias("latest"), F.min("arrived").alias("arrived"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("event_count").alias("event_count")
+            ),
+            "adjacency": lambda: old(self.adjacency).groupBy("end_type", "end", "other_type", "other", "relationship", "outgoing").agg(
+                F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("event_count").alias("event_count"), F.max("sample_event_id").alias("sample_event_id")
+            ),
+        }
+        for name in tables:
+            getattr(self, name).compact(spark, getattr(new, name).path, upto, merged[name]() if name in merged else None)
         return new
