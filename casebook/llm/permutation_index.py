@@ -2,7 +2,7 @@
 
 ``PIVOTS`` vectors of the commonest width, a bounded sample with the smallest hashes, are the pivots. Every vector is represented by the numbers
 of its ``PREFIX`` nearest pivots in order. It is posted in the file of the nearest of the first ``FILES`` pivots, and a
-query visits the files of its ``VISITS`` nearest of these (more, if they hold no more rows than it asks for). Files are dealt to blocks of about
+query visits the files of its ``VISITS`` nearest of these, and on until they hold ``LOOKS`` rows and one more than it asks for, whatever the table's size. Files are dealt to blocks of about
 ``BLOCK_ROWS`` rows, several small files to one, and a file that is larger (very common vectors) to several by
 hash, so every row is kept once and no block is hot. Within a block the prefixes are inverted files: for each pivot the rows that
 hold it with their places there. A query meets only the postings of its own pivots; candidates are ranked by footrule distance
@@ -14,7 +14,7 @@ return all candidates; up to ``RERANK`` rows the answer is exact. ``visits=files
 Measured recall against brute force is in the README (at least 0.9 is asked for).
 
 Distances hold between vectors of one width, so each width has blocks of its own; pivots are cut or filled up with zeros to
-another width, which only decides what is met, and a width of up to one block's rows is one file.
+another width, which only decides what is met.
 
 Defined cases: vectors that are null, zero, empty, or that hold a null or non-finite component take no part, as row
 or as query; nor do rows without an id. Ties in distance go to the smaller id. Repeated rows are candidates each by itself; a query's own id is
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 PIVOTS, PREFIX = 512, 128
 FILES, VISITS = 64, 48
 BLOCK_ROWS, RERANK = 16_384, 512
+LOOKS = 16_384  # rows that the files a query visits hold at least
 PIVOT_BYTES = 1 << 26  # of all pivots together, which go to every task
 SHAPE = "query_id long, vec_id long, score double"
 
@@ -88,7 +89,7 @@ class Block:
 
 
 class Layout(NamedTuple):
-    """Where the files of one width lie: rows of each, first block and number of blocks; ``whole``: all in one block."""
+    """Where the files of one width lie: rows of each, first block and number of blocks; ``whole``: all in one block (which decides nothing)."""
 
     rows: np.ndarray
     first: np.ndarray
@@ -98,8 +99,6 @@ class Layout(NamedTuple):
 
 def layout(rows: np.ndarray, block_rows: int) -> Layout:
     """Deals files to blocks: neighbours share one until it is full, and a file larger than a block has several."""
-    if rows.sum() <= block_rows:
-        return Layout(rows, np.zeros(len(rows), int), np.ones(len(rows), int), True)
     first, count, at, used = [], [], 0, 0
     for n in rows:
         blocks = max(1, -(-int(n) // block_rows))
@@ -108,7 +107,7 @@ def layout(rows: np.ndarray, block_rows: int) -> Layout:
         first.append(at)
         count.append(blocks)
         at, used = (at + blocks, 0) if blocks > 1 else (at, used + n)
-    return Layout(rows, np.array(first), np.array(count), False)
+    return Layout(rows, np.array(first), np.array(count), at + (used > 0) <= 1)
 
 
 def _filed(batches: Iterator[pd.DataFrame], pivots: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -121,15 +120,15 @@ def _filed(batches: Iterator[pd.DataFrame], pivots: np.ndarray) -> Iterator[pd.D
         yield batch.assign(width=width, file=file)
 
 
-def _visiting(batches: Iterator[pd.DataFrame], pivots: np.ndarray, layouts: dict[int, Layout], visits: int, k: int) -> Iterator[pd.DataFrame]:
+def _visiting(batches: Iterator[pd.DataFrame], pivots: np.ndarray, layouts: dict[int, Layout], visits: int, k: int, looks: int) -> Iterator[pd.DataFrame]:
     """A row for each block that a query goes to, with the files to look at there."""
     for batch in batches:
         out = []
         for vec_id, vector in zip(batch["vec_id"], batch["vector"], strict=True):
             of = layouts[len(vector)]
             order = prefixes(vector[None, :], fitted(pivots, len(vector)), len(pivots))[0]
-            enough = int(np.searchsorted(np.cumsum(of.rows[order]), k, side="right")) + 1
-            files = order if of.whole else order[: max(visits, enough)]
+            enough = int(np.searchsorted(np.cumsum(of.rows[order]), max(k + 1, looks))) + 1
+            files = order[: max(visits, enough)]
             files = files[of.rows[files] > 0]
             blocks: dict[int, list[int]] = {}
             for f in files:
@@ -162,7 +161,7 @@ def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
 
 def search(
     df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, pivots: int = PIVOTS, length: int = PREFIX,
-    files: int = FILES, visits: int = VISITS, block_rows: int = BLOCK_ROWS, rerank: int = RERANK,
+    files: int = FILES, visits: int = VISITS, block_rows: int = BLOCK_ROWS, rerank: int = RERANK, looks: int = LOOKS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest rows of each row that ``queries`` holds for."""
     taken = df.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
@@ -179,7 +178,7 @@ def search(
     places = [(w, f, int(of.first[f]), int(of.count[f])) for w, of in layouts.items() for f in range(len(leading)) if of.rows[f]]
     placed = df.sparkSession.createDataFrame(places, "width int, file int, first int, blocks int")
     index = filed.join(F.broadcast(placed), ["width", "file"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks"))).cast("int"))
-    ask = taken.where("asks").select("vec_id", "vector").mapInPandas(partial(_visiting, pivots=leading, layouts=layouts, visits=visits, k=k), "vec_id long, vector array<double>, width int, block int, visits array<int>")
+    ask = taken.where("asks").select("vec_id", "vector").mapInPandas(partial(_visiting, pivots=leading, layouts=layouts, visits=visits, k=k, looks=looks), "vec_id long, vector array<double>, width int, block int, visits array<int>")
     answer = partial(_answered, pivots=chosen, length=min(length, len(chosen)), k=k, rerank=rerank)
     columns = index.select("vec_id", "vector", "width", "file", "block")
     found = columns.groupBy("width", "block").cogroup(ask.groupBy("width", "block")).applyInPandas(lambda left, right: answer(left, right), SHAPE)

@@ -171,3 +171,14 @@ def test_layout_splits_large_files():
     of = permutation_index.layout(np.array([3, 50, 4, 200, 5]), 60)
     assert of.first.tolist() == [0, 0, 0, 1, 5] and of.count.tolist() == [1, 1, 1, 4, 1] and not of.whole
     assert permutation_index.layout(np.array([3, 4]), 60).whole
+
+
+def test_one_row_more_than_a_block_changes_nothing(spark):
+    """The files that a query visits go by how many rows they hold, not by whether the table fits a block."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1001, [1000.0] * 16)]
+    schema = "vec_id long, embedding array<double>"
+    found = [permutation_index.search(spark.createDataFrame(rows[:n], schema), F.col("vec_id") % 100 == 0, block_rows=400, rerank=400, visits=4) for n in (400, 401)]
+    few, more = (sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in f.collect()) for f in found)
+    assert few == more and len(few) == 40
