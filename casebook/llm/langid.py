@@ -9,8 +9,8 @@ an exact code; below order 0 all bytes not seen at all are alike. The code lengt
 language's frozen counts is the sum of -log2 of these probabilities; the language with the
 shortest code wins, and the score is its posterior under equal priors, 1 / sum of 2 ** (shortest - length).
 
-The labelled sample is bounded: the ``SAMPLE_ROWS`` different texts of each language with the smallest hashes, whole, so it
-does not depend on partitions or order. Counts are summed by Spark; what comes to the driver, and is broadcast, is bounded by the sample's bytes.
+Every labelled row counts, whole. Counts are summed by Spark; of a language's strings of ORDER + 1 bytes those stay that are at least one in ``RARE`` of all its bytes,
+so what comes to the driver, and is broadcast, is at most ``RARE`` strings a language, whatever the table's size. Bounds (`calibrated`) are medians over all labelled rows, from counts of rates.
 Trees are sparse (sorted arrays of contexts and of strings), over all 256 bytes and any number of languages. What a byte costs depends on it and
 the ``ORDER`` bytes before it alone, so a batch codes each different string of ORDER + 1 bytes once. Every text is scored whole.
 
@@ -22,7 +22,7 @@ read, so other columns' names cannot clash.
 
 from __future__ import annotations
 
-import random
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -32,18 +32,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from casebook.llm.common import documents
+from casebook.llm.common import documents, written
 
 ORDER = 4
 MIN_SEEN = 2
-SAMPLE_ROWS = 256
-BLOCK = 1 << 22
+RARE = 1 << 20
+HELD = 1 << 20  # different strings that a task counts before it gives them out
+RATE_STEPS = 1024  # steps of a bit in which rates are counted
+BLOCK = 1 << 20
 UNKNOWN = "und"
 SLACK = 64
 
 
 def _sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """The ``rows`` different texts of each lang with the smallest hashes (lang, text)."""
+    """For looking at what was learnt (`fit` and `calibrated` take every row): the ``rows`` different texts of each lang with the smallest hashes (lang, text)."""
     hashed = labelled.select("lang", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit("again"), "text").alias("again"))
     first = W.partitionBy("lang").orderBy("hash", "again")
     # the rank is limited within each task before hashes are shuffled; what is broadcast is rows x languages hashes, less than the model
@@ -63,12 +65,37 @@ def _codes(raw: np.ndarray) -> np.ndarray:
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of all byte strings of ORDER + 1 bytes, texts led in by ORDER zero bytes."""
+    """Counts of all byte strings of ORDER + 1 bytes, texts led in by ORDER zero bytes; of one string several counts may come."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def counted(lang: str, pieces: list[np.ndarray]) -> None:
+        code, n = np.unique(np.concatenate(pieces), return_counts=True)
+        if lang in held:
+            code, at = np.unique(np.concatenate([held[lang][0], code]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([held[lang][1], n]), minlength=len(code)).astype(np.int64)
+        held[lang] = code, n
+
+    def given() -> Iterator[pd.DataFrame]:
+        if held:
+            yield pd.concat([pd.DataFrame({"lang": lang, "code": code, "n": n}) for lang, (code, n) in held.items()])
+        held.clear()
+
     for batch in batches:
         for lang, texts in batch.groupby("lang")["text"]:
-            codes = [_codes(np.frombuffer(b"\0" * ORDER + t.encode("utf-8", "surrogatepass"), np.uint8)) for t in texts]
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            yield pd.DataFrame({"lang": lang, "code": code, "n": n})
+            pieces, size = [], 0
+            for t in texts:
+                raw = np.frombuffer(b"\0" * ORDER + t.encode("utf-8", "surrogatepass"), np.uint8)
+                for at in range(0, len(raw) - ORDER, BLOCK):
+                    pieces.append(_codes(raw[at : at + BLOCK + ORDER]))
+                    size += len(pieces[-1])
+                    if size >= BLOCK:
+                        counted(lang, pieces)
+                        pieces, size = [], 0
+            if pieces:
+                counted(lang, pieces)
+        if sum(len(code) for code, _ in held.values()) > HELD:
+            yield from given()
+    yield from given()
 
 
 class Tree:
@@ -144,24 +171,25 @@ class Model:
             self._trees = [Tree(code, n) for code, n in self.grams]
         return self._trees
 
-    def lengths(self, texts: Sequence[str]) -> np.ndarray:
-        """Code length in bits of each whole text under each language."""
-        out = np.zeros((len(texts), len(self.langs)))
+    def lengths(self, texts: Sequence[str], lang: str | None = None) -> np.ndarray:
+        """Code length in bits of each whole text under each language (or one of them, as a single column)."""
+        trees = self.trees() if lang is None else [self.trees()[self.langs.index(lang)]]
+        out = np.zeros((len(texts), len(trees)))
         raws = [t.encode("utf-8", "surrogatepass") for t in texts]
         held, size = [], 0
         for k, raw in enumerate(raws):
             for at in range(0, len(raw), BLOCK):
                 piece = b"\0" * max(0, ORDER - at) + raw[max(0, at - ORDER) : at + BLOCK]
                 if size + len(piece) > BLOCK and held:
-                    self._add(out, held)
+                    self._add(out, held, trees)
                     held, size = [], 0
                 held.append((k, piece))
                 size += len(piece)
         if held:
-            self._add(out, held)
+            self._add(out, held, trees)
         return out
 
-    def _add(self, out: np.ndarray, pieces: list[tuple[int, bytes]]) -> None:
+    def _add(self, out: np.ndarray, pieces: list[tuple[int, bytes]], trees: list[Tree]) -> None:
         """Adds what the pieces, each led in by ORDER bytes, cost."""
         sizes = np.array([len(p) for _, p in pieces])
         codes = _codes(np.frombuffer(b"".join(p for _, p in pieces), np.uint8))
@@ -171,15 +199,17 @@ class Model:
             own[ends - 1 - k] = False
         of, known = pd.factorize(codes[own[: len(codes)]])
         rows = np.repeat([k for k, _ in pieces], sizes - ORDER)
-        for lang, tree in enumerate(self.trees()):
+        for lang, tree in enumerate(trees):
             out[:, lang] += np.bincount(rows, weights=tree.costs(known)[of], minlength=len(out))
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from the rows of ``df`` with a text and a language."""
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learn from all rows of ``df`` with a text and a language."""
     labelled = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and text <> '' and lang is not null")
-    counted = _sample(labelled, sample_rows).mapInPandas(_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    return Model({lang: (g["code"].to_numpy(), g["n"].to_numpy()) for lang, g in counted.sort_values(["lang", "code"]).groupby("lang")})
+    counted = written(labelled.mapInPandas(_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))
+    total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    often = counted.join(F.broadcast(total), "lang").where(F.col("n") * RARE >= F.col("total")).select("lang", "code", "n").toPandas()
+    return Model({lang: (g["code"].to_numpy(), g["n"].to_numpy()) for lang, g in often.sort_values(["lang", "code"]).groupby("lang")})
 
 
 @cache
@@ -225,26 +255,39 @@ def _letters(text: str) -> str:
     return " ".join(words(text) or runs(text))
 
 
-def calibrated(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
-    """For each language bits a byte halfway between its labelled rows and the same rows with their letters in random order (medians)."""
+def _shuffled(text: str) -> str:
+    """The text's characters in random order."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.random.default_rng(0).permutation(letters).tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def calibrated(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """For each language bits a byte halfway between its labelled rows and the same rows with their letters in random order (medians of all rows, to one step of ``RATE_STEPS``)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for batch in batches:
             out = []
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                words = _letters(text)
-                if words and lang in m.langs:
-                    at, n, mixed = m.langs.index(lang), len(words.encode("utf-8", "surrogatepass")), list(words)
-                    random.Random(0).shuffle(mixed)
-                    own, shuffled = m.lengths([words, "".join(mixed)])[:, at] / n
-                    out.append((lang, float(own), float(shuffled)))
-            yield pd.DataFrame(out, columns=["lang", "own", "mixed"])
+            for lang, texts in batch.groupby("lang")["text"]:
+                words = [w for w in map(_letters, texts) if w] if lang in m.langs else []
+                sizes = np.array([len(w.encode("utf-8", "surrogatepass")) for w in words])
+                for mixed, change in ((False, str), (True, _shuffled)) if words else ():
+                    bits = m.lengths([change(w) for w in words], lang)[:, 0] / sizes
+                    out.append(pd.DataFrame({"lang": lang, "mixed": mixed, "rate": np.round(bits * RATE_STEPS).astype(np.int64)}))
+            yield pd.concat(out) if out else pd.DataFrame({"lang": [], "mixed": [], "rate": []})
 
     labelled = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    found = _sample(labelled, sample_rows).mapInPandas(rates, "lang string, own double, mixed double")
-    return {r["lang"]: (r["own"] + r["mixed"]) / 2 for r in found.groupBy("lang").agg(F.median("own").alias("own"), F.median("mixed").alias("mixed")).collect()}
+    found: dict[str, dict[bool, list[tuple[int, int]]]] = defaultdict(lambda: {False: [], True: []})
+    for r in labelled.mapInPandas(rates, "lang string, mixed boolean, rate long").groupBy("lang", "mixed", "rate").count().collect():  # a rate has few bits, so few rows
+        found[r["lang"]][r["mixed"]].append((r["rate"], r["count"]))
+
+    def median(counts: list[tuple[int, int]]) -> float:
+        rate, n = (np.array(x) for x in zip(*sorted(counts), strict=True))
+        ends = np.cumsum(n)
+        return sum(float(rate[np.searchsorted(ends, k, side="right")]) for k in ((ends[-1] - 1) // 2, ends[-1] // 2)) / 2 / RATE_STEPS
+
+    return {lang: (median(of[False]) + median(of[True])) / 2 for lang, of in found.items()}
 
 
 def explained(df: DataFrame, model: Model, bounds: dict[str, float], text_col: str = "text") -> Column:

@@ -498,6 +498,17 @@ def test_any_number_of_languages_and_a_bounded_sample(spark, make):
     assert len(sample) == 7 and len({r.text for r in sample}) == 7  # repeated rows neither fill the sample nor swell it
 
 
+def test_every_labelled_row_counts(spark, make):
+    """Counts are those of all rows, whatever their number: a language of 600 texts has each text's own word in its counts."""
+    texts = [f"word {k:04}" for k in range(600)]
+    docs = make(texts, langs=["x"] * 600)
+    model = langid.fit(docs)
+    assert model.grams[0][1].sum() == sum(map(len, texts))
+    code, n = _counts(texts)
+    assert model.grams[0][0].tolist() == code.tolist() and model.grams[0][1].tolist() == n.tolist()
+    assert set(langid.calibrated(docs, model)) == {"x"}
+
+
 def _counts(texts):
     import pandas as pd
 
