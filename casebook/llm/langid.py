@@ -36,7 +36,7 @@ from casebook.llm.common import documents, written
 
 ORDER = 4
 MIN_SEEN = 2
-RARE = 1 << 20
+RARE = 1 << 23
 HELD = 1 << 20  # different strings that a task counts before it gives them out
 RATE_STEPS = 1024  # steps of a bit in which rates are counted
 BLOCK = 1 << 20
