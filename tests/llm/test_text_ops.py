@@ -605,3 +605,21 @@ def test_queries_carry_ids(spark):
 
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert hashlib.sha256(b"").hexdigest() == table(spark, "/root/testdata/sf0.001", "documents").limit(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_language_counts_come_as_columns(spark, make):
+    """The driver holds a few numbers a string, not a Python row of each."""
+    import tracemalloc
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3000)) for _ in range(60)]
+    docs = make(texts, langs=["en", "fr"] * 30).repartition(2)
+    tracemalloc.start()
+    try:
+        model = langid.fit(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    n = sum(len(code) for code, _ in model.grams)
+    assert model.langs == ["en", "fr"] and n > 150_000 and peak < 100 * n
+    assert all((np.diff(code) > 0).all() and count.sum() == 30 * 3000 for code, count in model.grams)
