@@ -13,7 +13,7 @@ large, is one class and costs one row.
   edges go from it to the others, so edges grow as the members, not as their square.
   Edges are confirmed on the whole sets.
 * What stars leave open: two spokes of a centre that are not in one component yet. The star
-  has told in which shingles each differs from the centre; `_meeting` and `_met` join them on the rarest of these, without a text, which
+  has told in which shingles each differs from the centre; `_meeting` and `_met` join them on the rarest of these, without a text, if what is left of both after that can make a link, which
   loses no link and lets spokes that share the centre's text alone never meet. Members of one component need no further edge, so large groups of near copies stay cheap.
 
 Components come from all confirmed links (`graph.components`).
@@ -34,6 +34,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -169,44 +170,32 @@ def _waiting(spokes: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _meeting(waiting: DataFrame, percent: int) -> DataFrame:
-    """Rows (a, kind, edit, asks, b, n): under which of their edits spokes b of one centre a meet.
+    """Rows (a, kind, edit, asks, b, n, edits, own_left, lost_left): under which of their edits spokes b of one centre a meet.
 
     Two members x and y of a bucket are spokes of its centre, and their sets differ in exactly those shingles in which one of them, and not the
-    other, differs from the centre (its edits: its own shingles, and those of the centre that it lost). Of a pair the smaller set, x, asks, and the other offers. To be linked
-    they must share m = 2 t |x| / (1 + t) shingles or more. Of what x has from the centre y can share no more than that, so the rest, r = m - |x| + own, is
-    among x's own shingles, which the centre lacks:
-
-    * If r is at least 1 (kind 0), x asks for the own - r + 1 rarest of its own shingles, of which y has one, and y offers all of its own. Members that have
-      the bucket's common text alone in common, however many, never meet: what the centre has is no key here.
-    * Else (kind 1) x is nearly a part of the centre, and asks and is offered by the rarest of all edits: x and y differ in D shingles at most, so at most D of either's edits are
-      not the other's, and linked ones share one of their first D + 1. D is bounded by either's size.
+    other, differs from the centre (its edits: its own shingles, kind 0, and those of the centre that it lost, kind 1). What the centre has is no key here. With s edits in common
+    they differ in edits(x) + edits(y) - 2 s shingles, and linked ones in D at most, which either's size bounds. So (x has no more edits than y) at most D / 2 of x's edits
+    and D of y's are not the other's: x asks with its D / 2 + 1 rarest edits, y offers its D + 1 rarest, and the first edit in common, in one order for all spokes of a centre, is among both.
+    From there on each has ``own_left`` and ``lost_left`` more edits, which bound s (`_met`). If s is 0, both are linked with the centre and so in one component:
+    edits(x) + edits(y) <= D, and were x not linked with it, y would differ from it by less than their sizes do.
     """
-    flagged = lambda c, mine: F.transform(c, lambda e: F.struct(e.alias("edit"), F.lit(mine).alias("mine")))
-    each = waiting.select("a", "b", F.explode(F.concat(flagged("own", True), flagged("lost", False))).alias("x")).select("a", "b", "x.*")
+    flagged = lambda c, kind: F.transform(c, lambda e: F.struct(e.alias("edit"), F.lit(kind).alias("kind")))
+    edits = F.explode(F.concat(flagged("own", 0), flagged("lost", 1))).alias("x")
+    each = waiting.select("a", "b", "n", F.size("own").alias("n_own"), (F.size("own") + F.size("lost")).alias("edits"), edits).select("a", "b", "n", "n_own", "edits", "x.*")
     times = each.groupBy("a", "edit").agg(F.count("*").alias("times")).where("times > 1")
     # an edit that no other spoke has comes first and takes a place, but leads nowhere
-    order = F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "edit", "mine")))
-    ranked = each.join(times, ["a", "edit"], "left").groupBy("a", "b").agg(order.alias("ranked"))
-    least = F.ceil(2 * percent * F.col("n") / (100 + percent) - 1e-9) - F.col("n") + F.size("own")
-    first = F.floor(F.col("n") * (100 - percent) / percent).cast("int") + 2  # D is at most (1 - t) / (1 + t) of both sizes, of which the other is at most 1 / t of this one
-    rows = waiting.join(ranked, ["a", "b"]).select("a", "b", "n", least.cast("int").alias("r"), first.alias("first"), "ranked", F.filter("ranked", lambda x: x["mine"]).alias("own"))
-    rarest = F.slice("ranked", F.lit(1), F.col("first"))
-    asked = F.when(F.col("r") >= 1, F.slice("own", F.lit(1), F.greatest(F.size("own") - F.col("r") + 1, F.lit(0)))).otherwise(rarest)
-    keys = lambda xs, kind, asks: F.transform(F.filter(xs, lambda x: x["times"] > 1), lambda x: F.struct(kind.alias("kind"), x["edit"].alias("edit"), F.lit(asks).alias("asks")))
-    every = F.concat(keys(asked, F.when(F.col("r") >= 1, 0).otherwise(1), True), keys(F.col("own"), F.lit(0), False), keys(rarest, F.lit(1), False))
-    return rows.select("a", "b", "n", F.explode(every).alias("x")).select("a", "x.*", "b", "n")
+    rarest = W.partitionBy("a", "b").orderBy("times", "edit").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = each.join(times, ["a", "edit"], "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    placed = counted.select("*", F.count("*").over(rarest).alias("place"), F.count(F.when(F.col("kind") == 0, 1)).over(rarest).alias("own_so_far"))
+    apart = F.floor(F.col("n") * (100 - percent) / percent)  # D: (1 - t) / (1 + t) of both sizes, of which the other is at most 1 / t of this one
+    rows = placed.where((F.col("times") > 1) & (F.col("place") <= apart + 1)).withColumn("own_left", F.col("n_own") - F.col("own_so_far"))
+    asks = F.explode(F.when(F.col("place") <= F.floor(apart / 2) + 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("asks")
+    return rows.select("a", "kind", "edit", asks, "b", "n", "edits", "own_left", (F.col("edits") - F.col("place") - F.col("own_left")).alias("lost_left"))
 
 
 def _met(meeting: DataFrame, waiting: DataFrame, comps: DataFrame, percent: int, star: bool) -> DataFrame:
-    """The links (a, b) between spokes that meet and are in different components: of who asks with the first at its edit alone (``star``), or with all who offer it."""
-    rows = _labelled(meeting, comps)
-    x = rows.where("asks").select("a", "kind", "edit", F.col("b").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("comp_x"))
-    other = rows.where("not asks").select("a", "kind", "edit", F.col("b").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("comp_y"))
-    if star:
-        other = other.groupBy("a", "kind", "edit").agg(F.min(F.struct("y", "n_y", "comp_y")).alias("c")).select("a", "kind", "edit", "c.*")
-    near = F.col("comp_x") != F.col("comp_y")
-    near = near & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) if star else near & (F.col("n_x") <= F.col("n_y")) & (100 * F.col("n_x") >= percent * F.col("n_y"))
-    pairs = x.join(other, ["a", "kind", "edit"]).where(near).select("a", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    """The links (a, b) between spokes that meet and are in different components: of who asks with one that offers its edit (``star``), or with all who do."""
+    pairs = _pairs(_labelled(meeting, comps), percent, star)
     of = lambda side: waiting.select("a", F.col("b").alias(side), F.col("n").alias(f"n_{side}"), F.concat("own", "lost").alias(f"edits_{side}"))
     n = F.col("n_x") + F.col("n_y")
     apart = F.size("edits_x") + F.size("edits_y") - 2 * F.size(F.array_intersect("edits_x", "edits_y"))
@@ -214,6 +203,20 @@ def _met(meeting: DataFrame, waiting: DataFrame, comps: DataFrame, percent: int,
     return found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
+def _pairs(rows: DataFrame, percent: int, star: bool) -> DataFrame:
+    """The spokes (a, x, y) in different components whose edits, were the one they meet at the first in common, leave room for a link."""
+    named = lambda side: [F.col("b").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "edits", "own_left", "lost_left", "comp"))]
+    x, y = rows.where("asks").select("a", "kind", "edit", *named("x")), rows.where("not asks").select("a", "kind", "edit", *named("y"))
+    if star:  # another one at each edit, so that one far from the others is the centre of few
+        y = y.groupBy("a", "kind", "edit").agg(F.min(F.struct(F.xxhash64("edit", "y").alias("by"), *y.columns[3:])).alias("c")).select("a", "kind", "edit", *(f"c.{c}" for c in y.columns[3:]))
+    n = F.col("n_x") + F.col("n_y")
+    common = 1 + F.least("own_left_x", "own_left_y") + F.least("lost_left_x", "lost_left_y")
+    apart = F.col("edits_x") + F.col("edits_y") - 2 * common
+    near = (F.col("comp_x") != F.col("comp_y")) & (100 * (n - apart) >= percent * (n + apart))
+    near = near if star else near & ((F.col("edits_x") < F.col("edits_y")) | (F.col("edits_x") == F.col("edits_y")) & (F.col("x") < F.col("y")))
+    return x.join(y, ["a", "kind", "edit"]).where(near).select("a", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the component), kept, cls for every row.
 

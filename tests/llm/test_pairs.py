@@ -90,6 +90,35 @@ def test_documents_of_one_template_do_not_meet(spark, make, own, many):
     assert met[many] <= 10 * many and met[many] <= 3 * max(met[many // 2], many)
 
 
+def test_near_copies_on_both_sides_of_the_threshold(spark, make):
+    """A star's spokes share 70 to 95 % with each other, by words of a small vocabulary; few pairs of them are compared, and no link is lost."""
+    rng = random.Random(8)
+    base, some = words(rng, 150).split(), words(rng, 12).split()
+    met = {}
+    for n in (150, 300):
+        texts = [" ".join(base)]
+        for k in range(1, n):  # some far from the centre, some of these with a near copy
+            text = list(base) if k % 10 else texts[-1].split()
+            for _ in range(rng.randint(1, 9) if k % 10 else 1):
+                text[rng.randrange(len(text))] = rng.choice(some)
+            texts.append(" ".join(text))
+        docs = make(texts)
+        stars = spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        spokes = minhash.compared(stars, docs.select(F.col("doc_id").alias("cls"), "text"), 3, 85)
+        linked = spokes.where("linked").select("a", "b")
+        comps = graph.components(linked)
+        waiting = minhash.written(minhash._waiting(spokes, comps))
+        meeting = minhash.written(minhash._meeting(waiting, 85))
+        met[n] = minhash._pairs(minhash._labelled(meeting, comps), 85, False).count()
+        for star in (True, False):
+            linked = linked.union(minhash._met(meeting, waiting, comps, 85, star))
+            comps = graph.components(linked)
+        got = {r["node"]: r["comp"] for r in comps.collect()}
+        expected, _ = brute_components(texts, 3, 85)
+        assert [got.get(i, i) for i in range(n)] == expected and n // 10 < len(set(expected)) < n
+    assert met[150] <= 150 and met[300] <= 300
+
+
 def test_near_duplicates_edges(spark, make, odd_texts):
     twice = minhash.near_duplicates(make([odd_texts[9]] * 3 + [None], ids=[5, 5, 3, None])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in twice) == [("3", "3"), ("5", "3"), ("5", "3"), ("None", "None")]
